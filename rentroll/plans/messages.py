@@ -39,8 +39,8 @@ class SearchCriteria:
 
 
 def _moment(day: dt.date) -> Column:
-    # compared as a plain literal, so that the bound reaches the scan
-    return F.lit(dt.datetime.combine(day, dt.time())).cast("timestamp")
+    # a text literal takes the column's own timestamp type, so the bound reaches the scan
+    return F.lit(f"{day.isoformat()} 00:00:00")
 
 
 def received_from(day: dt.date) -> Column:

@@ -24,6 +24,11 @@ class Table:
     def schema(self) -> StructType:
         return StructType.fromDDL(self.ddl)
 
+    @property
+    def names(self) -> list[str]:
+        """Column names; unlike ``schema`` this needs no running session."""
+        return [column.split()[0].strip("`") for column in self.ddl.split(", ")]
+
 
 PROPERTY = Table(
     "property",
