@@ -28,7 +28,7 @@ from rentroll.schemas import (
     Table,
     conform,
 )
-from rentroll.session import scratch_path
+from rentroll.session import durable, scratch_path
 from rentroll.sources import csv, manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -589,7 +589,7 @@ def dq_unreadable(spark, sf):
     return quality.check_readable(
         raw, "income", ["line_no"],
         {
-            "due_date": parse.parse_date(F.col("due_date")),
+            "due_date": parse.parse_date(text.trimmed(F.col("due_date"))),
             "original_amount": parse.parse_money(F.col("original_amount")),
             "leasenum": parse.parse_whole(F.col("leasenum")),
         },
@@ -676,7 +676,8 @@ def run_year(spark, sf):
             F.max("p_partkey").alias("category_id"), F.lit("Internet").alias("category_name")
         ),
     }
-    staged = bank.with_file_id(_staged(spark, sf), tables["file_processing"])
+    # landed once, as a stored table would be
+    staged = durable(bank.with_file_id(_staged(spark, sf), tables["file_processing"]), "staging")
     tables["bank_transaction_staging"] = staged
     out = year_run.run_year(
         tables, F.year("date_created"), shape(spark, sf, "raw_invoices"), None, LOAN_RULES, UTILITY_RULE,

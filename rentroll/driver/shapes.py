@@ -19,14 +19,9 @@ def _text(expr: str) -> str:
     return f"CAST({expr} AS STRING)"
 
 
-def _amount_text(cents: str) -> str:
-    """Whole cents as dollars with thousands commas."""
-    d = f"CAST(({cents} - {cents} % 100) / 100 AS BIGINT)"
-    thousands = f"CAST(({d} - {d} % 1000) / 1000 AS BIGINT)"
-    return (
-        f"CASE WHEN {d} >= 1000 THEN {_text(thousands)} || ',' || lpad({_text(f'{d} % 1000')}, 3, '0') "
-        f"ELSE {_text(d)} END || '.' || lpad({_text(f'{cents} % 100')}, 2, '0')"
-    )
+def _amount_text(t: str) -> str:
+    """Plain decimal text with a thousands comma."""
+    return f"CASE WHEN length({t}) > 6 THEN substr({t}, 1, length({t}) - 6) || ',' || substr({t}, length({t}) - 5) ELSE {t} END"
 
 
 def _slashed(d: str) -> str:
@@ -64,9 +59,9 @@ SELECT
     WHEN '3' THEN 'Tenant charges & fees / Pet charge'
     WHEN '4' THEN 'Deposit / Security'
     ELSE CASE k % 2 WHEN 0 THEN 'Credits' ELSE '-' END END AS transaction_category,
-  CASE WHEN k % 43 = 0 THEN '-' WHEN k % 47 = 0 THEN 'abc' ELSE '$' || {_amount_text('cents')} END AS original_amount,
-  CASE WHEN o_orderstatus = 'F' THEN {_amount_text('cents')} ELSE '' END AS payment,
-  CASE WHEN o_orderstatus = 'F' THEN '0.00' ELSE '$ ' || {_amount_text('cents')} END AS balance,
+  CASE WHEN k % 43 = 0 THEN '-' WHEN k % 47 = 0 THEN 'abc' ELSE '$' || {_amount_text('t')} END AS original_amount,
+  CASE WHEN o_orderstatus = 'F' THEN {_amount_text('t')} ELSE '' END AS payment,
+  CASE WHEN o_orderstatus = 'F' THEN '0.00' ELSE '$ ' || {_amount_text('t')} END AS balance,
   CASE k % 6 WHEN 0 THEN 'ACH, ACH' WHEN 1 THEN 'Cash' WHEN 2 THEN 'ACH, Cash' WHEN 3 THEN 'cash , Cash,'
        WHEN 4 THEN '-' ELSE 'ACH,' END AS method_of_payment,
   CASE WHEN k % 41 = 0 THEN '-' WHEN k % 2 = 0 THEN c_name ELSE c_name || ' and co' END AS payer,
@@ -83,7 +78,7 @@ FROM (
   SELECT *, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d,
     CAST(CAST(o_orderdate AS DATE) + INTERVAL '30' DAY AS DATE) AS due,
     CAST(CAST(o_orderdate AS DATE) + INTERVAL '45' DAY AS DATE) AS paid,
-    CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+    CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) AS t
   FROM {{orders}}
 ) o JOIN {{customer}} c ON o_custkey = c_custkey
 """
@@ -208,12 +203,12 @@ SELECT
     || lpad({_text('l_suppkey')}, 9, '0') || '       ORIG ID:' || {_text('l_orderkey % 10')} || ' DESC:pay, "x"'
     || CASE l_linenumber WHEN 7 THEN '' WHEN 6 THEN ' TRN:' WHEN 5 THEN ' trn:' || {_text('l_partkey')} || ' tail'
        WHEN 4 THEN ' TRN: ' || {_text('l_partkey')} ELSE ' TRN:' || {_text('l_partkey')} END AS description,
-  CASE WHEN l_partkey % 79 = 0 THEN 'n/a' WHEN l_orderkey % 2 = 0 THEN '-' || {_amount_text('cents')}
-       ELSE {_amount_text('cents')} END AS amount,
+  CASE WHEN l_partkey % 79 = 0 THEN 'n/a' WHEN l_orderkey % 2 = 0 THEN '-' || {_amount_text('t')}
+       ELSE {_amount_text('t')} END AS amount,
   CASE WHEN l_returnflag = 'N' THEN 'ACH_CREDIT' ELSE 'ACH_DEBIT' END AS type,
   '0.00' AS balance,
   CASE WHEN l_linenumber = 3 THEN {_text('l_partkey')} ELSE '' END AS check_or_slip
-FROM (SELECT *, CAST(l_shipdate AS DATE) AS d, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
+FROM (SELECT *, CAST(l_shipdate AS DATE) AS d, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) AS t
       FROM {{lineitem}}) l
 """
 
@@ -273,8 +268,22 @@ FROM {{conversations}}
 """
 
 
+# one Parquet row group is one task; a file below this size often is a single one
+SPREAD_BYTES = (1 << 20, 128 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan one table. A small file, which one task would read, is dealt out to all cores.
+
+    Larger tables come in many row groups and are read as they lie, without this shuffle.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(found).getLength()
+    if SPREAD_BYTES[0] < size < SPREAD_BYTES[1]:
+        df = df.repartition(min(spark.sparkContext.defaultParallelism, 32))
+    return df
 
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

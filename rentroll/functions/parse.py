@@ -2,55 +2,44 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, functions as F
 
-from rentroll.functions.text import trimmed
 from rentroll.schemas import MONEY
 
-# English month abbreviations.
+# English month abbreviations, as the lenient form looks them up.
 MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_SLASHED = r"^\d{1,2}/\d{1,2}/\d{4}$"
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 _NAMED = r"^\d{1,2}-[A-Za-z]{3}-(\d{2}|\d{4})$"
 
 
-def _date(y: Column, m: Column, d: Column) -> Column:
-    # casting rearranged text keeps to one code path and needs no formatter per row
-    return F.concat_ws("-", y, m, d).try_cast("date")
-
-
-def _month_number(c: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(c))
+def _slashed_date(c: Column) -> Column:
+    """M/d/yyyy rearranged and cast; text of another form keeps its slash and casts to NULL."""
+    return F.when(c.contains("/"), F.regexp_replace(c, _SLASHED, "$3-$1-$2").try_cast("date"))
 
 
-def _windowed(date: Column, as_of: dt.date) -> Column:
-    """Two-digit years fall in the hundred years ending 20 years after ``as_of``."""
-    end = as_of.replace(year=as_of.year + 20, day=min(as_of.day, 28))
-    return F.when(date >= F.lit(end), F.add_months(date, F.lit(-1200))).otherwise(date)
+def _full_year(c: Column, first_year: int) -> Column:
+    """A two-digit year at the end becomes the one of the hundred years from ``first_year``."""
+    short = F.right(c, F.lit(2))
+    century = first_year // 100
+    head = F.when(short >= f"{first_year % 100:02d}", F.lit(f"{century}")).otherwise(F.lit(f"{century + 1}"))
+    return F.when(F.length(c) > 9, c).otherwise(F.concat(F.substr(c, F.lit(1), F.length(c) - 2), head, short))
 
 
-def parse_date(c: Column, lenient: bool = False, as_of: dt.date = dt.date(2026, 1, 1)) -> Column:
-    """ISO, then M/d/yyyy, then dd-MMM-yy, else NULL.
+def parse_date(c: Column, lenient: bool = False, first_year: int = 1946) -> Column:
+    """ISO, then M/d/yyyy, then dd-MMM-yy, else NULL. ``c`` is trimmed text.
 
     ``lenient`` rolls overflowing days and months into the following months and
-    ignores text after the date. ``as_of`` anchors two-digit years.
+    ignores text after the date. Two-digit years lie in the hundred years from
+    ``first_year``.
     """
-    c = trimmed(c)
     if lenient:
-        return _parse_lenient(c, as_of)
-    p = [F.split_part(c, F.lit("/"), F.lit(i)) for i in (1, 2, 3)]
-    n = [F.split_part(c, F.lit("-"), F.lit(i)) for i in (1, 2, 3)]
-    month = _month_number(n[1]).cast("string")
-    named = F.when(F.length(n[2]) == 4, _date(n[2], month, n[0])).otherwise(
-        _windowed(_date(F.concat(F.lit("20"), n[2]), month, n[0]), as_of)
-    )
-    return (
-        F.when(c.rlike(_ISO), c.try_cast("date"))
-        .when(c.rlike(_SLASHED), _date(p[2], p[0], p[1]))
-        .when(c.rlike(_NAMED), named)
+        return _parse_lenient(c, first_year)
+    named = F.try_to_date(_full_year(c, first_year), "d-MMM-yyyy")
+    # one look tells the forms apart, so each text is read once
+    return F.when(c.contains("/"), _slashed_date(c)).when(c.rlike(_ISO), c.try_cast("date")).when(
+        c.rlike(_NAMED), named
     )
 
 
@@ -59,7 +48,7 @@ def _rolled(y: Column, m: Column, d: Column) -> Column:
     return F.date_add(F.add_months(first, (m - 1).cast("int")), (d - 1).cast("int"))
 
 
-def _parse_lenient(c: Column, as_of: dt.date) -> Column:
+def _parse_lenient(c: Column, first_year: int) -> Column:
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(c, pattern, i)
 
@@ -69,40 +58,41 @@ def _parse_lenient(c: Column, as_of: dt.date) -> Column:
     iso = r"^(\d{4})-(0?[1-9]|1[0-2])-(0?[1-9]|[12]\d|3[01])$"
     slashed = r"^(\d{1,4})/(\d{1,4})/(\d{1,4})"
     named = r"^(\d{1,4})-([A-Za-z]{3})-(\d{1,4})"
-    month = _month_number(part(named, 2)).cast("int")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(part(named, 2))).cast("int")
     year = num(named, 3)
-    short = F.length(part(named, 3)) == 2
-    by_name = F.when(short, _windowed(_rolled(year + 2000, month, num(named, 1)), as_of)).otherwise(
-        _rolled(year, month, num(named, 1))
-    )
+    windowed = F.lit(first_year) + F.pmod(year - first_year, F.lit(100))
+    full = F.when(F.length(part(named, 3)) == 2, windowed).otherwise(year)
     return (
         F.when(c.rlike(iso), _rolled(num(iso, 1), num(iso, 2), num(iso, 3)))
         .when(c.rlike(slashed), _rolled(num(slashed, 3), num(slashed, 1), num(slashed, 2)))
-        .when(c.rlike(named) & (month > 0), by_name)
+        .when(c.rlike(named) & (month > 0), _rolled(full, month, num(named, 1)))
     )
 
 
 def parse_posting_date(c: Column, lenient: bool = False) -> Column:
-    """M/d/yyyy, else NULL. ``lenient`` moves a day past the month's end back to its last day."""
-    c = trimmed(c)
-    p = [F.split_part(c, F.lit("/"), F.lit(i)) for i in (1, 2, 3)]
+    """M/d/yyyy, else NULL. ``c`` is trimmed text.
+
+    ``lenient`` moves a day past the month's end back to its last day.
+    """
     if not lenient:
-        return F.when(c.rlike(_SLASHED), _date(p[2], p[0], p[1]))
-    first = _date(p[2], p[0], F.lit("1"))
-    day = p[1].try_cast("int")
-    last = F.last_day(first)
-    clamped = F.when(day.between(1, 31), F.least(F.date_add(first, day - 1), last))
+        return _slashed_date(c)
+    day = F.split_part(c, F.lit("/"), F.lit(2)).try_cast("int")
+    first = F.regexp_replace(c, _SLASHED, "$3-$1-1").try_cast("date")
+    clamped = F.when(day.between(1, 31), F.least(F.date_add(first, day - 1), F.last_day(first)))
     return F.when(c.rlike(_SLASHED), clamped)
 
 
 def parse_money(c: Column) -> Column:
-    """Drop thousands commas and dollar signs; two decimals, half up; too large is NULL."""
-    return trimmed(F.translate(c, ",$", "")).try_cast(MONEY)
+    """Drop thousands commas and dollar signs; two decimals, half up; too large is NULL.
+
+    The cast itself skips outer blanks, as it does for whole numbers.
+    """
+    return F.translate(c, ",$", "").try_cast(MONEY)
 
 
 def parse_whole(c: Column) -> Column:
     """A strict whole number, else NULL."""
-    return trimmed(c).try_cast("bigint")
+    return c.try_cast("bigint")
 
 
 def zero_to_null(c: Column) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -17,9 +16,10 @@ TELLER_PHRASES = ("teller deposit at pnc", "teller", "pnc", "certified check")
 TELLER_METHOD = "Teller Deposit"
 RENT_CATEGORIES = ("rent", "prorated rent", "pet rent")
 TYPE_NAMES = {"income / recurring monthly": "Recurring Monthly", "income / one time": "One Time"}
-CHARGE_PREFIX = "tenant charges & fees /"
-DEPOSIT_PREFIX = "deposit /"
-RENT_PREFIX = "rent /"
+# category groups: the text before the slash
+CHARGE_GROUP = "tenant charges & fees "
+DEPOSIT_GROUP = "deposit "
+RENT_GROUP = "rent "
 REIMBURSED_FEES = ("water fee", "gas fee", "electricity fee")
 PET_CHARGE = "pet charge"
 
@@ -34,14 +34,12 @@ def trimmed(c: Column) -> Column:
 
 def clean_token(c: Column) -> Column:
     """Trim; a lone dash is NULL; blank stays blank."""
-    t = trimmed(c)
-    return F.when(t != "-", t)
+    return F.nullif(trimmed(c), F.lit("-"))
 
 
 def clean_optional(c: Column) -> Column:
     """Trim; blank or a lone dash is NULL."""
-    t = trimmed(c)
-    return F.when(~t.isin("", "-"), t)
+    return F.nullif(F.nullif(trimmed(c), F.lit("")), F.lit("-"))
 
 
 def empty_to_null(c: Column) -> Column:
@@ -66,8 +64,12 @@ def one_of_ci(c: Column, values: Sequence[str]) -> Column:
 
 def contains_any(c: Column, phrases: Sequence[str]) -> Column:
     """Whether any phrase occurs, ignoring case; NULL holds none."""
-    low = F.lower(c)
-    return F.coalesce(reduce(or_, [low.contains(p.lower()) for p in phrases]), F.lit(False))
+    if len(phrases) == 1:
+        found = F.lower(c).contains(phrases[0].lower())
+    else:
+        # one pass over the text, and one small expression, for any number of phrases
+        found = c.rlike("(?iu)" + "|".join(re.escape(p) for p in phrases))
+    return F.coalesce(found, F.lit(False))
 
 
 def normalize_type(c: Column) -> Column:
@@ -78,29 +80,37 @@ def normalize_type(c: Column) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
+def category_group(category: Column) -> Column:
+    """Lower-case text before the first slash, or the whole text without one."""
+    return F.lower(F.substring_index(category, "/", 1))
+
+
+def category_rest(category: Column, group: Column) -> Column:
+    """Trimmed text after the slash that ends ``group``."""
+    return trimmed(F.substr(category, F.length(group) + 2))
+
+
+def grouped_category(category: Column, group: Column, rest: Column) -> Column:
+    """The category without its group; pet charges are pet rent."""
+    pet = (group == CHARGE_GROUP) & (F.lower(rest) == PET_CHARGE)
+    known = group.isin(CHARGE_GROUP, DEPOSIT_GROUP, RENT_GROUP)
+    return F.when(pet, F.lit("Pet Rent")).when(known, rest).otherwise(category)
+
+
+def grouped_type(kind: Column, group: Column, rest: Column) -> Column:
+    """The type, adjusted for utility fees and deposits."""
+    fee = (group == CHARGE_GROUP) & F.lower(rest).isin(*REIMBURSED_FEES)
+    return (
+        F.when(fee, F.lit("Reimbursement")).when(group == DEPOSIT_GROUP, F.lit("Deposit")).otherwise(kind)
+    )
+
+
 def normalize_category(category: Column, kind: Column) -> tuple[Column, Column]:
     """(category without its group prefix, type adjusted for that group)."""
     cat = F.coalesce(trimmed(category), F.lit(""))
-    low = F.lower(cat)
-
-    def rest(prefix: str) -> Column:
-        return trimmed(F.substr(cat, F.lit(len(prefix) + 1)))
-
-    charge, deposit, rent = (low.startswith(p) for p in (CHARGE_PREFIX, DEPOSIT_PREFIX, RENT_PREFIX))
-    charged = rest(CHARGE_PREFIX)
-    out_cat = (
-        F.when(charge & (F.lower(charged) == PET_CHARGE), F.lit("Pet Rent"))
-        .when(charge, charged)
-        .when(deposit, rest(DEPOSIT_PREFIX))
-        .when(rent, rest(RENT_PREFIX))
-        .otherwise(cat)
-    )
-    out_kind = (
-        F.when(charge & F.lower(charged).isin(*REIMBURSED_FEES), F.lit("Reimbursement"))
-        .when(deposit, F.lit("Deposit"))
-        .otherwise(kind)
-    )
-    return out_cat, out_kind
+    group = category_group(cat)
+    rest = category_rest(cat, group)
+    return grouped_category(cat, group, rest), grouped_type(kind, group, rest)
 
 
 def collapse_method(c: Column) -> Column:
@@ -158,5 +168,14 @@ def account_from_path(path: Column) -> Column:
     return F.when(trimmed(path) != "", F.when(F.size(parts) > 1, joined).otherwise(name))
 
 
-def starts_with_ci(c: Column, prefix: str) -> Column:
-    return F.coalesce(F.upper(c).startswith(prefix.upper()), F.lit(False))
+def leading(c: Column, prefixes: Sequence[str]) -> Column:
+    """The first of ``prefixes`` (in capitals) that the text starts with, ignoring case; else NULL.
+
+    One match for the whole list, so a description is looked at once.
+    """
+    pattern = "(?iu)^(?:" + "|".join(re.escape(p) for p in prefixes) + ")"
+    return F.nullif(F.upper(F.regexp_extract(c, pattern, 0)), F.lit(""))
+
+
+def starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:
+    return F.coalesce(c.rlike("(?iu)^(?:" + "|".join(re.escape(p) for p in prefixes) + ")"), F.lit(False))

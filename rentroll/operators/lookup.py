@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rentroll.functions.text import folded, starts_with_ci
+from rentroll.functions.text import folded
 from rentroll.operators.mutate import one_per_key
 
 PLACEHOLDER_ID = 0
@@ -102,19 +102,18 @@ class LoanRule:
     property_name: str | None = None
 
 
-def lender_prefix(description: Column, rules: Sequence[LoanRule]) -> Column:
-    """The first rule prefix the description starts with, ignoring case; else NULL."""
-    out = F.lit(None).cast("string")
-    for prefix in reversed(list(dict.fromkeys(r.prefix for r in rules))):
-        out = F.when(starts_with_ci(description, prefix), F.lit(prefix)).otherwise(out)
-    return out
+def rule_prefixes(rules: Sequence[LoanRule]) -> list[str]:
+    return list(dict.fromkeys(r.prefix for r in rules))
 
 
-def loan_property_name(description: Column, rules: Sequence[LoanRule]) -> Column:
-    """The property named by the first rule that applies; NULL leaves the placeholder."""
+def loan_property_name(lender: Column, description: Column, rules: Sequence[LoanRule]) -> Column:
+    """The property named by the first rule that applies; NULL leaves the placeholder.
+
+    ``lender`` is the rule prefix found, in capitals.
+    """
     out = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
-        applies = starts_with_ci(description, rule.prefix)
+        applies = lender == rule.prefix.upper()
         if rule.marker:
             applies = applies & F.coalesce(F.upper(description).contains(rule.marker.upper()), F.lit(False))
         out = F.when(applies, F.lit(rule.property_name)).otherwise(out)

@@ -15,9 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rentroll.functions.parse import number_after
 from rentroll.session import durable
 
-# spans are broadcast only up to this many rows (a few tens of bytes each)
-SPAN_BROADCAST_ROWS = 200_000
-
 
 def _number(placed: DataFrame, group_by: list[str], span: list[str], position: str, name: str,
             start: DataFrame | None) -> DataFrame:
@@ -32,10 +29,8 @@ def _number(placed: DataFrame, group_by: list[str], span: list[str], position: s
         spans = (spans.join(start, on, "left") if on else spans.withColumn("_last", F.lit(_scalar(start))))
         spans = spans.withColumn("_before", F.col("_before") + F.coalesce(F.col("_last"), F.lit(0)))
     spans = spans.select(*group_by, *span, (F.col("_before") - F.col("_lo") + 1).alias("_shift"))
-    spans = durable(spans, "spans")
-    if spans.count() <= SPAN_BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    out = placed.join(spans, [*group_by, *span])
+    # stored, its size is known, so the planner itself decides whether it may be broadcast
+    out = placed.join(durable(spans, "spans"), [*group_by, *span])
     return out.withColumn(name, F.col(position) + F.col("_shift")).drop(*span, position, "_shift")
 
 
@@ -50,14 +45,19 @@ def dense_sequence(
     group_by: Sequence[str] = (),
     start: DataFrame | None = None,
     name: str = "seq",
+    settle: bool = False,
 ) -> DataFrame:
     """Number rows 1, 2, 3 … by ``order_by`` within each ``group_by``.
 
     ``order_by`` must identify rows within a group. ``start`` holds the group
     columns and ``_last``, the highest number already given. Groups are meant to
-    be few (years); their size is not limited.
+    be few (years); their size is not limited. ``settle`` stores the rows first:
+    range partitioning reads its input twice, which is dear where few rows are
+    left of much that was scanned, or where the rows were costly to parse.
     """
     keys = [*group_by, *order_by]
+    if settle:
+        df = durable(df, "settled")
     placed = (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)

@@ -12,10 +12,10 @@ from rentroll.functions import parse, text
 from rentroll.operators.lookup import (
     PLACEHOLDER_ID,
     LoanRule,
-    lender_prefix,
     loan_property_name,
     required_key,
     resolve_property,
+    rule_prefixes,
 )
 from rentroll.operators.mutate import append, full_upsert, one_per_key
 from rentroll.operators.sequence import dense_sequence, last_numbers_by_year, number_file_rows
@@ -30,17 +30,25 @@ def staged_columns(raw: DataFrame, year: Column | int) -> DataFrame:
     Columns of ``raw`` other than the export's own are carried along.
     """
     year = year if isinstance(year, Column) else F.lit(year)
-    export = {"details", "posting date", "description", "amount", "type", "balance", "check or slip #"}
-    return raw.select(
-        text.empty_to_null(F.col("details")).alias("details"),
-        parse.parse_posting_date(F.col("`posting date`")).alias("posting_date"),
-        text.empty_to_null(text.truncated(F.col("description"))).alias("description"),
-        parse.parse_money(F.col("amount")).alias("amount"),
-        text.empty_to_null(F.col("type")).alias("type"),
-        text.empty_to_null(F.col("`check or slip #`")).alias("check_num"),
+    export = {
+        "details": "details", "posting date": "posting_date", "description": "description", "amount": "amount",
+        "type": "type", "check or slip #": "check_num",
+    }
+    carried = [F.col(f"`{c}`") for c in raw.columns if c not in export and c != "balance"]
+    texts = raw.select(
+        *[
+            text.empty_to_null(text.truncated(F.col(c)) if c == "description" else F.col(f"`{c}`")).alias(n)
+            for c, n in export.items()
+        ],
         year.cast("int").alias("year"),
         F.lit(None).cast("string").alias("is_processed"),
-        *[F.col(f"`{c}`") for c in raw.columns if c not in export],
+        *carried,
+    )
+    return texts.withColumns(
+        {
+            "posting_date": parse.parse_posting_date(F.col("posting_date")),
+            "amount": parse.parse_money(F.col("amount")),
+        }
     )
 
 
@@ -66,12 +74,12 @@ def land_bank_export(
         rows = number_file_rows(rows, last=last_id)
     else:
         start = rows.sparkSession.range(1).select(F.lit(last_id).cast("bigint").alias("_last"))
-        rows = dense_sequence(rows, order_by, start=start, name="id")
+        rows = dense_sequence(rows, order_by, start=start, name="id", settle=True)
     return conform(rows, STAGING.schema)
 
 
-def _open_debit(rows: DataFrame) -> Column:
-    return F.col("description").isNotNull() & text.equals_ci(F.col("details"), "DEBIT")
+def _debit() -> Column:
+    return text.equals_ci(F.col("details"), "DEBIT")
 
 
 class LoanPayments(NamedTuple):
@@ -82,15 +90,14 @@ class LoanPayments(NamedTuple):
 
 def loan_outcomes(staging: DataFrame, rules: Sequence[LoanRule]) -> DataFrame:
     """Staging with lender, property name and outcome: Y payable, N matched but unusable, NULL not ours."""
-    lender = F.when(
-        _open_debit(staging) & F.col("is_processed").isNull(), lender_prefix(F.col("description"), rules)
-    )
+    lender = F.when(_debit() & F.col("is_processed").isNull(), F.col("_prefix"))
     outcome = F.when(
         F.col("lender").isNotNull(), F.when(F.col("amount").isNull(), F.lit("N")).otherwise(F.lit("Y"))
     )
-    return staging.withColumn("lender", lender).withColumns(
-        {"outcome": outcome, "property_name": loan_property_name(F.col("description"), rules)}
-    )
+    named = staging.withColumn("_prefix", text.leading(F.col("description"), rule_prefixes(rules)))
+    return named.withColumn("lender", lender).withColumns(
+        {"outcome": outcome, "property_name": loan_property_name(F.col("_prefix"), F.col("description"), rules)}
+    ).drop("_prefix")
 
 
 def derive_loan_payments(
@@ -105,12 +112,15 @@ def derive_loan_payments(
     Rows that were processed before are left alone, so a repeated run adds nothing.
     """
     judged = loan_outcomes(staging, rules)
-    payable = judged.filter(F.col("outcome") == "Y").select(
+    # plain conjuncts, cheapest first, so that most rows are dropped before their text is looked into
+    open_debits = staging.filter(F.col("is_processed").isNull() & _debit() & F.col("amount").isNotNull())
+    lent = open_debits.filter(text.starts_with_any(F.col("description"), rule_prefixes(rules)))
+    payable = loan_outcomes(lent, rules).select(
         *order_by, "year", "posting_date", "property_name", "description", "amount"
     )
     placed = resolve_property(payable, properties, "property_name")
     last = last_numbers_by_year(payments, "transaction_id", PAYMENT_LABEL)
-    numbered = dense_sequence(placed, order_by, ["year"], last)
+    numbered = dense_sequence(placed, order_by, ["year"], last, settle=True)
     zero = F.lit(0).cast(MONEY)
     rows = numbered.select(
         parse.sequence_id(F.col("year"), PAYMENT_LABEL, F.col("seq")).alias("transaction_id"),
@@ -154,16 +164,16 @@ def utility_outcomes(staging: DataFrame, rule: UtilityRule) -> DataFrame:
 
     Rows marked by an earlier run are judged again; their expenses are replaced, not doubled.
     """
-    ours = _open_debit(staging) & text.starts_with_ci(F.col("description"), rule.prefix)
-    reason = F.when(
-        ours,
-        F.when(F.col("trn").isNull(), F.lit("missing trace number"))
+    ours = _debit() & text.starts_with_any(F.col("description"), [rule.prefix])
+    judged = staging.withColumn("trn", F.when(ours, text.trace_number(F.col("description")))).withColumn("_ours", ours)
+    reason = (
+        F.when(~F.col("_ours"), F.lit(None))
+        .when(F.col("trn").isNull(), F.lit("missing trace number"))
         .when(F.col("posting_date").isNull(), F.lit("missing date"))
-        .when(F.col("amount").isNull(), F.lit("missing amount")),
+        .when(F.col("amount").isNull(), F.lit("missing amount"))
     )
-    judged = staging.withColumn("trn", F.when(ours, text.trace_number(F.col("description"))))
-    outcome = F.when(ours, F.when(F.col("reject_reason").isNull(), F.lit("Y")).otherwise(F.lit("N")))
-    return judged.withColumn("reject_reason", reason).withColumn("outcome", outcome)
+    outcome = F.when(F.col("_ours"), F.when(F.col("reject_reason").isNull(), F.lit("Y")).otherwise(F.lit("N")))
+    return judged.withColumn("reject_reason", reason).withColumn("outcome", outcome).drop("_ours")
 
 
 def _property_key(properties: DataFrame, name: str) -> int:
@@ -195,7 +205,10 @@ def derive_utility_expenses(
     provider = required_key(providers, "provider_name", "provider_id", rule.provider)
     above, below = (_property_key(properties, n) for n in (rule.above, rule.below))
     judged = utility_outcomes(staging, rule)
-    good = judged.filter(F.col("outcome") == "Y").withColumn(
+    debits = staging.filter(_debit() & F.col("posting_date").isNotNull() & F.col("amount").isNotNull())
+    ours = debits.filter(text.starts_with_any(F.col("description"), [rule.prefix]))
+    traced = ours.withColumn("trn", text.trace_number(F.col("description"))).filter(F.col("trn").isNotNull())
+    good = traced.withColumn(
         "transaction", F.concat(F.lit(f"{rule.id_prefix}-"), F.col("year").cast("string"), F.lit("-"), F.col("trn"))
     )
     wanted = ["transaction", "posting_date", "year", "amount", "type", "file_id", *order_by]

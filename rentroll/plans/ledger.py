@@ -12,6 +12,7 @@ from rentroll.operators.lookup import collect_members, latest_by_email, resolve_
 from rentroll.operators.mutate import GuardedUpsert, guarded_upsert
 from rentroll.operators.sequence import surrogate_keys
 from rentroll.schemas import INCOME, LEASE, LEASE_TENANT, TENANT, conform
+from rentroll.session import durable
 from rentroll.sources.csv import LINE_COLUMNS
 
 
@@ -25,50 +26,55 @@ def normalize_invoices(raw: DataFrame) -> DataFrame:
     Columns the step does not know are carried along.
     """
     kept = raw.filter(text.kept_invoice(F.col("status"), F.col("transaction_category")))
-    category, kind = text.normalize_category(
-        text.clean_token(F.col("transaction_category")), text.normalize_type(text.clean_token(F.col("type")))
-    )
-    details = text.clean_optional(F.col("transaction_details"))
-    listed = text.collapse_method(text.clean_token(F.col("method_of_payment")))
-    method = text.override_method(listed, details)
-    exclude, applied = text.ledger_flags(method, details)
-    return kept.withColumns(
+    # in steps, so that each text is cleaned once however often later rules look at it
+    clean = kept.withColumns(
         {
             "transaction_id": text.clean_token(F.col("transaction_id")),
             "status": F.coalesce(text.clean_token(F.col("status")), F.lit("")),
-            "type": kind,
-            "transaction_category": category,
-            "method_of_payment": method,
-            "transaction_details": details,
-            "exclude_zaky": exclude,
-            "sd_applied": applied,
+            "type": text.normalize_type(text.clean_token(F.col("type"))),
+            "transaction_category": F.coalesce(text.clean_token(F.col("transaction_category")), F.lit("")),
+            "method_of_payment": text.clean_token(F.col("method_of_payment")),
+            "transaction_details": text.clean_optional(F.col("transaction_details")),
             "payer": _optional("payer", raw),
             "payer_email": _optional("payer_email", raw),
             "property_name": _optional("property", raw),
             "unit_name": _optional("unit", raw),
         }
     )
+    category, group, rest = (F.col(c) for c in ("transaction_category", "_group", "_rest"))
+    split = clean.withColumn("_group", text.category_group(category))
+    split = split.withColumn("_rest", text.category_rest(category, group))
+    details = F.col("transaction_details")
+    ruled = split.withColumns(
+        {
+            "transaction_category": text.grouped_category(category, group, rest),
+            "type": text.grouped_type(F.col("type"), group, rest),
+            "method_of_payment": text.override_method(text.collapse_method(F.col("method_of_payment")), details),
+        }
+    ).drop("_group", "_rest")
+    exclude, applied = text.ledger_flags(F.col("method_of_payment"), details)
+    return ruled.withColumns({"exclude_zaky": exclude, "sd_applied": applied})
 
 
 def parse_invoices(rows: DataFrame, lenient_dates: bool = False) -> DataFrame:
     """Dates, money, lease numbers and the rent month."""
 
-    def date(name: str) -> Column:
-        return parse.parse_date(text.clean_optional(F.col(name)), lenient_dates)
+    texts = ["due_date", "date_created", "date_paid", "original_amount", "payment", "balance", "vacancy", "leasenum"]
+    clean = rows.withColumns({c: _optional(c, rows) for c in texts})
 
-    def money(name: str) -> Column:
-        return parse.parse_money(_optional(name, rows))
+    def date(name: str) -> Column:
+        return parse.parse_date(F.col(name), lenient_dates)
 
-    lease = _optional("leasenum", rows)
-    parsed = rows.withColumns(
+    lease = F.col("leasenum")
+    parsed = clean.withColumns(
         {
             "due_date": date("due_date"),
             "date_created": date("date_created"),
             "date_paid": date("date_paid"),
-            "original_amount": money("original_amount"),
-            "payment": money("payment"),
-            "balance": money("balance"),
-            "vacancy": money("vacancy"),
+            "original_amount": parse.parse_money(F.col("original_amount")),
+            "payment": parse.parse_money(F.col("payment")),
+            "balance": parse.parse_money(F.col("balance")),
+            "vacancy": parse.parse_money(F.col("vacancy")),
             "leasenum": parse.zero_to_null(parse.parse_whole(lease)),
             "_bad_lease": lease.isNotNull() & parse.parse_whole(lease).isNull(),
         }
@@ -205,7 +211,8 @@ def build_income_ledger(
     """
     year = year if isinstance(year, Column) else F.lit(year)
     parsed = parse_invoices(normalize_invoices(raw), lenient_dates).withColumn("year", year.cast("int"))
-    reasoned = parsed.withColumn("reason", reject_reason())
+    # parsed once: the tenant, lease and ledger steps each read only the columns they need
+    reasoned = durable(parsed.withColumn("reason", reject_reason()), "invoices")
     rejects = reasoned.filter(F.col("reason").isNotNull()).select("transaction_id", "reason", *order_by)
     good = reasoned.filter(F.col("reason").isNull()).drop("reason", "_bad_lease", "property", "unit")
     placed = resolve_unit(resolve_property(good, properties, "property_name"), units, "unit_name")
