@@ -332,8 +332,12 @@ def _raw_bank(spark, sf) -> DataFrame:
 
 def _staged(spark, sf) -> DataFrame:
     """Staging rows told apart by their line columns."""
-    raw = _raw_bank(spark, sf)
-    return bank.staged_columns(raw, F.year("line_day"))
+    return bank.staged_columns(_raw_bank(spark, sf), F.year("line_day"))
+
+
+def _landed(spark, sf) -> DataFrame:
+    """The same as a stored table, which is what the steps after landing read."""
+    return durable(_staged(spark, sf), "staging")
 
 
 @register
@@ -370,7 +374,7 @@ def counterparty_rules(spark, sf):
 
 @register
 def loan_payments(spark, sf):
-    staged = _staged(spark, sf)
+    staged = _landed(spark, sf)
     return bank.derive_loan_payments(
         staged, LOAN_RULES, shape(spark, sf, "property"), empty(spark, BANK_PAYMENT), BANK_ORDER
     ).new_payments
@@ -380,7 +384,7 @@ def _utility(spark, sf):
     categories = empty(spark, EXPENSE_CATEGORY).unionByName(
         table(spark, sf, "part").agg(F.max("p_partkey").alias("category_id"), F.lit("Internet").alias("category_name"))
     )
-    staged = bank.with_file_id(_staged(spark, sf), shape(spark, sf, "manifest"))
+    staged = bank.with_file_id(_landed(spark, sf), shape(spark, sf, "manifest"))
     return bank.derive_utility_expenses(
         staged, UTILITY_RULE, shape(spark, sf, "manifest"), shape(spark, sf, "property"), categories,
         shape(spark, sf, "provider"), empty(spark, EXPENSE), BANK_ORDER,
@@ -400,7 +404,7 @@ def utility_outcomes(spark, sf):
 
 def _marked(spark, sf) -> DataFrame:
     """Staging after the loan step and the utility step; neither needs a join to set the status."""
-    staged = bank.with_file_id(_staged(spark, sf), shape(spark, sf, "manifest"))
+    staged = bank.with_file_id(_landed(spark, sf), shape(spark, sf, "manifest"))
     loans = bank.loan_outcomes(staged, LOAN_RULES)
     loans = loans.withColumn("is_processed", F.coalesce("outcome", "is_processed")).select(*staged.columns)
     judged = bank.utility_outcomes(loans, UTILITY_RULE)
@@ -676,8 +680,7 @@ def run_year(spark, sf):
             F.max("p_partkey").alias("category_id"), F.lit("Internet").alias("category_name")
         ),
     }
-    # landed once, as a stored table would be
-    staged = durable(bank.with_file_id(_staged(spark, sf), tables["file_processing"]), "staging")
+    staged = bank.with_file_id(_landed(spark, sf), tables["file_processing"])
     tables["bank_transaction_staging"] = staged
     out = year_run.run_year(
         tables, F.year("date_created"), shape(spark, sf, "raw_invoices"), None, LOAN_RULES, UTILITY_RULE,

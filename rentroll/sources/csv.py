@@ -91,7 +91,10 @@ def scan_csv(
         F.monotonically_increasing_id().alias("line_at"),
         F.col(_BAD),
     )
-    short = F.col(_BAD).isNotNull() & (_field_count(F.col(_BAD)) < len(headers))
+    # a short record lacks its last field; naming that field also keeps the reader parsing whole
+    # records, since it refuses to read the record text alone
+    lacking = F.col(_BAD).isNotNull() & F.col(f"`{names[-1]}`").isNull()
+    short = lacking & (_field_count(F.col(_BAD)) < len(headers))
     rejects = named.filter(short).select(
         "source_file", F.col(_BAD).alias("record"), F.lit("record lacks fields").alias("reason")
     )
