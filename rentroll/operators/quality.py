@@ -102,3 +102,8 @@ def require_year(year: int | None) -> int:
     if not year:
         raise ValueError("the processing year is not set")
     return int(year)
+
+
+def year_column(year: Column | int | None) -> Column:
+    """The processing year as a column: a set number, or an expression over the rows."""
+    return (year if isinstance(year, Column) else F.lit(require_year(year))).cast("int")

@@ -18,6 +18,7 @@ from rentroll.operators.lookup import (
     rule_prefixes,
 )
 from rentroll.operators.mutate import append, full_upsert, one_per_key
+from rentroll.operators.quality import year_column
 from rentroll.operators.sequence import dense_sequence, last_numbers_by_year, number_file_rows
 from rentroll.schemas import BANK_PAYMENT, EXPENSE, MONEY, STAGING, conform
 
@@ -29,7 +30,6 @@ def staged_columns(raw: DataFrame, year: Column | int) -> DataFrame:
 
     Columns of ``raw`` other than the export's own are carried along.
     """
-    year = year if isinstance(year, Column) else F.lit(year)
     export = {
         "details": "details", "posting date": "posting_date", "description": "description", "amount": "amount",
         "type": "type", "check or slip #": "check_num",
@@ -40,7 +40,7 @@ def staged_columns(raw: DataFrame, year: Column | int) -> DataFrame:
             text.empty_to_null(text.truncated(F.col(c)) if c == "description" else F.col(f"`{c}`")).alias(n)
             for c, n in export.items()
         ],
-        year.cast("int").alias("year"),
+        year_column(year).alias("year"),
         F.lit(None).cast("string").alias("is_processed"),
         *carried,
     )

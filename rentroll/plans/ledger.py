@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rentroll.functions import parse, text
 from rentroll.operators.lookup import collect_members, latest_by_email, resolve_property, resolve_unit
 from rentroll.operators.mutate import GuardedUpsert, guarded_upsert
+from rentroll.operators.quality import year_column
 from rentroll.operators.sequence import surrogate_keys
 from rentroll.schemas import INCOME, LEASE, LEASE_TENANT, TENANT, conform
 from rentroll.session import durable
@@ -209,8 +210,7 @@ def build_income_ledger(
     ``year`` is the processing year; an expression lets one run hold many years.
     Rows without an id or with an unreadable lease number come back as rejects.
     """
-    year = year if isinstance(year, Column) else F.lit(year)
-    parsed = parse_invoices(normalize_invoices(raw), lenient_dates).withColumn("year", year.cast("int"))
+    parsed = parse_invoices(normalize_invoices(raw), lenient_dates).withColumn("year", year_column(year))
     # parsed once: the tenant, lease and ledger steps each read only the columns they need
     reasoned = durable(parsed.withColumn("reason", reject_reason()), "invoices")
     rejects = reasoned.filter(F.col("reason").isNotNull()).select("transaction_id", "reason", *order_by)
