@@ -40,8 +40,8 @@ def rent_months(income: DataFrame, years: Sequence[int] | None = None) -> DataFr
     rent = F.col("transaction_category") == "Rent"
     first = (F.dayofmonth("due_date") == 1) & (F.year("due_date") == F.col("year"))
     standing = (F.col("status") == VACANCY) & first
-    # only rent rows and standing vacancy rows can matter: the rest never leaves the scan
-    rows = rows.filter(rent | standing)
+    # only rent rows and standing vacancy rows can matter; the first, wider test is one Parquet can apply
+    rows = rows.filter(rent | (F.col("status") == VACANCY)).filter(rent | standing)
     return rows.groupBy("year", "property", "unit").agg(
         F.min(F.when(rent, F.col("original_amount"))).alias("base_rent"),
         F.bit_or(F.when(F.col("due_date").isNotNull(), _month_bit(month)).otherwise(F.lit(0))).alias("_months"),
