@@ -13,18 +13,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rentroll.functions.text import folded
-from rentroll.operators.mutate import one_per_key
+from rentroll.operators.mutate import apart, one_per_key
 
 PLACEHOLDER_ID = 0
 
 
 def _names(dim: DataFrame, scope: Sequence[str], name: str, key: str) -> DataFrame:
     """One key (the lowest) for each folded name."""
-    return (
-        dim.filter(F.col(name).isNotNull())
-        .groupBy(*[F.col(s).alias(f"_{s}") for s in scope], folded(F.col(name)).alias("_name"))
-        .agg(F.min(key).alias("_key"))
+    named = dim.filter(F.col(name).isNotNull()).groupBy(
+        *[F.col(s).alias(f"_{s}") for s in scope], folded(F.col(name)).alias("_name")
     )
+    return apart(named.agg(F.min(key).alias("_key")))
 
 
 def resolve_property(df: DataFrame, properties: DataFrame, name: str, out: str = "property") -> DataFrame:
@@ -78,7 +77,7 @@ def required_key(dim: DataFrame, name_col: str, key_col: str, name: str) -> int:
 def key_lookup(df: DataFrame, key: str, values) -> DataFrame:
     """Rows of one key, of a list of keys, or of the keys in a DataFrame."""
     if isinstance(values, DataFrame):
-        return df.join(values.select(key).distinct(), key, "left_semi")
+        return df.join(apart(values.select(key).distinct()), key, "left_semi")
     if isinstance(values, (list, tuple, set)):
         return df.filter(F.col(key).isin(list(values)))
     return df.filter(F.col(key) == values)
@@ -131,7 +130,7 @@ def collect_members(
     pairs = pairs.select(key, member).distinct()
     sizes = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_segments"))
     big = sizes.filter(F.col("_segments") > 1)
-    spread = pairs.join(big, key, "left").withColumn(
+    spread = pairs.join(apart(big), key, "left").withColumn(
         "segment",
         F.when(F.col("_segments").isNull(), F.lit(0))
         .otherwise(F.pmod(F.xxhash64(member), F.col("_segments")).cast("int")),

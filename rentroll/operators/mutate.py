@@ -8,6 +8,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def apart(unique: DataFrame) -> DataFrame:
+    """Let an aggregated side enter a join through a shuffle of its own.
+
+    Adaptive execution splits a hot key of the other side only where both sides
+    come straight from a shuffle; a join that reuses the aggregation's shuffle
+    would put all rows of the key into one task.
+    """
+    return unique.hint("rebalance")
+
+
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:
     """Bag union by column name; either side may lack columns."""
     return target.unionByName(rows, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rentroll.functions.parse import rent_month, sequence_id, start_month
-from rentroll.operators.mutate import append, delete_where
+from rentroll.operators.mutate import apart, append, delete_where
 from rentroll.operators.sequence import dense_sequence, last_numbers_by_year
 from rentroll.schemas import INCOME, MONEY, conform
 
@@ -57,7 +57,7 @@ def vacant_months(
         units = units.withColumn("_start", F.lit(1))
     else:
         dates = properties.groupBy(F.col("id").alias("property")).agg(F.min("acquired_date").alias("_acquired"))
-        units = units.join(dates, "property", "left").withColumn(
+        units = units.join(apart(dates), "property", "left").withColumn(
             "_start", start_month(F.col("_acquired"), F.col("year"), acquisition_offset)
         )
     grid = units.filter(F.col("_start") <= 12).withColumn("month", F.explode(F.sequence("_start", F.lit(12))))

@@ -10,10 +10,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from rentroll.operators.mutate import apart
+
 
 def _named(dim: DataFrame, key: str, name: str, ref: str, out: str) -> DataFrame:
     """(reference column, name), unique by reference."""
-    return dim.groupBy(F.col(key).alias(ref)).agg(F.min(name).alias(out))
+    return apart(dim.groupBy(F.col(key).alias(ref)).agg(F.min(name).alias(out)))
 
 
 def with_names(df: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:

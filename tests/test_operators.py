@@ -124,3 +124,28 @@ def test_quality(rows):
     assert [r["key"] for r in wide.collect()] == ["1"]
     with pytest.raises(ValueError):
         quality.require_year(0)
+
+
+def test_hot_name_is_split_among_tasks(spark):
+    """A property holding a third of the rows, against a dimension too big to broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).cast("string")
+        df = spark.range(0, 300_000, 1, 8).select("id", F.concat(F.lit("P"), key).alias("p"))
+        dim = spark.range(1000).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"))
+        total = lookup.resolve_property(df, dim, "p").agg(F.count(F.lit(1)), F.sum("property"), F.sum("id"))
+        want = sum(7 if i % 3 == 0 else i % 1000 for i in range(300_000))
+        assert tuple(total.first())[:2] == (300_000, want)
+        total.collect()
+        assert "skew=true" in total._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
