@@ -20,10 +20,7 @@ from rentroll.schemas import (
     INCOME,
     LEASE,
     LEASE_TENANT,
-    PROPERTY,
     PROVIDER,
-    STAGING,
-    TENANT,
     UNITS,
     Table,
     conform,
