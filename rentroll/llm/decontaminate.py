@@ -23,6 +23,7 @@ from rentroll.llm.words import separators, slices, word_hashes
 FEATURES = 1 << 18  # hashed words
 RANK = 256  # dimensions of a latent space, and items that share one
 OVERSAMPLE, POWERS = 16, 2
+COMMON = 2.0  # words in more than exp(-COMMON) of all documents weigh nothing
 STRIDE = 16  # words; a passage is two strides long
 CANDIDATE = 0.35
 LEAK, PARAPHRASE = 0.8, 0.5
@@ -61,10 +62,12 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Space:
-    """The latent space of a block of items: ``basis`` (words of the block, rank) and the items' unit vectors in it."""
+    """The latent space of a block of items: ``basis`` (words of the block, rank) and the items' unit vectors in it; ``slot`` gives a feature's row of the basis."""
 
     def __init__(self, words: np.ndarray, basis: np.ndarray, items: np.ndarray):
-        self.words, self.basis, self.items = words, basis.astype(np.float32), items.astype(np.float32)
+        self.basis, self.items = basis.astype(np.float32), items.astype(np.float32)
+        self.slot = np.full(FEATURES, -1, np.int32)
+        self.slot[words] = np.arange(len(words))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,12 +75,13 @@ def _rows(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.nda
     for batch in batches:
         for _, _, data, offsets in slices(batch.column(0)):
             words, bounds = word_hashes(data, offsets, APART)
-            f = features(words)
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                w = idf[f[low:high]]
+                f = features(words[low:high])
+                f = f[idf[f] > 0]
+                w = idf[f]
                 norm = np.sqrt((w * w).sum())
                 if norm > 0:
-                    yield np.searchsorted(vocabulary, f[low:high]), w / norm
+                    yield np.searchsorted(vocabulary, f), w / norm
 
 
 def latent_space(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
@@ -164,13 +168,12 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[tu
 
     norm = np.sqrt(passages(np.bincount(stride_of, weight * weight, len(begin))))
     for space, items in spaces:
-        at = np.searchsorted(space.words, f)
-        at[at == len(space.words)] = 0
-        inside = np.flatnonzero(space.words[at] == f)
+        at = space.slot[f]
+        inside = np.flatnonzero(at >= 0)
         mass = np.bincount(stride_of[inside], weight[inside] ** 2, len(begin))
-        # a passage's cosine is at most the share of its length that words of the block have, repeats aside
-        bound = np.sqrt(passages(np.bincount(stride_of[inside], weight[inside], len(begin))) * np.sqrt(passages(mass).clip(0)))
-        live = (norm > 0) & ((passages(mass) >= (CANDIDATE * norm) ** 2 / 4) & (bound > 0))
+        # a passage's cosine is at most the share of its length that the block's words have; half of that share is
+        # asked for, as a word that stands twice counts four times in the folded vector and twice here
+        live = (norm > 0) & (passages(mass) >= (CANDIDATE * norm) ** 2 / 2)
         wanted = live.copy()
         wanted[1:] |= live[:-1] & pair[:-1]
         inside = inside[wanted[stride_of[inside]]]
@@ -214,7 +217,11 @@ def _judged(row: int, item: Item, text: list[int], first: int, cosine: float) ->
     than the item, so that words picked from all over a long stretch do not add up to one."""
     n = len(item.words)
     size, best, at = n + n // 2 + 1, 0, 0
+    known = set(item.words)
+    seen = np.concatenate(([0], np.cumsum([w in known for w in text])))
     for low in range(0, max(1, len(text) - size + 1 + n // 4), max(1, n // 4)):
+        if seen[min(len(text), low + size)] - seen[low] < max(best, PARAPHRASE * n):
+            continue  # too few of the item's words, in whatever order
         got = common_words(item.words, text[low : low + size])
         if got > best:
             best, at = got, low
@@ -243,6 +250,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     stated = stated.filter("text is not null").distinct()
     held, documents_n = frequencies(rows)
     idf = np.log((1.0 + documents_n) / (1.0 + held))
+    idf[idf < COMMON] = 0.0
     schema = "id bigint, item bigint, cosine double, shared double, answered boolean, first_word bigint, end_word bigint"
     out = None
     listed = [tuple(r) for r in stated.orderBy("item", "text", "answer").collect()]  # the stated query set
@@ -293,11 +301,15 @@ def _block(spark, listed: list[tuple], idf: np.ndarray) -> tuple[Space, list[Ite
     if not items:
         return None
     vocabulary = np.unique(np.concatenate([features(w) for *_, w in items]))
+    vocabulary = vocabulary[idf[vocabulary] > 0]
+    if not len(vocabulary):
+        return None
     rows = spark.createDataFrame([(t,) for _, t, _ in items], "text string")
     basis = latent_space(rows, vocabulary, idf, min(RANK, len(items)))
     vectors = np.zeros((len(items), basis.shape[1]))
     for i, (_, _, words) in enumerate(items):
         f = features(words)
+        f = f[idf[f] > 0]
         w = idf[f]
         vectors[i] = (w / max(1e-12, np.sqrt((w * w).sum()))) @ basis[np.searchsorted(vocabulary, f)]
     return Space(vocabulary, basis, vectors), [i for i, *_ in items]
