@@ -5,8 +5,8 @@ split into blocks, some block holds at most its proportional share of that dista
 range-joined alone, and what any block finds is verified exactly on the whole vectors.
 
 The range join of a block cuts its subspace into the Voronoi cells of sampled pivots. A vector is at home in the cell
-of its nearest pivot and visits every later cell whose bisector lies within the range; two vectors in range of each
-other meet there. Cells are cut into tiles of bounded size, home tiles against home tiles and visitors, so that a cell
+of its nearest pivot and visits every later cell whose bisector lies within the range and whose farthest vector may be;
+two vectors in range of each other meet there. Cells are cut into tiles of bounded size, home tiles against home tiles and visitors, so that a cell
 that holds a third of all vectors is many small tasks. A pair is counted in the first block that finds it.
 """
 
@@ -23,8 +23,8 @@ from rentroll.llm.graph import components
 from rentroll.session import durable
 
 BLOCK_DIMENSIONS = 16
-TILE = 512  # vectors of a tile; a task holds two tiles
-ROWS_PER_PIVOT, PIVOTS_MOST, PIVOTS_LEAST = 512, 1024, 16
+TILE, VISITORS = 1024, 4096  # vectors of a home tile and of a tile of visitors; a task holds two tiles
+ROWS_PER_PIVOT, PIVOTS_MOST, PIVOTS_LEAST = 2048, 1024, 8
 SLACK = 1e-7  # added to every range against rounding; the verification alone decides
 
 
@@ -66,16 +66,20 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
 
 
-def _cells(x: np.ndarray, pivots: np.ndarray, gaps: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home cell, rows that visit, cells they visit). Only cells after the home cell are visited, so that two vectors
-    meet in the later one of their homes."""
+def _homes(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances to all pivots, home cell)."""
     far = _distances(x, pivots)
-    home = far.argmin(1)
-    own = far[np.arange(len(x)), home]
+    return far, far.argmin(1)
+
+
+def _visits(far: np.ndarray, home: np.ndarray, gaps: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that visit, cells they visit). Only cells after the home cell are visited, so that two vectors meet in the
+    later one of their homes."""
+    own = far[np.arange(len(far)), home]
     near = (far - own[:, None]) <= 2 * reach * gaps[home] + SLACK  # distance to the bisector of both pivots
-    near &= np.arange(len(pivots))[None] > home[:, None]
-    row, cell = np.nonzero(near)
-    return home, row, cell
+    near &= np.sqrt(far) <= radius[None] + reach + SLACK
+    near &= np.arange(far.shape[1])[None] > home[:, None]
+    return np.nonzero(near)
 
 
 def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame, DataFrame]:
@@ -97,38 +101,59 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
     gaps = [np.sqrt(_distances(p, p)) for p in pivots]
     plan = spark.sparkContext.broadcast((turn, pivots, gaps))  # PIVOTS_MOST vectors at most
 
-    def placed(batch: pa.RecordBatch):
-        turn, pivots, gaps = plan.value
+    def turned(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        turn, pivots, _ = plan.value
         unit = np.stack([np.frombuffer(u.as_buffer()) for u in batch.column(2)])
-        turned = unit @ turn
+        x = unit @ turn
         for k, (a, b) in enumerate(cut):
-            yield k, turned, _cells(turned[:, a:b], pivots[k], gaps[k], float(np.sqrt(budgets[k])))
+            yield k, *_homes(x[:, a:b], pivots[k])
 
-    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for k, _, (home, _, cell) in placed(batch):
-                m = len(plan.value[1][k])
+            for k, far, home in turned(batch):
+                m = far.shape[1]
+                radius = np.zeros(m)
+                np.maximum.at(radius, home, np.sqrt(far[np.arange(len(far)), home]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, k), pa.int32()), pa.array(np.arange(m), pa.int32()), pa.array(np.bincount(home, minlength=m), pa.int64()),
-                     pa.array(np.bincount(cell, minlength=m), pa.int64())], names=["block", "cell", "homes", "visits"])
-
-    sizes = classes.mapInArrow(census, "block int, cell int, homes bigint, visits bigint").groupBy("block", "cell").agg(
-        F.sum("homes"), F.sum("visits")).collect()  # a row for each pivot and block
-    shape = {(k, c): (max(1, -(-h // TILE)), -(-v // TILE)) for k, c, h, v in sizes}
+                     pa.array(radius)], names=["block", "cell", "n", "radius"])
+
+    counted = classes.mapInArrow(homes, "block int, cell int, n bigint, radius double").groupBy("block", "cell").agg(
+        F.sum("n"), F.max("radius")).collect()  # a row for each pivot and block
+    radii = [np.full(len(p), -1.0) for p in pivots]
+    home_count = {}
+    for k, c, n, radius in counted:
+        home_count[k, c] = n
+        radii[k][c] = radius if n else -1.0
+    reaches = [float(np.sqrt(x)) for x in budgets]
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for k, far, home in turned(batch):
+                m = far.shape[1]
+                _, cell = _visits(far, home, plan.value[2][k], radii[k], reaches[k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k), pa.int32()), pa.array(np.arange(m), pa.int32()),
+                                                  pa.array(np.bincount(cell, minlength=m), pa.int64())], names=["block", "cell", "n"])
+
+    sizes = classes.mapInArrow(visits, "block int, cell int, n bigint").groupBy("block", "cell").agg(F.sum("n")).collect()
+    shape = {(k, c): (max(1, -(-home_count[k, c] // TILE)), -(-v // VISITORS)) for k, c, v in sizes}
     tiles = spark.sparkContext.broadcast(shape)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every vector to each pair of tiles it is part of: side 0 the home tile, 1 the other one."""
         shape = tiles.value
-        names = ["block", "cell", "tile", "other", "side", "class", "n", "unit", "turned"]
+        names = ["block", "cell", "tile", "other", "side", "class", "n", "unit"]
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
             spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-            for k, turned, (home, row, cell) in placed(batch):
+            for k, far, home in turned(batch):
+                row, cell = _visits(far, home, plan.value[2][k], radii[k], reaches[k])
                 to: list[tuple[int, int, int, int, int]] = []  # row, cell, tile, other, side
                 for i, c in enumerate(home.tolist()):
                     t, v = shape[k, c]
@@ -144,8 +169,7 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
                     picked = pa.array(at)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), k), pa.int32()), pa.array(c, pa.int32()), pa.array(tile, pa.int32()), pa.array(other, pa.int32()),
-                         pa.array(side, pa.int32()), batch.column(0).take(picked), batch.column(1).take(picked), batch.column(2).take(picked),
-                         pa.array([turned[i].tobytes() for i in at], pa.binary())], names=names)
+                         pa.array(side, pa.int32()), batch.column(0).take(picked), batch.column(1).take(picked), batch.column(2).take(picked)], names=names)
 
     def meet(table: pa.Table) -> pa.Table:
         """Links of a tile pair: (class, links, other); other names a spanning forest's edge, else NULL."""
@@ -153,7 +177,8 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
         side = table.column("side").to_numpy()
         ids, n = table.column("class").to_numpy(), table.column("n").to_numpy()
         unit = np.stack([np.frombuffer(u.as_buffer()) for u in table.column("unit")])
-        turned = np.stack([np.frombuffer(u.as_buffer()) for u in table.column("turned")])
+        # every task must round a vector's coordinates alike, so no matrix product, whose order hangs on its shape
+        turned = np.stack([(unit * column).sum(1) for column in plan.value[0].T], 1)
         left = np.flatnonzero(side == 0)
         right = left if tile == other else np.flatnonzero(side == 1)
         a, b = cut[k]
@@ -196,7 +221,7 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
             "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[e[:, 1]], pa.int64())])})
 
     dealt = classes.select("class", "n", "unit").mapInArrow(
-        deal, "block int, cell int, tile int, other int, side int, class bigint, n bigint, unit binary, turned binary")
+        deal, "block int, cell int, tile int, other int, side int, class bigint, n bigint, unit binary")
     met = durable(dealt.groupBy("block", "cell", "tile", "other").applyInArrow(meet, "class bigint, links bigint, other bigint"), "links")
     links = met.filter("other is null").groupBy("class").agg(F.sum("links").alias("links"))
     return links, met.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))
