@@ -1,20 +1,23 @@
 """N-gram Jaccard join with size-aware heavy and light sets.
 
 A document is the set of its distinct five-word shingles. Two documents link when their Jaccard similarity reaches
-80 %, so they share at least ceil(0.8 n) shingles, n being the size of either. With shingles in one common order,
-rare ones first, the first n - ceil(0.8 n) + l of both then have l in common. Sets below the boundary size are light:
-all pairs (l = 2) of their first shingles become keys. Heavy sets, and light ones large enough to link with a heavy
-one, enter the inverted lists (l = 1) of their first shingles. The boundary is where the estimated cost is least.
-
-Documents with equal sets form one class and are compared once. Links are found in two rounds. Star round: each key
-proposes a pair of each class with the key's pivot, which for copies by the thousand finds most links. Then the
-components so far are contracted, and the join of the keys proposes every pair that is still apart; what both rounds
-leave apart has no link. All pairs are verified on the whole sets.
+80 %, so they share at least ceil(0.8 n) shingles, n being the size of either. With shingles in one common order, the
+first n - ceil(0.8 n) + l of both then have l in common; here l = 3. Sets below the boundary size are light: every
+l of their first shingles become one key, and a shared key makes a candidate. Heavy sets, and light ones large enough
+to link with a heavy one, enter the inverted lists of their first shingles, and two sets found together in l lists are
+a candidate. The boundary is where the estimated cost is least.
+
+Any order is right; the one taken puts shingles of rare words first and those counted often, such as passages that many
+documents share, last. Documents with equal sets form one class and are compared once. Links are found in two rounds.
+Star round: each list proposes its members with its smallest one, which for copies by the thousand finds most links.
+Then the components so far are contracted, and the lists propose every pair that is still apart; what both rounds leave
+apart has no link. All candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,16 @@ from pyspark.sql import functions as F
 
 from rentroll.llm.graph import components
 from rentroll.llm.sketch import chunk_rows, collected
-from rentroll.llm.words import mixed, shingles, slices, word_hashes
+from rentroll.llm.words import mixed, shingles, slices, weighted_shingles, word_hashes
 from rentroll.session import durable
 
 WORDS = 5
 PERCENT = 80
-BUCKETS = 1 << 20  # of the shingle counts that order shingles; four bytes each
-STARS = 4  # pivots that the star round tries a class with; the second round tries all the rest
+SHARED = 3  # first shingles that linked sets have in common, or all of a set of fewer
+BUCKETS = 1 << 20  # of the shingle counts
+WORD_BUCKETS = 1 << 18  # of the word counts; both are four bytes each, at any size of the input
+STARS = 4  # partners that the star round tries a class with; the second round tries all the rest
+ID_BITS = 1 << 25  # of the filter that spares shingling documents again; the join after it decides
 _U = np.uint64
 
 
@@ -38,6 +44,12 @@ def prefix_length(n: int, common: int) -> int:
     return min(n, n - -(-PERCENT * n // 100) + common)
 
 
+def _subsets(n: int) -> int:
+    """Keys of a light set of n."""
+    k, p = min(SHARED, n), prefix_length(n, SHARED)
+    return p * (p - 1) * (p - 2) // 6 if k == 3 else 1
+
+
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for low, _, data, offsets in slices(batch.column(column)):
         yield low, shingles(*word_hashes(data, offsets), WORDS)
@@ -52,19 +64,21 @@ def signature(shingle_set: np.ndarray) -> int:
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """(id, text) as a stored table of (id, n, sig) rows and of (chunk, part) rows that count shingles by bucket."""
+    """(id, text) as a stored table of (id, n, sig) rows and of (chunk, part) rows that count shingles and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
+        counts = np.zeros(BUCKETS + WORD_BUCKETS, np.uint32)
         names = ["id", "n", "sig", "chunk", "part"]
         for batch in batches:
             sizes, sigs = [], []
-            for _, found in _sets(batch, 1):
+            for _, _, data, offsets in slices(batch.column(1)):
+                words, bounds = word_hashes(data, offsets)
+                found = shingles(words, bounds, WORDS)
                 sizes += [len(s) for s in found]
                 sigs += [signature(s) for s in found]
-                if any(len(s) for s in found):
-                    where = (np.concatenate(found) >> _U(44)).astype(np.int64)
-                    counts += np.bincount(where, minlength=BUCKETS).astype(np.uint32)
+                if len(words):
+                    where = np.concatenate([(np.concatenate(found) >> _U(44)).astype(np.int64), BUCKETS + (words >> _U(46)).astype(np.int64)])
+                    counts += np.bincount(where, minlength=len(counts)).astype(np.uint32)
             none = [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(none, pa.int32()),
@@ -79,123 +93,138 @@ def measured(rows: DataFrame) -> DataFrame:
     return durable(rows.mapInArrow(run, "id bigint, n bigint, sig bigint, chunk int, part binary"), "shingle-sets")
 
 
+def ordering(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level of each shingle bucket, weight of each word bucket); shingles stand in order of level, then word weight.
+
+    The level is 0 up to what chance puts into a bucket and grows with the logarithm above; the weight is the
+    logarithm of the word's count."""
+    counted = counts[:BUCKETS].astype(np.float64)
+    usual = counted.mean() + 6 * np.sqrt(counted.mean()) + 1
+    level = np.ceil(8 * np.log2(np.maximum(1.0, counted / usual))).astype(np.int64)
+    return level, np.rint(16 * np.log2(1.0 + counts[BUCKETS:])).astype(np.int64)
+
+
 def boundary(sizes: list[tuple[int, int]], counts: np.ndarray) -> int:
     """The size from which sets are heavy, at least estimated cost; ``sizes``: (size, classes) rows.
 
-    A light set costs its pairs of first shingles; a set in the inverted lists costs each of its first shingles and
-    the mean list found there. That mean is the self-join size of the rarer half of the counted buckets over their
-    sum, less what chance alone puts there.
+    A light set costs its keys; a set in the inverted lists costs each of its first shingles and the mean list found
+    there. That mean is the self-join size of the rarer half of the counted buckets over their sum, less what chance
+    alone puts there.
     """
-    low = np.sort(counts[counts > 0].astype(np.float64))
+    low = np.sort(counts[:BUCKETS][counts[:BUCKETS] > 0].astype(np.float64))
     low = low[: max(1, len(low) // 2)]
     mean_list = 1.0 + (max(0.0, (low**2).sum() / low.sum() - low.mean()) if len(low) else 0.0)
-    sizes = sorted(sizes)
     best, least = 2, None
-    for x in [2, *(int(s * 1.25) + 1 for s, _ in sizes)]:
+    for x in [2, *(int(s * 1.25) + 1 for s, _ in sorted(sizes))]:
         total = 0.0
         for n, many in sizes:
-            p = prefix_length(n, 2)
             if n < x:
-                total += many * p * (p - 1) / 2
+                total += many * _subsets(n)
             if 100 * n >= PERCENT * x:
-                total += many * prefix_length(n, 1) * (1.0 + mean_list)
+                total += many * prefix_length(n, SHARED) * (1.0 + mean_list)
         if least is None or total < least:
             best, least = x, total
-    return max(2, best)
+    return best
 
 
-def keys_of(shingle_set: np.ndarray, counts: np.ndarray, heavy_from: int) -> np.ndarray:
-    """The keys under which a set meets those it may link with; a set of less than two links with equal sets only."""
+def keys_of(shingle_set: np.ndarray, weight: np.ndarray, level: np.ndarray, heavy_from: int) -> tuple[np.ndarray, int]:
+    """(keys, how many of them are subsets); the others are inverted lists. A set of one links with equal sets only."""
     n = len(shingle_set)
     if n < 2:
-        return np.zeros(0, _U)
-    need = prefix_length(n, 2)
-    often = counts[(shingle_set >> _U(44)).astype(np.int64)]
-    if n > 4 * need:
-        part = np.argpartition(often, need)[: need + 1]
-        rare = np.flatnonzero(often <= often[part].max())
-        first = rare[np.argsort(often[rare], kind="stable")][:need]  # ties keep the order of the hashes
-    else:
-        first = np.argsort(often, kind="stable")[:need]
-    ordered = shingle_set[first]
-    out = []
+        return np.zeros(0, _U), 0
+    place = (level[(shingle_set >> _U(44)).astype(np.int64)] << 32) + weight
+    ordered = shingle_set[np.argsort(place, kind="stable")[: prefix_length(n, SHARED)]]  # ties keep the order of hashes
+    light = []
     if n < heavy_from:
-        i, j = np.triu_indices(need, 1)
-        pair = np.sort(np.stack([ordered[i], ordered[j]]), axis=0)
-        out.append(mixed(pair[0] * _U(0xA24BAED4963EE407) + pair[1]))
-    if 100 * n >= PERCENT * heavy_from:
-        out.append(ordered[: prefix_length(n, 1)])
-    return np.concatenate(out)
-
+        for some in combinations(np.sort(ordered).tolist(), min(SHARED, n)):
+            key = 0
+            for s in some:
+                key = (key * 0xA24BAED4963EE407 + s) & (1 << 64) - 1
+            light.append(key)
+    lists = ordered if 100 * n >= PERCENT * heavy_from else ordered[:0]
+    return np.concatenate([mixed(np.array(light, _U)), lists]), len(light)
 
-def _met(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> np.ndarray:
-    """Distinct (a, b, an, bn) of classes that met; sizes too unlike to link are given as 0."""
-    other = a != b
-    a, an, b, bn = a[other], an[other], b[other], bn[other]
-    close = 100 * np.minimum(an, bn) >= PERCENT * np.maximum(an, bn)
-    return np.unique(np.stack([a, b, np.where(close, an, 0), np.where(close, bn, 0)], 1), axis=0)
 
+def shared_keys(rows: DataFrame, shared, partitions: int) -> DataFrame:
+    """(key, sig, n, light): the keys that more than one class has, a row for each class that has it, some repeated.
 
-def _star_pairs(rows: DataFrame, shared, heavy_from: int, partitions: int) -> DataFrame:
-    """(a, b, an, bn): classes that share a key, each with the key's pivot.
-
-    Within a batch the first class of a key is its pivot; only that class goes on to the task that holds the key, so a
-    key of many classes costs a row for each batch. There the first class read is the pivot of the others.
+    Keys travel in blocks by hash. Within a batch a key that several classes have is written out, and one of them
+    goes on; so a key of very many classes costs a row for each batch, and the task that gathers it keeps one class.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        level, word_weight, heavy_from = shared.value
         for batch in batches:
             keys, sigs, sizes = [], [], []
-            for _, found in _sets(batch, 1):
-                for s in found:
-                    k = keys_of(s, counts, heavy_from)
+            for _, _, data, offsets in slices(batch.column(1)):
+                words, bounds = word_hashes(data, offsets)
+                for s, weight in weighted_shingles(words, bounds, word_weight[(words >> _U(46)).astype(np.int64)], WORDS):
+                    k, light = keys_of(s, weight, level, heavy_from)
                     if len(k):
                         keys.append(k)
                         sigs.append(np.full(len(k), signature(s), np.int64))
-                        sizes.append(np.full(len(k), len(s), np.int64))
+                        size = np.full(len(k), len(s), np.int32)
+                        size[:light] *= -1  # a subset's key
+                        sizes.append(size)
             if not keys:
                 continue
             key, sig, n = np.concatenate(keys), np.concatenate(sigs), np.concatenate(sizes)
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((sig, key))
             key, sig, n = key[order], sig[order], n[order]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            group = np.cumsum(new) - 1
-            met = _met(sig[new][group], n[new][group], sig, n)
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])))
             key, sig, n = key[new], sig[new], n[new]
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            many = np.diff(np.append(np.flatnonzero(first), len(key)))[np.cumsum(first) - 1] > 1
+            # what goes on: one class of each key; what is written out: the classes of keys that have several here
             block = (key % _U(partitions)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(partitions + 1))
-            out = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(partitions) if cuts[b] < cuts[b + 1]]
-            share = np.array_split(met, len(out))
+            rows_out: list[tuple] = []
+            for b in range(partitions):
+                at = order[cuts[b] : cuts[b + 1]]
+                if len(at):
+                    on, off = at[first[at]], at[many[at]]
+                    rows_out.append((b, *(x[on].tobytes() for x in (key, sig, n)), *(x[off].tobytes() for x in (key, sig, n))))
+            columns = list(zip(*rows_out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in out], pa.int32()), *(pa.array([x[o].tobytes() for _, o in out], pa.binary()) for x in (key, sig, n)),
-                 pa.array([m.tobytes() for m in share], pa.binary())], names=["block", "keys", "sigs", "sizes", "met"])
+                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+                names=["block", "keys", "sigs", "sizes", "own_keys", "own_sigs", "own_sizes"])
+
+    kinds = (_U, np.int64, np.int32)
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pivot, size = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pivot, size, told = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
         for batch in batches:
-            columns = (b"".join(batch.column(i).to_pylist()) for i in (1, 2, 3, 4))
-            key, sig, n, met = (np.frombuffer(c, t) for c, t in zip(columns, (_U, np.int64, np.int64, np.int64), strict=True))
-            order = np.argsort(key, kind="stable")
-            key, sig, n = key[order], sig[order], n[order]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            at = np.searchsorted(known, key[new])
-            old = np.zeros(len(at), bool)
-            if len(known):
-                old = known[np.minimum(at, len(known) - 1)] == key[new]
-            a, an = sig[new].copy(), n[new].copy()
-            a[old], an[old] = pivot[at[old]], size[at[old]]
-            group = np.cumsum(new) - 1
-            pairs = np.concatenate([met.reshape(-1, 4), _met(a[group], an[group], sig, n)])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], names=["a", "b", "an", "bn"])
-            known = np.concatenate([known, key[new][~old]])
-            pivot, size = np.concatenate([pivot, a[~old]]), np.concatenate([size, an[~old]])
-            order = np.argsort(known, kind="stable")
-            known, pivot, size = known[order], pivot[order], size[order]
-
-    dealt = rows.mapInArrow(blocks, "block int, keys binary, sigs binary, sizes binary, met binary").repartition(partitions, "block")
-    return dealt.mapInArrow(stars, "a bigint, b bigint, an bigint, bn bigint")
+            joined = [b"".join(batch.column(i).to_pylist()) for i in range(1, 7)]
+            key, sig, n = (np.frombuffer(c, t) for c, t in zip(joined[:3], kinds, strict=True))
+            own = [np.frombuffer(c, t) for c, t in zip(joined[3:], kinds, strict=True)]
+            order = np.lexsort((sig, key))
+            key, sig, n = (np.concatenate([x, y[order]]) for x, y in zip((known, pivot, size), (key, sig, n), strict=True))
+            told = np.concatenate([told, np.zeros(len(key) - len(told), bool)])
+            order = np.argsort(key, kind="stable")  # a class kept from before stands first
+            key, sig, n, told = key[order], sig[order], n[order], told[order]
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            group = np.cumsum(first) - 1
+            pivot_of = sig[first][group]
+            several = np.bincount(group, sig != pivot_of, first.sum()) > 0
+            give = several[group] & ~told & (first | (sig != pivot_of))
+            out = [np.concatenate([x[give], y]) for x, y in zip((key, sig, n), own, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0].view(np.int64)), pa.array(out[1]), pa.array(np.abs(out[2]).astype(np.int64)), pa.array(out[2] < 0)],
+                names=["key", "sig", "n", "light"])
+            known, pivot, size, told = key[first], sig[first], n[first], told[first] | several
+
+    kept = rows.mapInArrow(blocks, "block int, keys binary, sigs binary, sizes binary, own_keys binary, own_sigs binary, own_sizes binary")
+    return kept.repartition(partitions, "block").mapInArrow(gathered, "key bigint, sig bigint, n bigint, light boolean")
+
+
+def _candidates(left: DataFrame, right: DataFrame, apart) -> DataFrame:
+    """(a, b, held): pairs of like size that share a light key, or enough lists."""
+    like = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
+    both = left.join(right, ["key", "light"]).filter(apart & like)
+    counted = both.groupBy("a", "b").agg(
+        F.count("*").alias("held"), F.max("light").alias("by_subset"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    return counted.filter(F.col("by_subset") | (F.col("held") >= F.least(F.lit(SHARED), "an", "bn"))).select("a", "b", "held")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,70 +249,88 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _sets_of(rows: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, set) of the wanted classes, each from its document of smallest id. A filter of fixed size lets most
+    other documents pass unread; the join decides."""
+    spark = rows.sparkSession
+    first = durable(ids.filter("n > 1").groupBy("sig").agg(F.min("id").alias("id")).join(wanted, "sig", "left_semi"), "wanted")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(ID_BITS // 8, np.uint8)
+        for batch in batches:
+            h = (mixed(batch.column(0).fill_null(0).to_numpy().astype(_U)) % _U(ID_BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, h >> 3, (1 << (h & 7)).astype(np.uint8))
+        parts = chunk_rows(bits)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
+                                             names=["chunk", "part"])
+
+    bits = collected(first.select("id").mapInArrow(marked, "chunk int, part binary"), ID_BITS // 8, "u1", how=np.bitwise_or)
+    held = spark.sparkContext.broadcast(bits)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            h = (mixed(batch.column(0).fill_null(0).to_numpy().astype(_U)) % _U(ID_BITS)).astype(np.int64)
+            batch = batch.filter(pa.array(bits[h >> 3] >> (h & 7) & 1 == 1))
+            for low, found in _sets(batch, 1):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, len(found)), pa.array([signature(s) for s in found], pa.int64()),
+                     pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "sig", "set"])
+
+    some = rows.mapInArrow(read, "id bigint, sig bigint, set binary")
+    match = some["id"].eqNullSafe(first["id"]) & (some["sig"] == first["sig"])
+    return durable(some.join(first, match, "left_semi").select("sig", "set").dropDuplicates(["sig"]), "sets")
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents as (id, n_shingles, component_id), one row per input row.
 
     Words are runs of bytes other than blanks and tab to carriage return, A-Z lower-cased. n_shingles counts the
     distinct five-word shingles of the whole text; fewer words make one shingle, no words (a NULL, empty or blank
     text) none, and such a row links with nothing. component_id is the smallest id that links reach, the row's own
-    included; rows under one id are one document with the sets of all of them; a NULL id links but names no
-    component unless it is alone. An empty table gives an empty one. Other columns are not read. Runs jobs.
+    included; rows under one id are one document with the sets of all of them; a NULL id links with nothing. An empty
+    table gives an empty one. Other columns are not read. Runs jobs.
     """
     rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].cast("string").alias("text"))
     stored = measured(rows)
     spark = documents.sparkSession
-    ids = stored.filter("n is not null").select("id", "n", "sig")
-    counts = collected(stored.filter("chunk is not null").select("chunk", "part"), BUCKETS, "<u4")
+    every = stored.filter("n is not null").select("id", "n", "sig")
+    ids = every.filter("id is not null")
+    rows = rows.filter("id is not null")
+    counts = collected(stored.filter("chunk is not null").select("chunk", "part"), BUCKETS + WORD_BUCKETS, "<u4")
     binned = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.exp(F.floor(F.log("n") * 8) / 8)).cast("long"))
     classes = ids.filter("n > 1").groupBy("sig").agg(F.first("n").alias("n"))
-    heavy_from = boundary([tuple(r) for r in classes.groupBy(binned.alias("size")).count().collect()], counts)
-    shared = spark.sparkContext.broadcast(counts)  # BUCKETS numbers at any size
+    sizes = [tuple(r) for r in classes.groupBy(binned.alias("size")).count().collect()]  # at most some 200 rows
+    shared = spark.sparkContext.broadcast((*ordering(counts), boundary(sizes, counts)))  # of one size at any input
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    met = durable(_star_pairs(rows, shared, heavy_from, partitions).distinct(), "star-pairs")
-    near = met.filter("an > 0")
-    order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
-    stars = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= STARS).select("a", "b")
-
-    # the sets of all classes that share a key with another one, from one document of each
-    sharing = met.select(F.col("a").alias("sig")).union(met.select(F.col("b").alias("sig"))).distinct()
-    first = ids.filter("n > 1").groupBy("sig").agg(F.min("id").alias("id")).join(sharing, "sig", "left_semi")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, found in _sets(batch, 1):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(found)), pa.array([s.tobytes() for s in found], pa.binary()),
-                     pa.array([signature(s) for s in found], pa.int64())], names=["sig", "set", "own"])
-
-    texts = rows.join(first, rows["id"].eqNullSafe(first["id"])).select("sig", "text")
-    sets = texts.mapInArrow(sets_of, "sig bigint, set binary, own bigint").filter("sig = own").select("sig", "set")
-    sets = durable(sets.dropDuplicates(["sig"]), "shingle-sets")
+    members = durable(shared_keys(rows, shared, partitions).distinct(), "members")
+    # a linked class has a light key, or SHARED lists (as many as it has shingles if fewer), in common with another
+    wanted = members.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light"), F.first("n").alias("n")).filter(
+        F.col("light") | (F.col("keys") >= F.least(F.lit(SHARED), "n"))).select("sig")
+    wanted = durable(wanted, "wanted")
+    sets = _sets_of(rows, ids, wanted)
+    members = members.join(wanted, "sig", "left_semi")
+
+    pivots = members.groupBy("key", "light").agg(F.min(F.struct("sig", "n")).alias("p")).select(
+        "key", "light", F.col("p.sig").alias("a"), F.col("p.n").alias("an"))
+    other = members.select("key", "light", F.col("sig").alias("b"), F.col("n").alias("bn"))
+    order = Window.partitionBy("b").orderBy(F.desc("held"), "a")
+    stars = _candidates(pivots, other, F.col("a") < F.col("b")).withColumn("_n", F.row_number().over(order)).filter(
+        F.col("_n") <= STARS).select("a", "b")
+    stars = durable(stars, "stars")
     links = durable(_verified(stars, sets), "links")
     found = durable(components(links), "components")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            found = [np.frombuffer(s.as_buffer(), _U) for s in batch.column(1)]
-            keys = [keys_of(s, table, heavy_from) for s in found]
-            many = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), many)),
-                 pa.array(np.repeat([len(s) for s in found], many).astype(np.int64))], names=["key", "sig", "n"])
-
-    members = sets.mapInArrow(keyed, "key bigint, sig bigint, n bigint").join(
-        found, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    members = durable(members, "members")
-    apart = members.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key")
-    open_ = members.join(apart, "key", "left_semi")
-    other = open_.select("key", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"))
-    mine = open_.select("key", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("a_comp"))
-    close = (F.col("a_comp") != F.col("b_comp")) & (F.col("a") < F.col("b")) & (
-        100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = mine.join(other, "key").filter(close).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    late = durable(_verified(rest, sets), "links")
+    placed = members.join(found, F.col("sig") == F.col("node"), "left").select(
+        "key", "light", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+    apart = placed.groupBy("key", "light").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key", "light")
+    open_ = durable(placed.join(apart, ["key", "light"], "left_semi"), "members")
+    mine = open_.select("key", "light", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("a_comp"))
+    other = open_.select("key", "light", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"))
+    rest = _candidates(mine, other, (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")))
+    late = durable(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets), "links")
 
     # documents tie to their class, and classes to each other; a class's smallest id stands for it
     named = ids.filter("n > 0").groupBy("sig").agg(F.min("id").alias("doc"))
@@ -292,5 +339,5 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         named.select(F.col("sig").alias("b"), F.col("doc").alias("y")), "b").select("x", "y")
     same = ids.filter("n > 0").join(named, "sig").select(F.col("id").alias("x"), F.col("doc").alias("y")).filter("x <> y")
     whole = components(pairs.union(same).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return ids.join(whole, ids["id"] == whole["node"], "left").select(
+    return every.join(whole, every["id"] == whole["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

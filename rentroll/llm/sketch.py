@@ -16,7 +16,7 @@ def chunk_rows(vector: np.ndarray, chunks: int = CHUNKS) -> list[tuple[int, byte
     return [(i, part.tobytes()) for i, part in enumerate(np.array_split(vector, chunks)) if part.any()]
 
 
-def added(rows: DataFrame, dtype: str, chunks: int = CHUNKS) -> DataFrame:
+def added(rows: DataFrame, dtype: str, chunks: int = CHUNKS, how: np.ufunc = np.add) -> DataFrame:
     """(chunk, part) rows with the parts of a chunk added; a task holds its chunks' sums only, however many parts come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -25,7 +25,7 @@ def added(rows: DataFrame, dtype: str, chunks: int = CHUNKS) -> DataFrame:
             for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 values = np.frombuffer(part, dtype)
                 if chunk in sums:
-                    sums[chunk] += values
+                    how(sums[chunk], values, out=sums[chunk])
                 else:
                     sums[chunk] = values.copy()
         if sums:
@@ -35,9 +35,9 @@ def added(rows: DataFrame, dtype: str, chunks: int = CHUNKS) -> DataFrame:
     return rows.repartition(chunks, "chunk").mapInArrow(run, "chunk int, part binary")
 
 
-def collected(rows: DataFrame, length: int, dtype: str, chunks: int = CHUNKS) -> np.ndarray:
+def collected(rows: DataFrame, length: int, dtype: str, chunks: int = CHUNKS, how: np.ufunc = np.add) -> np.ndarray:
     """The summed vector of ``length`` numbers on the driver; its size is fixed, whatever the input."""
     out = np.array_split(np.zeros(length, dtype), chunks)
-    for chunk, part in added(rows, dtype, chunks).collect():
+    for chunk, part in added(rows, dtype, chunks, how).collect():
         out[chunk] = np.frombuffer(part, dtype)
     return np.concatenate(out)

@@ -91,21 +91,37 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row: runs of ``size`` words, or all words of a row that has fewer."""
+    return [s for s, _ in weighted_shingles(words, bounds, None, size)]
+
+
+def weighted_shingles(words: np.ndarray, bounds: np.ndarray, weights: np.ndarray | None,
+                      size: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As ``shingles``, with the sum of the weights of each shingle's words (all 0 without weights)."""
     factors = mixed(np.arange(1, size + 1, dtype=_U)) | _U(1)
     joined = np.zeros(max(0, len(words) - size + 1), _U)
+    summed = np.zeros(len(joined), np.int64)
     for j in range(size):
         joined += words[j : j + len(joined)] * factors[j]
+        if weights is not None:
+            summed += weights[j : j + len(joined)]
     joined = mixed(joined + _U(size))
     out = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         n = high - low
         if n >= size:
-            row = np.sort(joined[low : high - size + 1])
+            row, weight = joined[low : high - size + 1], summed[low : high - size + 1]
+            if weights is None:
+                row = np.sort(row)
+            else:
+                order = np.argsort(row)
+                row, weight = row[order], weight[order]
             if len(row) > 1:
-                row = row[np.concatenate(([True], row[1:] != row[:-1]))]
+                new = np.concatenate(([True], row[1:] != row[:-1]))
+                row, weight = row[new], weight[new] if weights is not None else weight
         elif n:
             row = mixed((words[low:high] * factors[:n]).sum(dtype=_U, keepdims=True) + _U(n))
+            weight = np.zeros(1, np.int64)
         else:
-            row = np.zeros(0, _U)
-        out.append(row)
+            row, weight = np.zeros(0, _U), np.zeros(0, np.int64)
+        out.append((row, weight))
     return out
