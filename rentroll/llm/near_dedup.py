@@ -62,6 +62,15 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, unit binary, d int")
 
 
+def matrix(column: pa.Array, d: int) -> np.ndarray:
+    """The unit vectors of a binary column as rows, without a copy for each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, ends, data = column.buffers()
+    first = np.frombuffer(ends, np.int32)[column.offset] // 8
+    return np.frombuffer(data, float)[first : first + len(column) * d].reshape(len(column), d)
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
 
@@ -103,8 +112,7 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
 
     def turned(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         turn, pivots, _ = plan.value
-        unit = np.stack([np.frombuffer(u.as_buffer()) for u in batch.column(2)])
-        x = unit @ turn
+        x = matrix(batch.column(2), d) @ turn
         for k, (a, b) in enumerate(cut):
             yield k, *_homes(x[:, a:b], pivots[k])
 
@@ -154,39 +162,45 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
             spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
             for k, far, home in turned(batch):
                 row, cell = _visits(far, home, plan.value[2][k], radii[k], reaches[k])
-                to: list[tuple[int, int, int, int, int]] = []  # row, cell, tile, other, side
-                for i, c in enumerate(home.tolist()):
-                    t, v = shape[k, c]
-                    mine = int(spread[i] % t)
-                    to += [(i, c, mine, o, 0) for o in range(mine, t)]  # its own tile, and the home tiles after it
-                    to += [(i, c, o, mine, 1) for o in range(mine)]
-                    to += [(i, c, mine, t + o, 0) for o in range(v)]
-                for i, c in zip(row.tolist(), cell.tolist(), strict=True):
+                # row, cell, tile, other, side
+                to = []
+                for c in np.unique(np.concatenate([home, cell])).tolist():
                     t, v = shape[k, c]
-                    to += [(i, c, o, t + int(spread[i] % v), 1) for o in range(t)]
-                for low in range(0, len(to), 8192):
-                    at, c, tile, other, side = (np.array(x) for x in zip(*to[low : low + 8192], strict=True))
+                    own, come = np.flatnonzero(home == c), row[cell == c]
+                    mine = spread[own] % t
+                    for o in range(t):
+                        # its own tile and the home tiles after it on side 0, those before it on side 1
+                        to.append((own, c, np.minimum(mine, o), np.maximum(mine, o), (o < mine).astype(int)))
+                        if v:
+                            to.append((come, c, np.full(len(come), o), t + spread[come] % v, np.ones(len(come), int)))
+                    to += [(own, c, mine, np.full(len(own), t + o), np.zeros(len(own), int)) for o in range(v)]
+                to = [np.concatenate(x) for x in zip(*((i, np.full(len(i), c), *rest) for i, c, *rest in to), strict=True)]
+                for low in range(0, len(to[0]), 8192):
+                    at, c, tile, other, side = (x[low : low + 8192] for x in to)
                     picked = pa.array(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), k), pa.int32()), pa.array(c, pa.int32()), pa.array(tile, pa.int32()), pa.array(other, pa.int32()),
-                         pa.array(side, pa.int32()), batch.column(0).take(picked), batch.column(1).take(picked), batch.column(2).take(picked)], names=names)
+                        [pa.array(np.full(len(at), k), pa.int32()), *(pa.array(x.astype(np.int32)) for x in (c, tile, other, side)),
+                         batch.column(0).take(picked), batch.column(1).take(picked), batch.column(2).take(picked)], names=names)
 
     def meet(table: pa.Table) -> pa.Table:
         """Links of a tile pair: (class, links, other); other names a spanning forest's edge, else NULL."""
         k, tile, other = (table.column(c)[0].as_py() for c in ("block", "tile", "other"))
         side = table.column("side").to_numpy()
         ids, n = table.column("class").to_numpy(), table.column("n").to_numpy()
-        unit = np.stack([np.frombuffer(u.as_buffer()) for u in table.column("unit")])
-        # every task must round a vector's coordinates alike, so no matrix product, whose order hangs on its shape
-        turned = np.stack([(unit * column).sum(1) for column in plan.value[0].T], 1)
+        unit = matrix(table.column("unit"), d)
+        turn = plan.value[0]
         left = np.flatnonzero(side == 0)
         right = left if tile == other else np.flatnonzero(side == 1)
         a, b = cut[k]
-        found_i, found_j = np.nonzero(_distances(turned[left, a:b], turned[right, a:b]) <= budgets[k] + SLACK)
+        part = unit @ turn[:, a:b]
+        found_i, found_j = np.nonzero(_distances(part[left], part[right]) <= budgets[k] + SLACK)
         i, j = left[found_i], right[found_j]
         if tile == other:
             later = ids[i] < ids[j]
             i, j = i[later], j[later]
+        # every task must round a found vector's coordinates alike, so no matrix product, whose order hangs on its shape
+        some, turned = np.unique(np.concatenate([i, j])), np.zeros_like(unit)
+        turned[some] = np.stack([(unit[some] * column).sum(1) for column in turn.T], 1)
         keep = []
         for low in range(0, len(i), 65536):
             x, y = i[low : low + 65536], j[low : low + 65536]
