@@ -8,10 +8,10 @@ to link with a heavy one, enter the inverted lists of their first shingles, and
 a candidate. The boundary is where the estimated cost is least.
 
 Any order is right; the one taken puts shingles of rare words first and those counted often, such as passages that many
-documents share, last. Documents with equal sets form one class and are compared once. Links are found in two rounds.
-Star round: each list proposes its members with its smallest one, which for copies by the thousand finds most links.
-Then the components so far are contracted, and the lists propose every pair that is still apart; what both rounds leave
-apart has no link. All candidates are verified on the whole sets.
+documents share, last. Documents with equal sets form one class and are compared once. Links are found in rounds.
+Star rounds: each list proposes its members with one that is in most lists, and so among the least altered of its
+copies; for copies by the thousand a few rounds find most links. After each the components so far are contracted. The
+last round proposes every pair that is still apart; what it leaves apart has no link. All candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ PERCENT = 80
 SHARED = 3  # first shingles that linked sets have in common, or all of a set of fewer
 BUCKETS = 1 << 20  # of the shingle counts
 WORD_BUCKETS = 1 << 18  # of the word counts; both are four bytes each, at any size of the input
-STARS = 4  # partners that the star round tries a class with; the second round tries all the rest
+STARS = 4  # partners that a star round tries a class with, and the number of star rounds; the last round tries all the rest
+STAR_ROUNDS = 3
 ID_BITS = 1 << 25  # of the filter that spares shingling documents again; the join after it decides
 _U = np.uint64
 
@@ -218,6 +219,15 @@ def shared_keys(rows: DataFrame, shared, partitions: int) -> DataFrame:
     return kept.repartition(partitions, "block").mapInArrow(gathered, "key bigint, sig bigint, n bigint, light boolean")
 
 
+def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members of the keys that still join different components, with their component."""
+    if found is None:
+        return members.withColumn("comp", F.col("sig"))
+    placed = members.join(found, F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sig")).drop("node", "component")
+    apart = placed.groupBy("key", "light").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key", "light")
+    return placed.join(apart, ["key", "light"], "left_semi")
+
+
 def _candidates(left: DataFrame, right: DataFrame, apart) -> DataFrame:
     """(a, b, held): pairs of like size that share a light key, or enough lists."""
     like = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
@@ -306,31 +316,42 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     members = durable(shared_keys(rows, shared, partitions).distinct(), "members")
-    # a linked class has a light key, or SHARED lists (as many as it has shingles if fewer), in common with another
-    wanted = members.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light"), F.first("n").alias("n")).filter(
-        F.col("light") | (F.col("keys") >= F.least(F.lit(SHARED), "n"))).select("sig")
+    # a linked class has a light key, or SHARED lists (as many as it has shingles if fewer), in common with others of like
+    # size: theirs is a band of sizes that both belong to, each class being in its own band and the next
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
+    banded = members.withColumn("band", F.explode(F.array(band, band + 1)))
+    meeting = banded.groupBy("key", "light", "band").agg(F.min("sig").alias("c"), F.max("sig").alias("d")).filter("c < d")
+    met = banded.join(meeting.select("key", "light", "band"), ["key", "light", "band"], "left_semi").groupBy("key", "light", "sig", "n").agg(
+        F.lit(1).alias("one"))
+    wanted = met.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light"), F.first("n").alias("n")).filter(
+        F.col("light") | (F.col("keys") >= F.least(F.lit(SHARED), "n"))).select("sig", "keys")
     wanted = durable(wanted, "wanted")
     sets = _sets_of(rows, ids, wanted)
-    members = members.join(wanted, "sig", "left_semi")
-
-    pivots = members.groupBy("key", "light").agg(F.min(F.struct("sig", "n")).alias("p")).select(
-        "key", "light", F.col("p.sig").alias("a"), F.col("p.n").alias("an"))
-    other = members.select("key", "light", F.col("sig").alias("b"), F.col("n").alias("bn"))
-    order = Window.partitionBy("b").orderBy(F.desc("held"), "a")
-    stars = _candidates(pivots, other, F.col("a") < F.col("b")).withColumn("_n", F.row_number().over(order)).filter(
-        F.col("_n") <= STARS).select("a", "b")
-    stars = durable(stars, "stars")
-    links = durable(_verified(stars, sets), "links")
-    found = durable(components(links), "components")
-
-    placed = members.join(found, F.col("sig") == F.col("node"), "left").select(
-        "key", "light", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    apart = placed.groupBy("key", "light").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key", "light")
-    open_ = durable(placed.join(apart, ["key", "light"], "left_semi"), "members")
+    members = durable(members.join(wanted, "sig").select("key", "light", "sig", "n", "keys"), "members")
+
+    links = found = tried = None
+    for _ in range(STAR_ROUNDS):
+        placed = _placed(members, found)
+        central = F.max(F.struct("keys", F.xxhash64("sig", "comp"), "sig", "n", "comp")).alias("p")
+        pivots = placed.groupBy("key", "light").agg(central).select(
+            "key", "light", F.col("p.sig").alias("a"), F.col("p.n").alias("an"), F.col("p.comp").alias("a_comp"))
+        other = placed.select("key", "light", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"))
+        order = Window.partitionBy("b").orderBy(F.desc("held"), "a")
+        pairs = _candidates(pivots, other, F.col("a_comp") != F.col("b_comp"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        stars = durable(pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= STARS).select("a", "b"), "stars")
+        tried = stars if tried is None else tried.union(stars)
+        fresh = durable(_verified(stars, sets), "links")
+        links = fresh if links is None else links.union(fresh)
+        found = durable(components(links), "components")
+
+    open_ = durable(_placed(members, found), "members")
     mine = open_.select("key", "light", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("a_comp"))
     other = open_.select("key", "light", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"))
     rest = _candidates(mine, other, (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")))
-    late = durable(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets), "links")
+    both_ways = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = durable(_verified(rest.join(both_ways, ["a", "b"], "left_anti"), sets), "links")
 
     # documents tie to their class, and classes to each other; a class's smallest id stands for it
     named = ids.filter("n > 0").groupBy("sig").agg(F.min("id").alias("doc"))
