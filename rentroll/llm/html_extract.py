@@ -214,7 +214,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(pages[id_col].cast("long").alias("page"), pages[url_col].cast("string").alias("url"),
                         host_of(pages[url_col].cast("string")).alias("host"), pages[html_col].cast("string").alias("html"))
     known_pages = durable(rows.mapInArrow(parsed, PARSED), "parsed-pages")
-    known = templates(known_pages.select("page", "host", "tokens"))
+    # stored, so that its size is known: the planner broadcasts it below its threshold and else joins by host
+    known = durable(templates(known_pages.select("page", "host", "tokens")), "templates")
     both = known_pages.select("page", "url", "host", "blocks", "article").join(known, "host", "left")
     fixed = F.coalesce("fixed", F.array().cast("array<string>"))
 
