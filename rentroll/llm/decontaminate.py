@@ -23,7 +23,7 @@ from rentroll.llm.words import separators, slices, word_hashes
 FEATURES = 1 << 18  # hashed words
 RANK = 256  # dimensions of a latent space, and items that share one
 OVERSAMPLE, POWERS = 16, 2
-COMMON = 2.0  # words in more than exp(-COMMON) of all documents weigh nothing
+COMMON = 1.0  # words in more than exp(-COMMON) of all documents weigh nothing
 STRIDE = 16  # words; a passage is two strides long
 CANDIDATE = 0.35
 LEAK, PARAPHRASE = 0.8, 0.5
