@@ -131,7 +131,7 @@ def _built(spark, sf):
     return ledger.build_income_ledger(
         shape(spark, sf, "raw_invoices"), shape(spark, sf, "property"), shape(spark, sf, "units"),
         empty(spark, INCOME), shape(spark, sf, "known_tenant"), shape(spark, sf, "lease"), empty(spark, LEASE_TENANT),
-        F.year("date_created"), order_by=["line_no"],
+        F.year("date_created"), order_by=["line_no"], on_conflict="report",
     )
 
 
@@ -681,7 +681,7 @@ def run_year(spark, sf):
     tables["bank_transaction_staging"] = staged
     out = year_run.run_year(
         tables, F.year("date_created"), shape(spark, sf, "raw_invoices"), None, LOAN_RULES, UTILITY_RULE,
-        order_by=["line_no"], staging_order=BANK_ORDER,
+        order_by=["line_no"], staging_order=BANK_ORDER, on_conflict="report",
     )
 
     def summary(name: str, amount: str) -> DataFrame:

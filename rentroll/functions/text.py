@@ -63,7 +63,9 @@ def one_of_ci(c: Column, values: Sequence[str]) -> Column:
 
 
 def contains_any(c: Column, phrases: Sequence[str]) -> Column:
-    """Whether any phrase occurs, ignoring case; NULL holds none."""
+    """Whether any phrase occurs, ignoring case; NULL holds none, and no phrases are never found."""
+    if not phrases:
+        return F.lit(False)
     if len(phrases) == 1:
         found = F.lower(c).contains(phrases[0].lower())
     else:
@@ -171,11 +173,15 @@ def account_from_path(path: Column) -> Column:
 def leading(c: Column, prefixes: Sequence[str]) -> Column:
     """The first of ``prefixes`` (in capitals) that the text starts with, ignoring case; else NULL.
 
-    One match for the whole list, so a description is looked at once.
+    One match for the whole list, so a description is looked at once. No prefixes give NULL.
     """
+    if not prefixes:
+        return F.lit(None).cast("string")
     pattern = "(?iu)^(?:" + "|".join(re.escape(p) for p in prefixes) + ")"
     return F.nullif(F.upper(F.regexp_extract(c, pattern, 0)), F.lit(""))
 
 
 def starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:
+    if not prefixes:
+        return F.lit(False)
     return F.coalesce(c.rlike("(?iu)^(?:" + "|".join(re.escape(p) for p in prefixes) + ")"), F.lit(False))

@@ -30,8 +30,10 @@ def _number(placed: DataFrame, group_by: list[str], span: list[str], position: s
         spans = spans.withColumn("_before", F.col("_before") + F.coalesce(F.col("_last"), F.lit(0)))
     spans = spans.select(*group_by, *span, (F.col("_before") - F.col("_lo") + 1).alias("_shift"))
     # stored, its size is known, so the planner itself decides whether it may be broadcast
-    out = placed.join(durable(spans, "spans"), [*group_by, *span])
-    return out.withColumn(name, F.col(position) + F.col("_shift")).drop(*span, position, "_shift")
+    spans = durable(spans, "spans")
+    at = placed.alias("rows").join(
+        spans.alias("spans"), [F.col(f"rows.{c}").eqNullSafe(F.col(f"spans.{c}")) for c in [*group_by, *span]])
+    return at.select("rows.*", "_shift").withColumn(name, F.col(position) + F.col("_shift")).drop(*span, position, "_shift")
 
 
 def _scalar(start: DataFrame):
@@ -80,13 +82,15 @@ def number_file_rows(
     """Number scanned rows in file order; moves no rows.
 
     A scan gives each row its file, its split's offset and a position rising
-    within the split, so counts per split are enough.
+    within the split; rows are ranked in their split, and counts per split do the rest.
     """
     placed = durable(
         df.withColumn("_file", F.col(file_col)).withColumn("_block", F.col(block_col))
-        .withColumn("_at", F.col(line_col)),
+        .withColumn("_line", F.col(line_col)),
         "scanned",
     )
+    # positions have gaps where the scan left records out; a split is bounded, so its rows can be ranked
+    placed = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_line"))).drop("_line")
     start = df.sparkSession.range(1).select(F.lit(last).cast("bigint").alias("_last"))
     return _number(placed, [], ["_file", "_block"], "_at", name, start)
 

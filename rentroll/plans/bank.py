@@ -196,15 +196,21 @@ def derive_utility_expenses(
     providers: DataFrame,
     expenses: DataFrame,
     order_by: Sequence[str] = ("id",),
+    years: Sequence[int] | None = None,
 ) -> UtilityExpenses:
     """Expenses keyed by trace number for the utility's debits; the last row of a key wins.
 
+    With ``years`` only their rows are booked and marked.
+
     The category and provider must exist; they and the two properties are read once.
     """
     category = required_key(categories, "category_name", "category_id", rule.category)
     provider = required_key(providers, "provider_name", "provider_id", rule.provider)
     above, below = (_property_key(properties, n) for n in (rule.above, rule.below))
     judged = utility_outcomes(staging, rule)
+    if years is not None:
+        judged = judged.withColumn("outcome", F.when(F.col("year").isin(list(years)), F.col("outcome")))
+        staging = staging.filter(F.col("year").isin(list(years)))
     debits = staging.filter(_debit() & F.col("posting_date").isNotNull() & F.col("amount").isNotNull())
     ours = debits.filter(text.starts_with_any(F.col("description"), [rule.prefix]))
     traced = ours.withColumn("trn", text.trace_number(F.col("description"))).filter(F.col("trn").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rentroll.functions import parse, text
 from rentroll.operators.lookup import collect_members, latest_by_email, resolve_property, resolve_unit
-from rentroll.operators.mutate import GuardedUpsert, guarded_upsert
+from rentroll.operators.mutate import GuardedUpsert, guarded_upsert, require_no_conflicts
 from rentroll.operators.quality import year_column
 from rentroll.operators.sequence import surrogate_keys
 from rentroll.schemas import INCOME, LEASE, LEASE_TENANT, TENANT, conform
@@ -204,15 +204,18 @@ def build_income_ledger(
     order_by: Sequence[str] = LINE_COLUMNS,
     overwrite: bool = False,
     lenient_dates: bool = False,
+    on_conflict: str = "raise",
 ) -> LedgerBuild:
     """Raw invoice rows (ledger names, all text) to complete new table states.
 
     ``year`` is the processing year; an expression lets one run hold many years.
-    Rows without an id or with an unreadable lease number come back as rejects.
+    Rows without an id or a year, or with an unreadable lease number, come back as rejects. A row whose key is
+    stored under another year stops the run; with ``on_conflict="report"`` it is left out and listed in the actions.
     """
     parsed = parse_invoices(normalize_invoices(raw), lenient_dates).withColumn("year", year_column(year))
     # parsed once: the tenant, lease and ledger steps each read only the columns they need
-    reasoned = durable(parsed.withColumn("reason", reject_reason()), "invoices")
+    reasoned = durable(
+        parsed.withColumn("reason", F.coalesce(reject_reason(), F.when(F.col("year").isNull(), F.lit("missing year")))), "invoices")
     rejects = reasoned.filter(F.col("reason").isNotNull()).select("transaction_id", "reason", *order_by)
     good = reasoned.filter(F.col("reason").isNull()).drop("reason", "_bad_lease", "property", "unit")
     placed = resolve_unit(resolve_property(good, properties, "property_name"), units, "unit_name")
@@ -223,4 +226,6 @@ def build_income_ledger(
 
     rows = conform(keyed.drop("payer").withColumnRenamed("tenant_id", "payer"), INCOME.schema, keep_extra=True)
     result: GuardedUpsert = guarded_upsert(income, rows, "transaction_id", "year", order_by, overwrite)
+    if on_conflict == "raise":
+        require_no_conflicts(result.actions)
     return LedgerBuild(result.table, result.actions, rejects, who.tenants, lets.leases, lets.links)

@@ -27,17 +27,21 @@ def run_year(
     years: Sequence[int] | None = None,
     order_by: Sequence[str] = LINE_COLUMNS,
     staging_order: Sequence[str] = ("id",),
+    on_conflict: str = "raise",
 ) -> dict[str, DataFrame]:
     """New states of all tables; nothing is written, so a failed run leaves the stored tables alone.
 
     ``invoices`` are raw rows under ledger names, ``landed`` new staging rows.
-    Vacancy comes last because it must see the final ledger.
+    Vacancy comes last because it must see the final ledger. Utilities and vacancy
+    keep to ``years``, by default the one ``year`` if that is a number.
     """
+    if years is None and isinstance(year, int):
+        years = [year]
     out = dict(tables)
     if invoices is not None:
         built = build_income_ledger(
             invoices, out["property"], out["units"], out["income"], out["tenant"], out["lease"],
-            out["lease_tenant"], year, order_by, overwrite,
+            out["lease_tenant"], year, order_by, overwrite, on_conflict=on_conflict,
         )
         out.update(
             income=built.ledger, tenant=built.tenants, lease=built.leases, lease_tenant=built.lease_tenants,
@@ -53,7 +57,7 @@ def run_year(
     if utility_rule is not None:
         utility = derive_utility_expenses(
             out["bank_transaction_staging"], utility_rule, out["file_processing"], out["property"],
-            out["expense_category"], out["provider"], out["expense"], staging_order,
+            out["expense_category"], out["provider"], out["expense"], staging_order, years,
         )
         out.update(expense=utility.expenses, bank_transaction_staging=utility.staging)
     if landed is not None:
