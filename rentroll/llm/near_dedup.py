@@ -23,7 +23,7 @@ from rentroll.llm.graph import components
 from rentroll.session import durable
 
 BLOCK_DIMENSIONS = 16
-TILE, VISITORS = 1024, 4096  # vectors of a home tile and of a tile of visitors; a task holds two tiles
+TILE, VISITORS = 4096, 8192  # vectors of a home tile and of a tile of visitors; a task holds two tiles
 ROWS_PER_PIVOT, PIVOTS_MOST, PIVOTS_LEAST = 2048, 1024, 8
 SLACK = 1e-7  # added to every range against rounding; the verification alone decides
 
@@ -175,6 +175,8 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
                             to.append((come, c, np.full(len(come), o), t + spread[come] % v, np.ones(len(come), int)))
                     to += [(own, c, mine, np.full(len(own), t + o), np.zeros(len(own), int)) for o in range(v)]
                 to = [np.concatenate(x) for x in zip(*((i, np.full(len(i), c), *rest) for i, c, *rest in to), strict=True)]
+                order = np.argsort(to[0], kind="stable")  # copies of a vector side by side compress well
+                to = [x[order] for x in to]
                 for low in range(0, len(to[0]), 8192):
                     at, c, tile, other, side = (x[low : low + 8192] for x in to)
                     picked = pa.array(at)
@@ -193,7 +195,11 @@ def join_classes(classes: DataFrame, d: int, cosine: float) -> tuple[DataFrame,
         right = left if tile == other else np.flatnonzero(side == 1)
         a, b = cut[k]
         part = unit @ turn[:, a:b]
-        found_i, found_j = np.nonzero(_distances(part[left], part[right]) <= budgets[k] + SLACK)
+        pairs = []
+        for low in range(0, len(left), 512):  # a strip of the tile's distances at a time
+            x, y = np.nonzero(_distances(part[left[low : low + 512]], part[right]) <= budgets[k] + SLACK)
+            pairs.append((x + low, y))
+        found_i, found_j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (left[:0], left[:0])
         i, j = left[found_i], right[found_j]
         if tile == other:
             later = ids[i] < ids[j]
