@@ -2,7 +2,7 @@
 
 A document is the set of its distinct five-word shingles. Two documents link when their Jaccard similarity reaches
 80 %, so they share at least ceil(0.8 n) shingles, n being the size of either. With shingles in one common order, the
-first n - ceil(0.8 n) + l of both then have l in common; here l = 3. Sets below the boundary size are light: every
+first n - ceil(0.8 n) + l of both then have l in common; here l = 2. Sets below the boundary size are light: every
 l of their first shingles become one key, and a shared key makes a candidate. Heavy sets, and light ones large enough
 to link with a heavy one, enter the inverted lists of their first shingles, and two sets found together in l lists are
 a candidate. The boundary is where the estimated cost is least.
@@ -12,12 +12,16 @@ documents share, last. Documents with equal sets form one class and are compared
 Star rounds: each list proposes its members with one that is in most lists, and so among the least altered of its
 copies; for copies by the thousand a few rounds find most links. After each the components so far are contracted. The
 last round proposes every pair that is still apart; what it leaves apart has no link. All candidates are verified on the whole sets.
+In all rounds a pair is proposed only if the parities of its sets in BITS buckets allow the similarity: no more of them
+can differ than the sets have shingles that only one holds, so no link is lost, and most others are never paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,9 @@ from rentroll.session import durable
 
 WORDS = 5
 PERCENT = 80
-SHARED = 3  # first shingles that linked sets have in common, or all of a set of fewer
+SHARED = 2  # first shingles that linked sets have in common
+BITS = 512  # parities of a set, in 64-bit words
+PARITIES = [f"p{i}" for i in range(BITS // 64)]
 BUCKETS = 1 << 20  # of the shingle counts
 WORD_BUCKETS = 1 << 18  # of the word counts; both are four bytes each, at any size of the input
 STARS = 4  # partners that a star round tries a class with, and the number of star rounds; the last round tries all the rest
@@ -47,8 +53,7 @@ def prefix_length(n: int, common: int) -> int:
 
 def _subsets(n: int) -> int:
     """Keys of a light set of n."""
-    k, p = min(SHARED, n), prefix_length(n, SHARED)
-    return p * (p - 1) * (p - 2) // 6 if k == 3 else 1
+    return comb(prefix_length(n, SHARED), SHARED)
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -64,6 +69,12 @@ def signature(shingle_set: np.ndarray) -> int:
     return int(mixed(total + _U(len(shingle_set))).view(np.int64)[0]) or 1
 
 
+def parities(shingle_set: np.ndarray) -> np.ndarray:
+    """For each of BITS buckets, whether it holds an odd number of the shingles, as 64-bit words."""
+    odd = np.bincount((mixed(shingle_set) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def measured(rows: DataFrame) -> DataFrame:
     """(id, text) as a stored table of (id, n, sig) rows and of (chunk, part) rows that count shingles and words."""
 
@@ -137,7 +148,7 @@ def keys_of(shingle_set: np.ndarray, weight: np.ndarray, level: np.ndarray, heav
     ordered = shingle_set[np.argsort(place, kind="stable")[: prefix_length(n, SHARED)]]  # ties keep the order of hashes
     light = []
     if n < heavy_from:
-        for some in combinations(np.sort(ordered).tolist(), min(SHARED, n)):
+        for some in combinations(np.sort(ordered).tolist(), SHARED):
             key = 0
             for s in some:
                 key = (key * 0xA24BAED4963EE407 + s) & (1 << 64) - 1
@@ -228,13 +239,23 @@ def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return placed.join(apart, ["key", "light"], "left_semi")
 
 
+def _side(placed: DataFrame, name: str) -> DataFrame:
+    """Members with their class, size, component and parities named after one side of a pair."""
+    return placed.select("key", "light", F.col("sig").alias(name), F.col("n").alias(f"{name}n"), F.col("comp").alias(f"{name}_comp"),
+                         *(F.col(p).alias(f"{name}_{p}") for p in PARITIES))
+
+
 def _candidates(left: DataFrame, right: DataFrame, apart) -> DataFrame:
-    """(a, b, held): pairs of like size that share a light key, or enough lists."""
+    """(a, b, held): pairs of like size and parities that share a light key, or enough lists.
+
+    Of a linked pair at most (100 - PERCENT) / (100 + PERCENT) of both sizes together are shingles of one set only."""
     like = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
-    both = left.join(right, ["key", "light"]).filter(apart & like)
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES))
+    near = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("an") + F.col("bn"))
+    both = left.join(right, ["key", "light"]).filter(apart & like & near)
     counted = both.groupBy("a", "b").agg(
-        F.count("*").alias("held"), F.max("light").alias("by_subset"), F.first("an").alias("an"), F.first("bn").alias("bn"))
-    return counted.filter(F.col("by_subset") | (F.col("held") >= F.least(F.lit(SHARED), "an", "bn"))).select("a", "b", "held")
+        F.count("*").alias("held"), F.max("light").alias("by_subset"))
+    return counted.filter(F.col("by_subset") | (F.col("held") >= SHARED)).select("a", "b", "held")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -260,7 +281,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, set) of the wanted classes, each from its document of smallest id. A filter of fixed size lets most
+    """(sig, set, parities) of the wanted classes, each from its document of smallest id. A filter of fixed size lets most
     other documents pass unread; the join decides."""
     spark = rows.sparkSession
     first = durable(ids.filter("n > 1").groupBy("sig").agg(F.min("id").alias("id")).join(wanted, "sig", "left_semi"), "wanted")
@@ -284,13 +305,15 @@ def _sets_of(rows: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
             h = (mixed(batch.column(0).fill_null(0).to_numpy().astype(_U)) % _U(ID_BITS)).astype(np.int64)
             batch = batch.filter(pa.array(bits[h >> 3] >> (h & 7) & 1 == 1))
             for low, found in _sets(batch, 1):
+                odd = np.array([parities(s) for s in found], np.int64).reshape(len(found), len(PARITIES))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, len(found)), pa.array([signature(s) for s in found], pa.int64()),
-                     pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "sig", "set"])
+                     pa.array([s.tobytes() for s in found], pa.binary()), *(pa.array(word) for word in odd.T.copy())],
+                    names=["id", "sig", "set", *PARITIES])
 
-    some = rows.mapInArrow(read, "id bigint, sig bigint, set binary")
+    some = rows.mapInArrow(read, f"id bigint, sig bigint, set binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
     match = some["id"].eqNullSafe(first["id"]) & (some["sig"] == first["sig"])
-    return durable(some.join(first, match, "left_semi").select("sig", "set").dropDuplicates(["sig"]), "sets")
+    return durable(some.join(first, match, "left_semi").select("sig", "set", *PARITIES).dropDuplicates(["sig"]), "sets")
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,26 +339,25 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     members = durable(shared_keys(rows, shared, partitions).distinct(), "members")
-    # a linked class has a light key, or SHARED lists (as many as it has shingles if fewer), in common with others of like
-    # size: theirs is a band of sizes that both belong to, each class being in its own band and the next
+    # a linked class has a light key, or SHARED lists, in common with others of like size: theirs is a band of sizes that both belong to, each class being in its own band and the next
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
     banded = members.withColumn("band", F.explode(F.array(band, band + 1)))
     meeting = banded.groupBy("key", "light", "band").agg(F.min("sig").alias("c"), F.max("sig").alias("d")).filter("c < d")
     met = banded.join(meeting.select("key", "light", "band"), ["key", "light", "band"], "left_semi").groupBy("key", "light", "sig", "n").agg(
         F.lit(1).alias("one"))
-    wanted = met.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light"), F.first("n").alias("n")).filter(
-        F.col("light") | (F.col("keys") >= F.least(F.lit(SHARED), "n"))).select("sig", "keys")
+    wanted = met.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light")).filter(
+        F.col("light") | (F.col("keys") >= SHARED)).select("sig", "keys")
     wanted = durable(wanted, "wanted")
     sets = _sets_of(rows, ids, wanted)
-    members = durable(members.join(wanted, "sig").select("key", "light", "sig", "n", "keys"), "members")
+    known = wanted.join(sets.select("sig", *PARITIES), "sig")
+    members = durable(members.join(known, "sig").select("key", "light", "sig", "n", "keys", *PARITIES), "members")
 
     links = found = tried = None
     for _ in range(STAR_ROUNDS):
         placed = _placed(members, found)
-        central = F.max(F.struct("keys", F.xxhash64("sig", "comp"), "sig", "n", "comp")).alias("p")
-        pivots = placed.groupBy("key", "light").agg(central).select(
-            "key", "light", F.col("p.sig").alias("a"), F.col("p.n").alias("an"), F.col("p.comp").alias("a_comp"))
-        other = placed.select("key", "light", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"))
+        central = F.max_by(F.struct("sig", "n", "comp", *PARITIES), F.struct("keys", F.xxhash64("sig", "comp"), "sig")).alias("p")
+        pivots = _side(placed.groupBy("key", "light").agg(central).select("key", "light", "p.*"), "a")
+        other = _side(placed, "b")
         order = Window.partitionBy("b").orderBy(F.desc("held"), "a")
         pairs = _candidates(pivots, other, F.col("a_comp") != F.col("b_comp"))
         if tried is not None:
@@ -347,9 +369,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         found = durable(components(links), "components")
 
     open_ = durable(_placed(members, found), "members")
-    mine = open_.select("key", "light", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("a_comp"))
-    other = open_.select("key", "light", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"))
-    rest = _candidates(mine, other, (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")))
+    rest = _candidates(_side(open_, "a"), _side(open_, "b"), (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")))
     both_ways = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = durable(_verified(rest.join(both_ways, ["a", "b"], "left_anti"), sets), "links")
 
