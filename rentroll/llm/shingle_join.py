@@ -8,7 +8,8 @@ to link with a heavy one, enter the inverted lists of their first shingles, and
 a candidate. The boundary is where the estimated cost is least.
 
 Any order is right; the one taken puts shingles of rare words first and those counted often, such as passages that many
-documents share, last. Documents with equal sets form one class and are compared once. Links are found in rounds.
+documents share, last. Documents with equal sets form one class and are compared once. Lists of the very same
+classes are kept as one that counts for all of them. Links are found in rounds.
 Star rounds: each list proposes its members with one that is in most lists, and so among the least altered of its
 copies; for copies by the thousand a few rounds find most links. After each the components so far are contracted. The
 last round proposes every pair that is still apart; what it leaves apart has no link. All candidates are verified on the whole sets.
@@ -241,10 +242,20 @@ def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _side(placed: DataFrame, name: str) -> DataFrame:
     """Members with their class, size, component and parities named after one side of a pair."""
-    return placed.select("key", "light", F.col("sig").alias(name), F.col("n").alias(f"{name}n"), F.col("comp").alias(f"{name}_comp"),
+    return placed.select("key", "light", "lists", F.col("sig").alias(name), F.col("n").alias(f"{name}n"), F.col("comp").alias(f"{name}_comp"),
                          *(F.col(p).alias(f"{name}_{p}") for p in PARITIES))
 
 
+def _merged(members: DataFrame) -> DataFrame:
+    """(key, light, lists): a key for all keys that have the same classes, and how many those are; none for lone classes.
+
+    Keys are told apart by two sums of hashes and the count of their classes."""
+    kept = members.groupBy("key", "light").agg(
+        F.count("*").alias("many"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.sum(F.shiftright(F.xxhash64("n", "sig"), 20)).alias("y"))
+    return kept.filter("many > 1").groupBy("light", "many", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("lists")).select(
+        "key", "light", "lists")
+
+
 def _candidates(left: DataFrame, right: DataFrame, apart) -> DataFrame:
     """(a, b, held): pairs of like size and parities that share a light key, or enough lists.
 
@@ -252,9 +263,9 @@ def _candidates(left: DataFrame, right: DataFrame, apart) -> DataFrame:
     like = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES))
     near = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("an") + F.col("bn"))
-    both = left.join(right, ["key", "light"]).filter(apart & like & near)
+    both = left.drop("lists").join(right, ["key", "light"]).filter(apart & like & near)
     counted = both.groupBy("a", "b").agg(
-        F.count("*").alias("held"), F.max("light").alias("by_subset"))
+        F.sum("lists").alias("held"), F.max("light").alias("by_subset"))
     return counted.filter(F.col("by_subset") | (F.col("held") >= SHARED)).select("a", "b", "held")
 
 
@@ -349,14 +360,16 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         F.col("light") | (F.col("keys") >= SHARED)).select("sig", "keys")
     wanted = durable(wanted, "wanted")
     sets = _sets_of(rows, ids, wanted)
-    known = wanted.join(sets.select("sig", *PARITIES), "sig")
-    members = durable(members.join(known, "sig").select("key", "light", "sig", "n", "keys", *PARITIES), "members")
+    members = durable(members.join(wanted, "sig").select("key", "light", "sig", "n", "keys"), "members")
+    merged = durable(_merged(members), "merged")
+    members = members.join(merged, ["key", "light"]).join(sets.select("sig", *PARITIES), "sig")
+    members = durable(members.select("key", "light", "lists", "sig", "n", "keys", *PARITIES), "members")
 
     links = found = tried = None
     for _ in range(STAR_ROUNDS):
         placed = _placed(members, found)
         central = F.max_by(F.struct("sig", "n", "comp", *PARITIES), F.struct("keys", F.xxhash64("sig", "comp"), "sig")).alias("p")
-        pivots = _side(placed.groupBy("key", "light").agg(central).select("key", "light", "p.*"), "a")
+        pivots = _side(placed.groupBy("key", "light").agg(F.first("lists").alias("lists"), central).select("key", "light", "lists", "p.*"), "a")
         other = _side(placed, "b")
         order = Window.partitionBy("b").orderBy(F.desc("held"), "a")
         pairs = _candidates(pivots, other, F.col("a_comp") != F.col("b_comp"))
