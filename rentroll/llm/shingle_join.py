@@ -2,7 +2,7 @@
 
 A document is the set of its distinct five-word shingles. Two documents link when their Jaccard similarity reaches
 80 %, so they share at least ceil(0.8 n) shingles, n being the size of either. With shingles in one common order, the
-first n - ceil(0.8 n) + l of both then have l in common; here l = 2. Sets below the boundary size are light: every
+first n - ceil(0.8 n) + l of both then have l in common; here l = 3. Sets below the boundary size are light: every
 l of their first shingles become one key, and a shared key makes a candidate. Heavy sets, and light ones large enough
 to link with a heavy one, enter the inverted lists of their first shingles, and two sets found together in l lists are
 a candidate. The boundary is where the estimated cost is least.
@@ -36,7 +36,7 @@ from rentroll.session import durable
 
 WORDS = 5
 PERCENT = 80
-SHARED = 2  # first shingles that linked sets have in common
+SHARED = 3  # first shingles that linked sets have in common, or all of a set of fewer
 BITS = 512  # parities of a set, in 64-bit words
 PARITIES = [f"p{i}" for i in range(BITS // 64)]
 BUCKETS = 1 << 20  # of the shingle counts
@@ -54,7 +54,7 @@ def prefix_length(n: int, common: int) -> int:
 
 def _subsets(n: int) -> int:
     """Keys of a light set of n."""
-    return comb(prefix_length(n, SHARED), SHARED)
+    return comb(prefix_length(n, SHARED), min(SHARED, n))
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -149,7 +149,7 @@ def keys_of(shingle_set: np.ndarray, weight: np.ndarray, level: np.ndarray, heav
     ordered = shingle_set[np.argsort(place, kind="stable")[: prefix_length(n, SHARED)]]  # ties keep the order of hashes
     light = []
     if n < heavy_from:
-        for some in combinations(np.sort(ordered).tolist(), SHARED):
+        for some in combinations(np.sort(ordered).tolist(), min(SHARED, n)):
             key = 0
             for s in some:
                 key = (key * 0xA24BAED4963EE407 + s) & (1 << 64) - 1
@@ -265,8 +265,8 @@ def _candidates(left: DataFrame, right: DataFrame, apart) -> DataFrame:
     near = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("an") + F.col("bn"))
     both = left.drop("lists").join(right, ["key", "light"]).filter(apart & like & near)
     counted = both.groupBy("a", "b").agg(
-        F.sum("lists").alias("held"), F.max("light").alias("by_subset"))
-    return counted.filter(F.col("by_subset") | (F.col("held") >= SHARED)).select("a", "b", "held")
+        F.sum("lists").alias("held"), F.max("light").alias("by_subset"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    return counted.filter(F.col("by_subset") | (F.col("held") >= F.least(F.lit(SHARED), "an", "bn"))).select("a", "b", "held")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -350,14 +350,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     members = durable(shared_keys(rows, shared, partitions).distinct(), "members")
-    # a linked class has a light key, or SHARED lists, in common with others of like size: theirs is a band of sizes that both belong to, each class being in its own band and the next
+    # a linked class has a light key, or SHARED lists (fewer if smaller), in common with others of like size: theirs is a band of sizes that both belong to, each class being in its own band and the next
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
     banded = members.withColumn("band", F.explode(F.array(band, band + 1)))
     meeting = banded.groupBy("key", "light", "band").agg(F.min("sig").alias("c"), F.max("sig").alias("d")).filter("c < d")
     met = banded.join(meeting.select("key", "light", "band"), ["key", "light", "band"], "left_semi").groupBy("key", "light", "sig", "n").agg(
         F.lit(1).alias("one"))
-    wanted = met.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light")).filter(
-        F.col("light") | (F.col("keys") >= SHARED)).select("sig", "keys")
+    wanted = met.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light"), F.first("n").alias("n")).filter(
+        F.col("light") | (F.col("keys") >= F.least(F.lit(SHARED), "n"))).select("sig", "keys")
     wanted = durable(wanted, "wanted")
     sets = _sets_of(rows, ids, wanted)
     members = durable(members.join(wanted, "sig").select("key", "light", "sig", "n", "keys"), "members")
