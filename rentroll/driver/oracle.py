@@ -324,6 +324,9 @@ BODIES: dict[str, str] = {
     "leases_with_tenants": "SELECT lease_number, property, unit, year, CAST(0 AS INTEGER) AS segment, "
     "coalesce((SELECT string_agg(CAST(tenant_id AS VARCHAR), ',' ORDER BY tenant_id) FROM links "
     "WHERE lease_id = lease_number), '') AS tenants FROM lease",
+    "lease_member_pages": "SELECT lease_number, CAST(place // 2 AS INTEGER) AS segment, "
+    "string_agg(CAST(tenant_id AS VARCHAR), ',' ORDER BY tenant_id) AS tenants FROM (SELECT lease_id AS lease_number, tenant_id, "
+    "row_number() OVER (PARTITION BY lease_id ORDER BY tenant_id) - 1 AS place FROM links) GROUP BY 1, 2",
     "lease_summaries": "SELECT lease_number, unit, (SELECT count(*) FROM links WHERE lease_id = lease_number) AS n "
     "FROM lease",
     "tenant_maps": "SELECT tenant_id, name, email, CAST(4 AS BIGINT) AS n FROM tenant",
@@ -426,6 +429,11 @@ BODIES: dict[str, str] = {
     "message_body": "SELECT message_number, CAST(0 AS INTEGER) AS segment, string_agg(text, '' ORDER BY part_no) AS body "
     "FROM (SELECT message_number, part_no, CASE WHEN lower(mime_type) LIKE 'text/plain%' THEN content "
     f"WHEN lower(mime_type) LIKE 'text/html%' THEN {_visible_text('content')} ELSE '' END AS text FROM parts) GROUP BY 1",
+    "message_body_pages": "SELECT message_number, CAST(part_no // 2 AS INTEGER) AS segment, "
+    "string_agg(text, '' ORDER BY part_no) AS body "
+    "FROM (SELECT message_number, part_no, CASE WHEN lower(mime_type) LIKE 'text/plain%' THEN content "
+    f"WHEN lower(mime_type) LIKE 'text/html%' THEN {_visible_text('content')} ELSE '' END AS text FROM parts) GROUP BY 1, 2",
+    "bill_notices_no_phrases": "SELECT message_number, subject FROM messages WHERE false",
     "message_attachments": "SELECT message_number, CAST(0 AS INTEGER) AS segment, CASE WHEN any_value(multipart) THEN "
     "coalesce(string_agg(file_name, ',' ORDER BY part_no) FILTER (WHERE lower(trim(disposition)) = 'attachment'), '') "
     "END AS attachments FROM parts GROUP BY 1",

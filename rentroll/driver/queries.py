@@ -177,6 +177,15 @@ def leases_with_tenants(spark, sf):
     )
 
 
+@register
+def lease_member_pages(spark, sf):
+    rows = lookup.collect_members(_simple_links(spark, sf), "lease_id", "tenant_id", "tenants", page_size=2)
+    return rows.select(
+        F.col("lease_id").alias("lease_number"), "segment",
+        F.array_join(F.col("tenants").cast("array<string>"), ",").alias("tenants"),
+    )
+
+
 @register
 def lease_summaries(spark, sf):
     rows = ledger.leases_with_tenants(shape(spark, sf, "lease"), _simple_links(spark, sf))
@@ -542,6 +551,16 @@ def message_body(spark, sf):
     return messages.message_bodies(shape(spark, sf, "parts"))
 
 
+@register
+def message_body_pages(spark, sf):
+    return messages.message_bodies(shape(spark, sf, "parts"), parts_per_row=2)
+
+
+@register
+def bill_notices_no_phrases(spark, sf):
+    return messages.bill_notices(_messages(spark, sf), []).select("message_number", "subject")
+
+
 @register
 def message_attachments(spark, sf):
     rows = messages.attachments(shape(spark, sf, "parts"))

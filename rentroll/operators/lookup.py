@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rentroll.functions.text import folded
 from rentroll.operators.mutate import apart, one_per_key
+from rentroll.operators.sequence import dense_sequence
 
 PLACEHOLDER_ID = 0
 
@@ -120,19 +121,20 @@ def loan_property_name(lender: Column, description: Column, rules: Sequence[Loan
 
 
 def collect_members(
-    pairs: DataFrame, key: str, member: str, out: str, limit: int = 10_000
+    pairs: DataFrame, key: str, member: str, out: str, page_size: int = 10_000
 ) -> DataFrame:
-    """Sorted member list for each key, as (key, segment, list).
+    """(key, segment, list): each key's members in order, a row for each page of ``page_size``.
 
-    A key with up to ``limit`` members has one row, segment 0. A larger one goes
-    on over further rows, so no task ever holds an unbounded list.
+    The rule is the same for every key: a member's page is its place among the
+    key's members, from 0, divided by the page size. Repeated pairs count once, and
+    pairs that hold a NULL are left out. Places come from one global numbering, so
+    no task holds more of a key than a page. Runs jobs when called.
     """
-    pairs = pairs.select(key, member).distinct()
-    sizes = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_segments"))
-    big = sizes.filter(F.col("_segments") > 1)
-    spread = pairs.join(apart(big), key, "left").withColumn(
-        "segment",
-        F.when(F.col("_segments").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(member), F.col("_segments")).cast("int")),
+    pairs = pairs.select(key, member).filter(F.col(key).isNotNull() & F.col(member).isNotNull()).distinct()
+    placed = dense_sequence(pairs, [key, member], name="_place", settle=True)
+    first = apart(placed.groupBy(key).agg(F.min("_place").alias("_first")))
+    page = F.floor((F.col("_place") - F.col("_first")) / page_size).cast("int")
+    return (
+        placed.join(first, key).withColumn("segment", page)
+        .groupBy(key, "segment").agg(F.sort_array(F.collect_list(member)).alias(out))
     )
-    return spread.groupBy(key, "segment").agg(F.sort_array(F.collect_list(member)).alias(out))

@@ -104,10 +104,17 @@ def guarded_upsert(
     known = known.withColumn("action", action)
     actions = known.select(key, F.col(scope).alias("scope"), "existing_scope", "action")
     incoming = known.filter(F.col("action").isin("insert", "update")).select(*target.columns)
-    kept = target
-    if overwrite:
-        kept = target.join(incoming.select(key), key, "left_anti")
-    return GuardedUpsert(kept.unionByName(incoming).select(*target.columns), actions)
+    if not overwrite:
+        return GuardedUpsert(target.unionByName(incoming).select(*target.columns), actions)
+    # keys are unique on both sides: one outer join gives the new table, and the batch is reduced once for it
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+    old = target.select(F.col(key).alias("_key"), F.struct(*target.columns).alias("_old"))
+    new = unique.select(F.col(key).alias("_key"), F.struct(*typed).alias("_new"))
+    same = F.col(f"_old.{scope}").eqNullSafe(F.col(f"_new.{scope}"))
+    replaced = F.col("_new").isNotNull() & (F.col("_old").isNull() | same)
+    both = old.join(new, "_key", "full_outer")
+    table = both.select(F.when(replaced, F.col("_new")).otherwise(F.col("_old")).alias("_row")).select("_row.*")
+    return GuardedUpsert(table, actions)
 
 
 def require_no_conflicts(actions: DataFrame) -> None:

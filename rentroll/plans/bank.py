@@ -17,7 +17,7 @@ from rentroll.operators.lookup import (
     resolve_property,
     rule_prefixes,
 )
-from rentroll.operators.mutate import append, full_upsert, one_per_key
+from rentroll.operators.mutate import apart, append, full_upsert, one_per_key
 from rentroll.operators.quality import year_column
 from rentroll.operators.sequence import dense_sequence, last_numbers_by_year, number_file_rows
 from rentroll.schemas import BANK_PAYMENT, EXPENSE, MONEY, STAGING, conform
@@ -28,13 +28,14 @@ PAYMENT_LABEL = "BANKPAY"
 def staged_columns(raw: DataFrame, year: Column | int) -> DataFrame:
     """Bank export rows as staging columns, without ids; unreadable dates and amounts are NULL.
 
-    Columns of ``raw`` other than the export's own are carried along.
+    A header that the export lacks gives NULLs. Columns of ``raw`` other than the export's own are carried along.
     """
     export = {
         "details": "details", "posting date": "posting_date", "description": "description", "amount": "amount",
         "type": "type", "check or slip #": "check_num",
     }
     carried = [F.col(f"`{c}`") for c in raw.columns if c not in export and c != "balance"]
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in export if c not in raw.columns})
     texts = raw.select(
         *[
             text.empty_to_null(text.truncated(F.col(c)) if c == "description" else F.col(f"`{c}`")).alias(n)
@@ -57,19 +58,29 @@ def with_file_id(rows: DataFrame, manifest: DataFrame, path: str = "source_file"
     return rows.join(files, F.col(path) == F.col("_path"), "left").drop("_path")
 
 
+def not_landed(rows: DataFrame, staging: DataFrame) -> DataFrame:
+    """Rows of files that ``staging`` does not hold; rows without a file are all kept."""
+    return rows.join(apart(staging.select("file_id").distinct()), "file_id", "left_anti").select(*rows.columns)
+
+
 def land_bank_export(
     raw: DataFrame,
     manifest: DataFrame,
     year: Column | int,
     last_id: int = 0,
     order_by: Sequence[str] | None = None,
+    staging: DataFrame | None = None,
 ) -> DataFrame:
     """Staging rows with file and row ids.
 
     Scanned files are numbered in file order without moving a row; rows from
-    elsewhere are numbered by ``order_by``.
+    elsewhere are numbered by ``order_by``. With the stored ``staging`` table, files
+    landed before are left out and ids go on after its highest.
     """
     rows = with_file_id(staged_columns(raw, year), manifest)
+    if staging is not None:
+        rows = not_landed(rows, staging)
+        last_id = max(last_id, staging.agg(F.max("id")).first()[0] or 0)
     if order_by is None:
         rows = number_file_rows(rows, last=last_id)
     else:

@@ -21,11 +21,17 @@ def _optional(name: str, df: DataFrame) -> Column:
     return text.clean_optional(F.col(name)) if name in df.columns else F.lit(None).cast("string")
 
 
+INVOICE_TEXTS = (
+    "transaction_id", "status", "type", "transaction_category", "method_of_payment", "transaction_details",
+)
+
+
 def normalize_invoices(raw: DataFrame) -> DataFrame:
     """Drop voided rows and credits; clean text, categories, methods and flags.
 
-    Columns the step does not know are carried along.
+    Columns the step does not know are carried along; a text column that is not there is NULL.
     """
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in INVOICE_TEXTS if c not in raw.columns})
     kept = raw.filter(text.kept_invoice(F.col("status"), F.col("transaction_category")))
     # in steps, so that each text is cleaned once however often later rules look at it
     clean = kept.withColumns(
@@ -159,12 +165,12 @@ def resolve_leases(
     )
 
 
-def leases_with_tenants(leases: DataFrame, links: DataFrame) -> DataFrame:
-    """Leases with the sorted list of their tenants, empty where there are none.
+def leases_with_tenants(leases: DataFrame, links: DataFrame, page_size: int = 10_000) -> DataFrame:
+    """Leases with the sorted list of their tenants, a row for each page of ``page_size`` of them.
 
-    A lease with more tenants than one row may hold goes on over further segments.
+    Segment 0 is there for every lease, with an empty list where there are no tenants.
     """
-    lists = collect_members(links, "lease_id", "tenant_id", "tenants").withColumnRenamed("lease_id", "lease_number")
+    lists = collect_members(links, "lease_id", "tenant_id", "tenants", page_size).withColumnRenamed("lease_id", "lease_number")
     none = F.array().cast("array<bigint>")
     joined = leases.join(lists, "lease_number", "left")
     return joined.withColumns(

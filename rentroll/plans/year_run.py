@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from rentroll.operators.lookup import LoanRule
+from rentroll.operators.lookup import LoanRule, ensure_placeholder_property
 from rentroll.operators.mutate import append
-from rentroll.plans.bank import UtilityRule, derive_loan_payments, derive_utility_expenses
+from rentroll.plans.bank import UtilityRule, derive_loan_payments, derive_utility_expenses, not_landed
 from rentroll.plans.ledger import build_income_ledger
 from rentroll.plans.vacancy import ledger_with_vacancy_loss
 from rentroll.sources.csv import LINE_COLUMNS
@@ -31,7 +31,9 @@ def run_year(
 ) -> dict[str, DataFrame]:
     """New states of all tables; nothing is written, so a failed run leaves the stored tables alone.
 
-    ``invoices`` are raw rows under ledger names, ``landed`` new staging rows.
+    ``invoices`` are raw rows under ledger names, ``landed`` new staging rows; those of
+    files that staging holds already are left out, so that a repeated run adds nothing.
+    The property table gets the placeholder that rows of unknown properties refer to.
     Vacancy comes last because it must see the final ledger. Utilities and vacancy
     keep to ``years``, by default the one ``year`` if that is a number.
     """
@@ -48,7 +50,8 @@ def run_year(
             income_actions=built.actions, income_rejects=built.rejects,
         )
     if landed is not None:
-        out["bank_transaction_staging"] = append(out["bank_transaction_staging"], landed)
+        staging = out["bank_transaction_staging"]
+        out["bank_transaction_staging"] = append(staging, not_landed(landed, staging))
     if loan_rules:
         loans = derive_loan_payments(
             out["bank_transaction_staging"], loan_rules, out["property"], out["bank_payment"], staging_order
@@ -63,4 +66,5 @@ def run_year(
     if landed is not None:
         out["file_processing"] = write_counts(out["file_processing"], file_counts(out["bank_transaction_staging"]))
     out["income"] = ledger_with_vacancy_loss(out["income"], out["property"], years, recompute_vacancy)
+    out["property"] = ensure_placeholder_property(out["property"])
     return out

@@ -41,11 +41,12 @@ def check_input(spark: SparkSession, path: str | None) -> str:
     return path
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any line leaves a quote open, so that a record may go on over the next line."""
+def _spanning_files(spark: SparkSession, path: str) -> list[str]:
+    """Files in which a line leaves a quote open, so that a record may go on over the next line: names only."""
     lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(lines.filter(quotes % 2 == 1).limit(1).count())
+    odd = lines.filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return sorted(r["file"] for r in odd.collect())
 
 
 def _field_count(record) -> F.Column:
@@ -59,38 +60,50 @@ def scan_csv(
     """Read a CSV file, or a folder of CSV files with the same header.
 
     A record lacking fields goes to ``rejects`` (or raises when ``strict``);
-    surplus fields are dropped. Files are split among tasks unless a quoted value
-    holds a line break; ``multiline`` states that beforehand and saves the look.
+    surplus fields are dropped. Files are split among tasks, but for those in which a
+    quoted value holds a line break; ``multiline`` states that beforehand for all files
+    and saves the look.
     """
     check_input(spark, path)
-    if multiline is None:
-        multiline = _spans_lines(spark, path)
-    reader = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
-    )
-    headers = reader.csv(path).columns
-    schema = StructType([StructField(h, StringType()) for h in headers] + [StructField(_BAD, StringType())])
-    read = (
-        reader.schema(schema)
-        .option("columnNameOfCorruptRecord", _BAD)
-        # a file whose header differs must not be read under wrong names
-        .option("enforceSchema", False)
-        # a pruned parser would not notice short records
-        .option("columnPruning", False)
-        .csv(path)
-    )
+    spanning = _spanning_files(spark, path) if multiline is None else []
+
+    def reader(whole: bool):
+        return (
+            spark.read.option("header", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", whole)
+            .option("pathGlobFilter", "*.[cC][sS][vV]")
+        )
+
+    headers = reader(bool(multiline or spanning)).csv(path).columns
     names = [normalize_header(h) for h in headers]
-    named = read.select(
-        *[trimmed(F.col(f"`{h}`")).alias(n) for h, n in zip(headers, names)],
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("line_block"),
-        F.monotonically_increasing_id().alias("line_at"),
-        F.col(_BAD),
-    )
+    schema = StructType([StructField(h, StringType()) for h in headers] + [StructField(_BAD, StringType())])
+
+    def named_rows(whole: bool, files) -> DataFrame:
+        read = (
+            reader(whole).schema(schema)
+            .option("columnNameOfCorruptRecord", _BAD)
+            # a file whose header differs must not be read under wrong names
+            .option("enforceSchema", False)
+            # a pruned parser would not notice short records
+            .option("columnPruning", False)
+            .csv(path)
+        )
+        # the condition is on the file's name alone, so the listing is narrowed before anything is read
+        return read.filter(files).select(
+            *[trimmed(F.col(f"`{h}`")).alias(n) for h, n in zip(headers, names)],
+            F.col("_metadata.file_path").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("line_block"),
+            F.monotonically_increasing_id().alias("line_at"),
+            F.col(_BAD),
+        )
+
+    if spanning:
+        inside = F.col("_metadata.file_path").isin(spanning)
+        named = named_rows(True, inside).unionByName(named_rows(False, ~inside))
+    else:
+        named = named_rows(bool(multiline), F.lit(True))
     # a short record lacks its last field; naming that field also keeps the reader parsing whole
     # records, since it refuses to read the record text alone
     lacking = F.col(_BAD).isNotNull() & F.col(f"`{names[-1]}`").isNull()

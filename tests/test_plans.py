@@ -217,3 +217,25 @@ def test_year_run(spark, rows):
     out = year_run.run_year(tables, 2025, rows([invoice(1)], RAW), landed, RULES, None, order_by=["line"])
     assert out["income"].count() == 12 and out["bank_payment"].count() == 3
     assert out["file_processing"].first()["failed_rows"] == 1
+    assert sorted(r["id"] for r in out["property"].collect()) == [0, 1]
+
+    # the same run once more, on what the first one left, changes nothing
+    again = year_run.run_year({k: out[k] for k in tables}, 2025, rows([invoice(1)], RAW), landed, RULES, None, order_by=["line"])
+    for name in ("income", "bank_payment", "bank_transaction_staging", "property", "lease", "tenant"):
+        assert sorted(map(repr, again[name].collect())) == sorted(map(repr, out[name].collect())), name
+
+
+def test_absent_headers_are_null(spark, rows):
+    few = rows([("DEBIT", "12.50")], "details string, amount string")
+    row = bank.staged_columns(few, 2025).first()
+    assert (row["details"], float(row["amount"]), row["description"], row["check_num"], row["posting_date"]) == ("DEBIT", 12.5, None, None, None)
+    parsed = ledger.parse_invoices(ledger.normalize_invoices(rows([("t1", "10")], "transaction_id string, payment string"))).first()
+    assert (parsed["transaction_id"], float(parsed["payment"]), parsed["due_date"]) == ("t1", 10.0, None)
+
+
+def test_landing_goes_on_after_stored_rows(spark, rows):
+    first, known = staged(spark, rows)
+    stored = spark.createDataFrame(first.collect(), first.schema)
+    raw = rows([("DEBIT", "/new.csv", 1)], "details string, source_file string, line int")
+    more = bank.land_bank_export(raw, known, 2025, order_by=["line"], staging=stored).collect()
+    assert [r["id"] for r in more] == [max(r["id"] for r in stored.collect()) + 1]

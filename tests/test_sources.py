@@ -107,3 +107,19 @@ def test_manifest(spark, rows):
     got = {r["file_path"]: (r["id"], r["year"], r["total_rows"]) for r in out.collect()}
     assert got == {"/a.csv": (5, 2025, 3), "/b.csv": (6, 2025, None), "/c.csv": (7, 2025, None)}
     assert manifest.unprocessed(files, out).count() == 0
+
+
+def test_only_files_with_open_quotes_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "clean a.csv", "Id,Text\n" + "".join(f"{i},plain\n" for i in range(50)))
+    write(folder / "spans.csv", 'Id,Text\n100,"two\nlines"\n101,after\n')
+    write(folder / "inch.csv", 'Id,Text\n200,1 5" pipe\n201,after\n')
+    scan = csv.scan_csv(spark, str(folder))
+    got = {r["id"]: r["text"] for r in scan.rows.collect()}
+    assert len(got) == 54 and got["100"] == "two\nlines" and got["101"] == got["201"] == "after" and got["200"] == '1 5" pipe'
+    assert scan.rejects.count() == 0
+    keys = scan.rows.select(*csv.LINE_COLUMNS).distinct().count()
+    assert keys == 54
+    whole = [line for line in scan.rows._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan csv" in line]
+    assert len(whole) == 2  # one scan for the files read whole, one for the others
