@@ -444,6 +444,9 @@ BODIES: dict[str, str] = {
     f"(SELECT {_opt('transaction_id')} AS k FROM raw_invoices) GROUP BY k HAVING k IS NULL OR count(*) > 1",
     "dq_unique": "SELECT 'unique' AS check_id, 'expense_category' AS \"table\", category_name AS key, "
     "'duplicate value' AS reason FROM expense_category GROUP BY category_name HAVING count(*) > 1",
+    "dq_money_fits": "SELECT 'unreadable' AS check_id, 'orders' AS \"table\", CAST(o_orderkey AS VARCHAR) AS key, "
+    "'total unreadable' AS reason FROM orders "
+    "WHERE TRY_CAST(CAST(o_totalprice * 1000 AS DECIMAL(18,2)) AS DECIMAL(10,2)) IS NULL",
     "dq_foreign_keys": "SELECT DISTINCT 'foreign_key' AS check_id, 'income' AS \"table\", CAST(payer AS VARCHAR) AS key, "
     "'payer has no parent' AS reason FROM ledger WHERE payer NOT IN (SELECT tenant_id FROM known_tenant) UNION ALL "
     "SELECT DISTINCT 'foreign_key', 'income', CAST(leasenum AS VARCHAR), 'leasenum has no parent' FROM ledger "

@@ -588,6 +588,13 @@ def dq_unique(spark, sf):
     return quality.check_unique(shape(spark, sf, "expense_category"), "expense_category", ["category_name"])
 
 
+@register
+def dq_money_fits(spark, sf):
+    """Order totals a thousand times over: those from 100,000 on outgrow the money type."""
+    totals = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 1000).cast("decimal(18,2)").alias("total"))
+    return quality.check_money_fits(totals, "orders", ["o_orderkey"], ["total"])
+
+
 @register
 def dq_foreign_keys(spark, sf):
     """The ledger against damaged dimensions: leases and tenants are missing some members."""
