@@ -327,6 +327,10 @@ BODIES: dict[str, str] = {
     "lease_member_pages": "SELECT lease_number, CAST(place // 2 AS INTEGER) AS segment, "
     "string_agg(CAST(tenant_id AS VARCHAR), ',' ORDER BY tenant_id) AS tenants FROM (SELECT lease_id AS lease_number, tenant_id, "
     "row_number() OVER (PARTITION BY lease_id ORDER BY tenant_id) - 1 AS place FROM links) GROUP BY 1, 2",
+    "supplier_part_pages": "SELECT l_suppkey, CAST(place // 7 AS INTEGER) AS segment, "
+    "string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts FROM (SELECT l_suppkey, l_partkey, "
+    "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS place "
+    "FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY 1, 2",
     "lease_summaries": "SELECT lease_number, unit, (SELECT count(*) FROM links WHERE lease_id = lease_number) AS n "
     "FROM lease",
     "tenant_maps": "SELECT tenant_id, name, email, CAST(4 AS BIGINT) AS n FROM tenant",

@@ -186,6 +186,14 @@ def lease_member_pages(spark, sf):
     )
 
 
+@register
+def supplier_part_pages(spark, sf):
+    """Members in pages where keys have many: the parts that a supplier shipped."""
+    pairs = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
+    rows = lookup.collect_members(pairs, "l_suppkey", "l_partkey", "parts", page_size=7)
+    return rows.select("l_suppkey", "segment", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
+
+
 @register
 def lease_summaries(spark, sf):
     rows = ledger.leases_with_tenants(shape(spark, sf, "lease"), _simple_links(spark, sf))
