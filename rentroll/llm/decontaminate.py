@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are TF-IDF vectors over hashed words, document frequencies being counted over all documents. A
-randomised singular value decomposition of the items, its sums taken on Spark, gives a latent space of up to RANK
-dimensions. Every document is cut into overlapping passages, whose TF-IDF vectors are folded into that space; a passage
-whose cosine with an item reaches CANDIDATE makes the stretch of text around it a candidate. There the longest common
-subsequence of words decides: with LEAK of the item's words in order it is a leak, and with PARAPHRASE of them if the
-item's answer stands in it too.
+Benchmark items are TF-IDF vectors over hashed words, document frequencies being counted over distinct texts; every
+word weighs something. An item is a probe. A randomised singular value decomposition of up to RANK probes, its sums taken on Spark, gives a
+latent space of as many dimensions as they span; the documents are folded into it and never decomposed. Every document
+is cut into strides. The text around a place is a candidate if a passage of two strides reaches the cosine CANDIDATE
+with a probe, or if a run of strides long enough for the probe wherever it begins holds CONTAINED of the probe's
+weight. A verbatim probe is held whole, whatever words stand around it, so no verbatim item is missed. There the longest
+common subsequence of words decides: with LEAK of the item's words in order it is a leak, and with PARAPHRASE of them
+if the item's answer stands in it too.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from rentroll.llm.sketch import chunk_rows, collected
 from rentroll.llm.words import separators, slices, word_hashes
 
 FEATURES = 1 << 18  # hashed words
-RANK = 256  # dimensions of a latent space, and items that share one
+RANK = 256  # dimensions of a latent space, and probes that share one
 OVERSAMPLE, POWERS = 16, 2
-COMMON = 1.0  # words in more than exp(-COMMON) of all documents weigh nothing
+FAINT = 0.25  # weight of a word that every text holds; rarer ones weigh more
 STRIDE = 16  # words; a passage is two strides long
 CANDIDATE = 0.35
+CONTAINED = 0.8
 LEAK, PARAPHRASE = 0.8, 0.5
 ANSWER_WORDS = 5  # the end of an item stands for its answer where the benchmark has none
-ITEMS_AT_ONCE = 4096  # items whose spaces are sent to the executors together; more items take more passes
+PROBES_AT_ONCE = 4096  # probes whose spaces are sent to the executors together; more probes take more passes
 #: All bytes but digits, ASCII letters and bytes over 127.
 APART = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _U = np.uint64
@@ -39,12 +42,12 @@ def features(words: np.ndarray) -> np.ndarray:
 
 
 def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents that hold each feature, documents) over all (id, text) rows; the last chunk counts documents."""
+    """(texts that hold each feature, texts) over the distinct texts of (id, text) rows; the last chunk counts texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
-            for low, high, data, offsets in slices(batch.column(1)):
+            for low, high, data, offsets in slices(batch.column(0)):
                 words, bounds = word_hashes(data, offsets, APART)
                 row = np.repeat(np.arange(high - low), np.diff(bounds))
                 pairs = np.sort(row * FEATURES + features(words))
@@ -57,40 +60,51 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
                                              names=["chunk", "part"])
 
-    total = collected(rows.mapInArrow(run, "chunk int, part binary"), FEATURES + 1, "<i8")
+    texts = rows.select("text").filter("text is not null").distinct()  # copies would make an item's own words common
+    total = collected(texts.mapInArrow(run, "chunk int, part binary"), FEATURES + 1, "<i8")
     return total[:FEATURES], int(total[FEATURES])
 
 
-class Space:
-    """The latent space of a block of items: ``basis`` (words of the block, rank) and the items' unit vectors in it; ``slot`` gives a feature's row of the basis."""
+class Item:
+    def __init__(self, item_id: int, words: np.ndarray, answer: list[int]):
+        self.item_id, self.words, self.answer = item_id, words.tolist(), answer
+        self.known, self.times = np.unique(words, return_counts=True)
+
 
-    def __init__(self, words: np.ndarray, basis: np.ndarray, items: np.ndarray):
-        self.basis, self.items = basis.astype(np.float32), items.astype(np.float32)
+def probes(words: np.ndarray) -> list[np.ndarray]:
+    """The passages of an item that are looked for; any of them found makes the item a candidate."""
+    return [words]
+
+
+class Space:
+    """The latent space of a block of probes, the widest first: ``basis`` (words of the block, rank), the probes' unit
+    ``vectors`` in it, their ``lengths`` before, the strides in which each lies ``wide``, and ``item_of``, their place
+    in ``items``; ``slot`` gives a feature's row of the basis."""
+
+    def __init__(self, words: np.ndarray, basis: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, wide: np.ndarray, item_of: np.ndarray,
+                 items: list[Item]):
+        self.basis, self.vectors, self.lengths = basis.astype(np.float32), vectors.astype(np.float32), lengths.astype(np.float32)
+        self.wide, self.item_of, self.items = wide, item_of, items
         self.slot = np.full(FEATURES, -1, np.int32)
         self.slot[words] = np.arange(len(words))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(columns, weights) of the unit TF-IDF vector of each item."""
+    """(columns, weights) of the unit TF-IDF vector of each probe."""
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
-            words, bounds = word_hashes(data, offsets, APART)
-            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                f = features(words[low:high])
-                f = f[idf[f] > 0]
-                w = idf[f]
-                norm = np.sqrt((w * w).sum())
-                if norm > 0:
-                    yield np.searchsorted(vocabulary, f), w / norm
+        for raw in batch.column(0):
+            f = np.frombuffer(raw.as_py(), np.int64)
+            w = idf[f]
+            yield np.searchsorted(vocabulary, f), w / np.sqrt((w * w).sum())
 
 
-def latent_space(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors (vocabulary, rank) of the items' TF-IDF rows, by randomised range finding.
+def latent_space(probes: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors (vocabulary, rank) of the probes' TF-IDF rows, by randomised range finding.
 
     Each pass multiplies the rows by a narrow matrix on the executors and adds the tasks' products; only matrices of
     the block's words by rank reach the driver, where they are made orthonormal.
     """
-    spark = items.sparkSession
+    spark = probes.sparkSession
     width = rank + OVERSAMPLE
 
     def product(narrow: np.ndarray, gram: bool) -> np.ndarray:
@@ -111,7 +125,7 @@ def latent_space(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank
                                                  names=["chunk", "part"])
 
         shape = (width if gram else len(vocabulary), width)
-        return collected(items.mapInArrow(run, "chunk int, part binary"), shape[0] * shape[1], "<f8").reshape(shape)
+        return collected(probes.mapInArrow(run, "chunk int, part binary"), shape[0] * shape[1], "<f8").reshape(shape)
 
     narrow = np.random.default_rng(5).standard_normal((len(vocabulary), width))
     for _ in range(POWERS):
@@ -142,12 +156,7 @@ def holds(text: list[int], run: list[int]) -> bool:
     return any(text[i : i + n] == run for i in range(len(text) - n + 1))
 
 
-class Item:
-    def __init__(self, item_id: int, words: list[int], answer: list[int]):
-        self.item_id, self.words, self.answer = item_id, words, answer
-
-
-def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[tuple[Space, list[Item]]]) -> Iterator[tuple]:
+def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Space]) -> Iterator[tuple]:
     """(row, item, cosine, shared, answered, first word, word after the last) of each leak in a slice of texts."""
     if not len(words):
         return
@@ -159,23 +168,26 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[tu
     first_stride = np.concatenate(([0], np.cumsum(strides)))
     begin = bounds[row_of] + STRIDE * (np.arange(len(row_of)) - first_stride[row_of])
     stride_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, bounds[-1])))
-    pair = np.zeros(len(begin), bool)  # whether the next stride is of the same text
-    pair[:-1] = row_of[1:] == row_of[:-1]
 
-    def passages(x: np.ndarray) -> np.ndarray:
-        """Sums over passages from sums over strides."""
-        return x + np.where(pair.reshape(-1, *[1] * (x.ndim - 1)), np.roll(x, -1, 0), 0)
+    def run(x: np.ndarray, n: int) -> np.ndarray:
+        """Sums over n strides of one text from sums over strides."""
+        up_to = np.concatenate(([0.0], np.cumsum(x)))
+        return up_to[np.minimum(np.arange(len(x)) + n, first_stride[row_of + 1])] - up_to[:-1]
 
-    norm = np.sqrt(passages(np.bincount(stride_of, weight * weight, len(begin))))
-    for space, items in spaces:
+    norm = np.sqrt(run(np.bincount(stride_of, weight * weight, len(begin)), 2))
+    for space in spaces:
         at = space.slot[f]
         inside = np.flatnonzero(at >= 0)
         mass = np.bincount(stride_of[inside], weight[inside] ** 2, len(begin))
+        widest = int(space.wide[0])
         # a passage's cosine is at most the share of its length that the block's words have; half of that share is
         # asked for, as a word that stands twice counts four times in the folded vector and twice here
-        live = (norm > 0) & (passages(mass) >= (CANDIDATE * norm) ** 2 / 2)
-        wanted = live.copy()
-        wanted[1:] |= live[:-1] & pair[:-1]
+        live = run(mass, 2) >= (CANDIDATE * norm) ** 2 / 2
+        full = run(mass, widest) >= CONTAINED * float(space.lengths.min()) ** 2 * (1 - 1e-6)
+        wanted = live | full
+        for j in range(1, widest):
+            same = row_of[j:] == row_of[:-j]
+            wanted[j:] |= (full[:-j] | (live[:-j] & (j == 1))) & same
         inside = inside[wanted[stride_of[inside]]]
         if not len(inside):
             continue
@@ -189,45 +201,61 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[tu
             part = inside[a:b]
             spread[local[stride_of[part[starts[low : low + 1024] - a]]]] = np.add.reduceat(
                 space.basis[at[part]] * weight[part, None].astype(np.float32), starts[low : low + 1024] - a, axis=0)
-        follows = pair[rows] & np.append(np.diff(rows) == 1, False)
-        folded = spread + np.where(follows[:, None], np.roll(spread, -1, 0), 0)
-        cosine = folded @ space.items.T / norm[rows, None].clip(1e-12)
-        hits, which = np.nonzero((cosine >= CANDIDATE) & live[rows][:, None])
-        order = np.lexsort((hits, which))
+        held = spread @ space.vectors.T
+        over = held.copy()  # sums over as many strides as the probe of a column lies in
+        for j in range(1, widest):
+            some = int((space.wide > j).sum())
+            follows = (row_of[rows[j:]] == row_of[rows[:-j]]) & (rows[j:] - rows[:-j] == j)
+            to = np.flatnonzero(follows)
+            over[to, :some] += held[to + j, :some]
+            if j == 1:
+                hit = (over >= CANDIDATE * norm[rows, None].astype(np.float32)) & live[rows, None]
+                passage = over.copy() if widest > 2 else over
+        hit |= over >= CONTAINED * space.lengths
+        hits, which = np.nonzero(hit)
+        cosines = passage[hits, which] / norm[rows[hits]]
+        order = np.lexsort((hits, space.item_of[which]))
         stretch: tuple | None = None  # row, item, first word, word after the last, best cosine
         for k in [*order.tolist(), -1]:
             if k >= 0:
-                r = int(rows[hits[k]])
-                row, n = int(row_of[r]), len(items[which[k]].words)
+                r, probe = int(rows[hits[k]]), int(which[k])
+                row, item = int(row_of[r]), int(space.item_of[probe])
+                n = len(space.items[item].words)
                 low = max(int(bounds[row]), int(begin[r]) - n)
-                high = min(int(bounds[row + 1]), int(begin[r]) + 2 * STRIDE + n)
-                score = float(cosine[hits[k], which[k]])
-                if stretch and stretch[:2] == (row, int(which[k])) and low <= stretch[3]:
-                    stretch = (*stretch[:3], high, max(score, stretch[4]))
+                high = min(int(bounds[row + 1]), int(begin[r]) + int(space.wide[probe]) * STRIDE + n)
+                score = float(cosines[k])
+                if stretch and stretch[:2] == (row, item) and low <= stretch[3]:
+                    stretch = (*stretch[:3], max(high, stretch[3]), max(score, stretch[4]))
                     continue
             if stretch:
-                row_, item, a, b, best = stretch
-                yield from _judged(row_, items[item], words[a:b].tolist(), a - int(bounds[row_]), best)
+                row_, item_, a, b, best = stretch
+                yield from _judged(row_, space.items[item_], words[a:b], a - int(bounds[row_]), best)
             if k >= 0:
-                stretch = (row, int(which[k]), low, high, score)
+                stretch = (row, item, low, high, score)
 
 
-def _judged(row: int, item: Item, text: list[int], first: int, cosine: float) -> Iterator[tuple]:
+def _judged(row: int, item: Item, text: np.ndarray, first: int, cosine: float) -> Iterator[tuple]:
     """The leak of an item in a stretch, if it is one. The longest common subsequence is taken in windows a half longer
     than the item, so that words picked from all over a long stretch do not add up to one."""
     n = len(item.words)
     size, best, at = n + n // 2 + 1, 0, 0
-    known = set(item.words)
-    seen = np.concatenate(([0], np.cumsum([w in known for w in text])))
-    for low in range(0, max(1, len(text) - size + 1 + n // 4), max(1, n // 4)):
-        if seen[min(len(text), low + size)] - seen[low] < max(best, PARAPHRASE * n):
+    word = np.searchsorted(item.known, text).clip(max=len(item.known) - 1)
+    known = np.flatnonzero(item.known[word] == text)
+    word = word[known]
+    lows = np.arange(0, max(1, len(text) - size + 1 + n // 4), max(1, n // 4))
+    begins, ends = np.searchsorted(known, lows), np.searchsorted(known, lows + size)
+    for low, a, b in zip(lows.tolist(), begins.tolist(), ends.tolist(), strict=True):
+        least = max(best + 1, PARAPHRASE * n)
+        if b - a < least or np.minimum(np.bincount(word[a:b], minlength=len(item.times)), item.times).sum() < least:
             continue  # too few of the item's words, in whatever order
-        got = common_words(item.words, text[low : low + size])
+        got = common_words(item.words, text[known[a:b]].tolist())
         if got > best:
             best, at = got, low
     share = best / n
-    answered = holds(text[max(0, at - n) : at + size + n], item.answer)
-    if share >= LEAK or (share >= PARAPHRASE and answered):
+    if share < PARAPHRASE:
+        return
+    answered = holds(text[max(0, at - n) : at + size + n].tolist(), item.answer)
+    if share >= LEAK or answered:
         yield row, item.item_id, min(1.0, cosine), share, answered, first + at, first + min(len(text), at + size)
 
 
@@ -240,28 +268,22 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     repeated items count once for each id, a NULL id being an item of its own; repeated documents count once for each
     id. Whole texts are searched. Empty tables give no rows. Other columns are not read. Runs jobs when called.
 
-    The benchmark is the query set: it is worked through in blocks of RANK items, each with a latent space of its own,
-    and ITEMS_AT_ONCE items travel to the executors together.
+    The benchmark is the query set: it is worked through in blocks of RANK probes, each with a latent space of its own,
+    and PROBES_AT_ONCE probes travel to the executors together.
     """
     spark = documents.sparkSession
     rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].cast("string").alias("text"))
     answer = benchmark[answer_col].cast("string") if answer_col else F.lit(None).cast("string")
     stated = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark["text"].cast("string").alias("text"), answer.alias("answer"))
     stated = stated.filter("text is not null").distinct()
-    held, documents_n = frequencies(rows)
-    idf = np.log((1.0 + documents_n) / (1.0 + held))
-    idf[idf < COMMON] = 0.0
+    held, texts_n = frequencies(rows)
+    idf = FAINT + np.log((1.0 + texts_n) / (1.0 + held))
     schema = "id bigint, item bigint, cosine double, shared double, answered boolean, first_word bigint, end_word bigint"
     out = None
-    listed = [tuple(r) for r in stated.orderBy("item", "text", "answer").collect()]  # the stated query set
-    for low in range(0, len(listed), ITEMS_AT_ONCE):
-        spaces = []
-        for start in range(low, min(low + ITEMS_AT_ONCE, len(listed)), RANK):
-            block = _block(spark, listed[start : min(start + RANK, low + ITEMS_AT_ONCE)], idf)
-            if block:
-                spaces.append(block)
-        if not spaces:
-            continue
+    listed = [p for r in stated.orderBy("item", "text", "answer").collect() for p in _probes(*r)]  # the stated query set
+    for low in range(0, len(listed), PROBES_AT_ONCE):
+        some = listed[low : low + PROBES_AT_ONCE]
+        spaces = [_block(spark, some[start : start + RANK], idf) for start in range(0, len(some), RANK)]
         shared = spark.sparkContext.broadcast((idf, spaces))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -285,31 +307,32 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.groupBy("id", "item").agg(best.alias("b")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*")
 
 
-def _block(spark, listed: list[tuple], idf: np.ndarray) -> tuple[Space, list[Item]] | None:
-    """The space and the items of a block of (item, text, answer) rows."""
+def _probes(item_id: int | None, text: str, answer: str | None) -> list[tuple[Item, np.ndarray]]:
+    """(item, words) of each probe of a (item, text, answer) row."""
 
     def words_of(text: str) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
+        raw = np.frombuffer(text.encode(), np.uint8)
         return word_hashes(raw, np.array([0, len(raw)]), APART)[0]
 
-    items = []
-    for item, text, answer in listed:
-        words = words_of(text)
-        if len(words):
-            reply = words_of(answer) if answer else words[-ANSWER_WORDS:]
-            items.append((Item(item, words.tolist(), reply.tolist()), text, words))
-    if not items:
-        return None
-    vocabulary = np.unique(np.concatenate([features(w) for *_, w in items]))
-    vocabulary = vocabulary[idf[vocabulary] > 0]
-    if not len(vocabulary):
-        return None
-    rows = spark.createDataFrame([(t,) for _, t, _ in items], "text string")
-    basis = latent_space(rows, vocabulary, idf, min(RANK, len(items)))
-    vectors = np.zeros((len(items), basis.shape[1]))
-    for i, (_, _, words) in enumerate(items):
-        f = features(words)
-        f = f[idf[f] > 0]
-        w = idf[f]
-        vectors[i] = (w / max(1e-12, np.sqrt((w * w).sum()))) @ basis[np.searchsorted(vocabulary, f)]
-    return Space(vocabulary, basis, vectors), [i for i, *_ in items]
+    words = words_of(text)
+    if not len(words):
+        return []
+    item = Item(item_id, words, (words_of(answer) if answer else words[-ANSWER_WORDS:]).tolist())
+    return [(item, p) for p in probes(words)]
+
+
+def _block(spark, listed: list[tuple[Item, np.ndarray]], idf: np.ndarray) -> Space:
+    """The space of a block of (item, words) probes."""
+    # a probe of n words lies in so many strides wherever it begins
+    wide = np.array([max(2, -(-(len(w) - 1) // STRIDE) + 1) for _, w in listed])
+    order = np.argsort(-wide, kind="stable")
+    listed, wide = [listed[i] for i in order], wide[order]
+    held = [features(w) for _, w in listed]
+    vocabulary = np.unique(np.concatenate(held))
+    rows = spark.createDataFrame([(bytearray(f.tobytes()),) for f in held], "f binary")
+    basis = latent_space(rows, vocabulary, idf, min(RANK, len(listed)))
+    lengths = np.sqrt([(idf[f] ** 2).sum() for f in held])
+    vectors = np.stack([(idf[f] / n) @ basis[np.searchsorted(vocabulary, f)] for f, n in zip(held, lengths, strict=True)])
+    items = list({id(i): i for i, _ in listed}.values())
+    place = {id(i): k for k, i in enumerate(items)}
+    return Space(vocabulary, basis, vectors, lengths, wide, np.array([place[id(i)] for i, _ in listed]), items)
