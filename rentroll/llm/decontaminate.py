@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are TF-IDF vectors over hashed words, document frequencies being counted over distinct texts; every
-word weighs something. An item is a probe. A randomised singular value decomposition of up to RANK probes, its sums taken on Spark, gives a
+word weighs something. An item of more than WHOLE words is several probes, overlapping passages of two strides; any
+other is one probe. A randomised singular value decomposition of up to RANK probes, its sums taken on Spark, gives a
 latent space of as many dimensions as they span; the documents are folded into it and never decomposed. Every document
 is cut into strides. The text around a place is a candidate if a passage of two strides reaches the cosine CANDIDATE
 with a probe, or if a run of strides long enough for the probe wherever it begins holds CONTAINED of the probe's
@@ -27,6 +28,7 @@ RANK = 256  # dimensions of a latent space, and probes that share one
 OVERSAMPLE, POWERS = 16, 2
 FAINT = 0.25  # weight of a word that every text holds; rarer ones weigh more
 STRIDE = 16  # words; a passage is two strides long
+WHOLE = 64  # words of the longest item that is one probe
 CANDIDATE = 0.35
 CONTAINED = 0.8
 LEAK, PARAPHRASE = 0.8, 0.5
@@ -73,7 +75,9 @@ class Item:
 
 def probes(words: np.ndarray) -> list[np.ndarray]:
     """The passages of an item that are looked for; any of them found makes the item a candidate."""
-    return [words]
+    if len(words) <= WHOLE:
+        return [words]
+    return [words[at : at + 2 * STRIDE] for at in [*range(0, len(words) - 2 * STRIDE, STRIDE), len(words) - 2 * STRIDE]]
 
 
 class Space:
