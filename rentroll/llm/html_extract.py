@@ -1,16 +1,19 @@
-"""Main text of web pages by template deduction from equivalence classes.
-
-A page is a list of tokens: its tags and its text blocks, told apart by the path of open elements around them. Over
-all pages of a host each token has an occurrence vector, how often it stands on each page. Tokens with one vector are
-an equivalence class; a class is valid if it stands on every page, or on enough of them, and so belongs to the template.
-Classes nest by path: the class of tokens that stand once on every page is the frame, and the others lie in its gaps.
-What the template leaves open are slots. The main slot is the innermost element of the frame that holds nearly all
-text outside menus, forms, adverts and the like; on a host too small to tell, an article or main element takes that
-part. The text is what is left in the main slot, less fixed text that the template holds outside articles.
+"""Main text of web pages by template deduction from occurrence vectors.
+
+A page is a list of tokens: its tags and its text blocks, told apart by the path of open elements around them. Empty
+pages do not count. Pages of a host whose outer elements are the same are a layout; a layout with
+too few pages for a template of its own has that of the whole host. A token on SHARE of the pages belongs to the
+template: a path that stands once on so many is a slot, a text outside a lone article is fixed. Slots nest by path; the
+order of tokens is not looked at, and classes of equal vectors are not formed, since a token's own vector decides.
+
+The main slot is the innermost that holds nearly all text outside menus, forms, adverts and the like. The text is what stands in the main slot, less fixed
+text.
+A page with an article or main element is the text inside that; a page without text in the main slot is all open text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from rentroll.session import durable
 
-SUPPORT = 3  # pages from which a host's classes tell a template
+SUPPORT = 3  # pages that are not empty, from which a template is told
+SHARE = 0.8  # of these, pages that must hold a token of the template
 MASS = 0.9  # share of the open text that the main slot must hold
+OUTER = 3  # elements of a path that tell layouts apart
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,63 +151,92 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-PARSED = ("page bigint, url string, host string, tokens array<struct<path:string,text:string,n:bigint,mass:bigint>>, "
-          "blocks array<struct<path:string,text:string,inside:boolean>>, article boolean")
+PARSED = ("page bigint, url string, host string, layout bigint, "
+          "tokens array<struct<path:string,text:bigint,n:bigint,mass:bigint>>, "
+          "blocks array<struct<path:string,key:bigint,text:string,inside:boolean>>, article boolean")
+
+
+def hashed(parts: Iterator[str]) -> int:
+    whole = hashlib.blake2b(digest_size=8)
+    for part in parts:
+        whole.update(part.encode("utf-8", "surrogatepass") + b"\0")
+    return int.from_bytes(whole.digest(), "big", signed=True)
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, url, host, html) as the page's tokens outside asides, its blocks, and whether it has an article."""
-    token = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("n", pa.int64()), ("mass", pa.int64())]))
-    piece = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("inside", pa.bool_())]))
+    """(page, url, host, html) as the page's layout, its tokens outside asides, its blocks, and whether it has an article or main element. A token is a path, or a text block under a hash of path and text."""
+    token = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("n", pa.int64()), ("mass", pa.int64())]))
+    piece = pa.list_(pa.struct([("path", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("inside", pa.bool_())]))
     for batch in batches:
-        tokens, blocks, article = [], [], []
+        layouts, tokens, blocks, article = [], [], [], []
         for source in batch.column(3):
-            counted: dict[tuple[str, str | None], list[int]] = {}
-            kept, inside_any = [], False
+            counted: dict[tuple[str, int | None], list[int]] = {}
+            kept, articles = [], 0
             for kind, path, text, off, inside in parse(source.as_py()):
                 if off:
                     continue
-                inside_any |= inside
                 if kind == "tag":
                     counted.setdefault((path, None), [0, 0])[0] += 1
+                    around = path.split("/")
+                    articles += around[-1] in ("article", "main") and not {"article", "main"} & set(around[:-1])
                     continue
-                kept.append({"path": path, "text": text, "inside": inside})
-                if not inside:
-                    counted.setdefault((path, text), [0, 0])[0] += 1
+                kept.append({"path": path, "key": hashed((path, text)), "text": text, "inside": inside})
                 while path:
                     counted.setdefault((path, None), [0, 0])[1] += len(text)
                     path = path.rpartition("/")[0]
+            layouts.append(hashed(sorted(p for p, _ in counted if p.count("/") <= OUTER)))
+            for b in kept:
+                if not b["inside"]:
+                    one = counted.setdefault((b["path"], b["key"]), [0, 0])
+                    one[0] += 1
+                    one[1] += len(b["text"])
             tokens.append([{"path": p, "text": t, "n": n, "mass": m} for (p, t), (n, m) in counted.items()])
             blocks.append(kept)
-            article.append(inside_any)
+            article.append(articles > 0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(tokens, token), pa.array(blocks, piece), pa.array(article, pa.bool_())],
-            names=["page", "url", "host", "tokens", "blocks", "article"])
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(layouts, pa.int64()),
+             pa.array(tokens, token), pa.array(blocks, piece), pa.array(article, pa.bool_())],
+            names=["page", "url", "host", "layout", "tokens", "blocks", "article"])
+
+
+def template(table: pa.Table) -> pa.Table:
+    """The template's tokens of one layout, at most some more than a page's, as its main slot and fixed texts."""
+    rows = table.select(["path", "text", "slot", "mass"]).to_pylist()
+    fixed = [r for r in rows if r["text"] is not None]
+    paths = [r for r in rows if r["text"] is None]
+    by_path: dict[str, int] = {}
+    for r in fixed:
+        path = r["path"]
+        while path:
+            by_path[path] = by_path.get(path, 0) + r["mass"]
+            path = path.rpartition("/")[0]
+    open_ = {r["path"]: r["mass"] - by_path.get(r["path"], 0) for r in paths}
+    most = max(open_.values(), default=0)
+    slots = [r["path"] for r in paths if r["slot"] and most]
+    held = [p for p in slots if open_[p] >= MASS * most]
+    main = max(held, key=lambda p: (p.count("/"), open_[p], p), default=None)
+    return pa.table({"host": table["host"][:1], "layout": table["layout"][:1], "main": pa.array([main], pa.string()),
+                     "fixed": pa.array([[r["text"] for r in fixed]], pa.list_(pa.int64()))})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Parsed pages as (host, main, fixed): path of the main slot and the template's fixed text outside articles.
+    """Parsed pages as (host, layout, main, fixed): path of the main slot and the template's fixed texts; the layout is
+    NULL for the template of all pages of the host.
 
-    Occurrence vectors are never gathered: a vector is known by the number of its pages and by the sum and the xor of a
-    hash of (page, count), which partial aggregation adds up before any shuffle, so a host of any size is one row for
-    each of its tokens. Hosts with fewer than SUPPORT pages have no row.
+    Occurrence vectors are never gathered: of a vector only the number of its pages counts, which partial aggregation
+    adds up before any shuffle, so a host of any size is one row for each of its tokens. Layouts and hosts with fewer than
+    SUPPORT pages that are not empty have no row.
     """
-    tokens = pages.select("page", "host", F.explode("tokens").alias("t")).select("page", "host", "t.*")
-    mark = F.xxhash64("page", "n")
-    vectors = tokens.groupBy("host", "path", "text").agg(
-        F.count("*").alias("support"), F.sum("n").alias("total"), F.max("n").alias("most"), F.bit_xor(mark).alias("x"),
-        F.sum(F.pmod(mark, F.lit(1 << 40))).alias("s"), F.sum("mass").alias("mass"))
-    classes = vectors.groupBy("host", "support", "x", "s").agg(
-        F.count("*").alias("members"), F.max("most").alias("most"),
-        F.collect_list(F.struct("path", "text", "mass")).alias("tokens"))  # at most a page's tokens
-    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    valid = classes.join(hosts, "host").filter((F.col("pages") >= SUPPORT) & (F.col("support") == F.col("pages")))
-    framed = valid.select("host", F.explode("tokens").alias("t"), (F.col("most") == 1).alias("frame")).select("host", "frame", "t.*")
-    root = framed.filter("text is null").groupBy("host").agg(F.max("mass").alias("all_mass"))
-    slots = framed.filter("frame and text is null").join(root, "host").filter(F.col("mass") >= MASS * F.col("all_mass"))
-    main = slots.groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), "path")).alias("main"))
-    fixed = framed.filter("text is not null").groupBy("host").agg(F.collect_set("text").alias("fixed"))  # stands on every page
-    return main.join(fixed, "host", "left")
+    once = pages.filter(F.size("tokens") > 0).select("host", "layout", "tokens")
+    both = once.select("host", F.explode(F.array("layout", F.lit(None).cast("bigint"))).alias("layout"), "tokens")
+    vectors = both.select("host", "layout", F.explode("tokens").alias("t")).select("host", "layout", "t.*").groupBy(
+        "host", "layout", "path", "text").agg(F.count("*").alias("support"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum("mass").alias("mass"))
+    counts = both.groupBy("host", "layout").agg(F.count("*").alias("pages")).filter(F.col("pages") >= SUPPORT)
+    counts = counts.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), "pages")
+    valid = vectors.join(counts, (F.col("host") == F.col("_host")) & F.col("layout").eqNullSafe(F.col("_layout")))
+    valid = valid.filter(F.col("support") >= SHARE * F.col("pages")).select(
+        "host", "layout", "path", "text", (F.col("once") >= SHARE * F.col("pages")).alias("slot"), "mass")
+    return valid.groupBy("host", "layout").applyInArrow(template, "host string, layout bigint, main string, fixed array<bigint>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -215,13 +249,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                         host_of(pages[url_col].cast("string")).alias("host"), pages[html_col].cast("string").alias("html"))
     known_pages = durable(rows.mapInArrow(parsed, PARSED), "parsed-pages")
     # stored, so that its size is known: the planner broadcasts it below its threshold and else joins by host
-    known = durable(templates(known_pages.select("page", "host", "tokens")), "templates")
-    both = known_pages.select("page", "url", "host", "blocks", "article").join(known, "host", "left")
-    fixed = F.coalesce("fixed", F.array().cast("array<string>"))
+    known = durable(templates(known_pages.select("host", "layout", "tokens")), "templates")
+    own = known.filter("layout is not null").withColumnRenamed("main", "own_main").withColumnRenamed("fixed", "own_fixed")
+    general = known.filter("layout is null").select("host", "main", "fixed")
+    both = known_pages.select("page", "url", "host", "layout", "blocks", "article").join(own, ["host", "layout"], "left").join(general, "host", "left")
+    has_own = F.col("own_fixed").isNotNull()
+    main = F.when(has_own, F.col("own_main")).otherwise(F.col("main"))
+    fixed = F.coalesce("own_fixed", "fixed", F.array().cast("array<bigint>"))
+    both = both.select("page", "url", "blocks", "article", main.alias("main"), fixed.alias("fixed"))
+
+    def in_main(b):
+        return F.coalesce((b["path"] == F.col("main")) | F.startswith(b["path"], F.concat("main", F.lit("/"))), F.lit(False))
 
     def open_(b):
-        under = F.coalesce((b["path"] == F.col("main")) | F.startswith(b["path"], F.concat("main", F.lit("/"))), F.lit(True))
-        return F.when(F.col("article"), b["inside"]).otherwise(under & ~F.array_contains(fixed, b["text"]))
+        return F.when(F.col("article"), b["inside"]).otherwise((in_main(b) | ~F.col("slotted")) & ~F.array_contains("fixed", b["key"]))
 
+    both = both.withColumn("slotted", F.exists("blocks", in_main))
     text = F.array_join(F.transform(F.filter("blocks", open_), lambda b: b["text"]), "\n\n")
     return both.select(F.col("page").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))

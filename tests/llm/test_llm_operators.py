@@ -94,6 +94,20 @@ def test_main_text(rows):
     assert got == [*want, (10, "", 0), (11, "", 0), *[(12, "a b c\n\nd", 8)] * 2]
 
 
+def extracted(rows, data):
+    got = html_extract.main_text(rows(data, "page_id bigint, url string, html string"))
+    return {r["page_id"]: r["text"] for r in got.collect()}
+
+
+def test_main_text_of_templates_with_gaps(rows):
+    """A host without articles that holds empty pages, an odd one and a notice on most pages."""
+    page = "<html><body><div><p>Site name</p></div><section><p>{1}</p>{0}</section></body></html>"
+    bodies = {i: " ".join(f"w{i}x{k}" for k in range(40)) for i in range(40)}
+    data = [(i, f"http://gaps.example/{i}", page.format("<p>We moved</p>" if i % 20 else "", b)) for i, b in bodies.items()]
+    data += [(90, "http://gaps.example/a", None), (91, "http://gaps.example/b", ""), (92, "http://gaps.example/c", "<html><body><table><tr><td>odd page")]
+    assert extracted(rows, data) == {**bodies, 90: "", 91: "", 92: "odd page"}
+
+
 def test_shards(rows):
     data = [(i, None if i % 50 == 0 else "héllo" * (i % 37) if i % 3 else "same text " * 9) for i in range(900)] + [(5, "x"), (5, "x")]
     got = sharding.range_shards(rows(data, "doc_id bigint, text string")).collect()
