@@ -1,13 +1,13 @@
 """Main text of web pages by template deduction from occurrence vectors.
 
-A page is a list of tokens: its tags and its text blocks, told apart by the path of open elements around them. Empty
-pages do not count. Pages of a host whose outer elements are the same are a layout; a layout with
+A page is a list of tokens: its tags and its text blocks, told apart by the path of open elements around them. Copies of
+a page count once, empty pages not at all. Pages of a host whose outer elements are the same are a layout; a layout with
 too few pages for a template of its own has that of the whole host. A token on SHARE of the pages belongs to the
 template: a path that stands once on so many is a slot, a text outside a lone article is fixed. Slots nest by path; the
 order of tokens is not looked at, and classes of equal vectors are not formed, since a token's own vector decides.
 
 The main slot is the innermost that holds nearly all text outside menus, forms, adverts and the like. The text is what stands in the main slot, less fixed
-text.
+text. Where most text is fixed, the pages are copies but for little: then nothing is taken for fixed.
 A page with an article or main element is the text inside that; a page without text in the main slot is all open text.
 """
 
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from rentroll.session import durable
 
-SUPPORT = 3  # pages that are not empty, from which a template is told
+SUPPORT = 3  # distinct pages from which a template is told
 SHARE = 0.8  # of these, pages that must hold a token of the template
 MASS = 0.9  # share of the open text that the main slot must hold
+HALF = 0.5  # the most of a layout's text that may be fixed
 OUTER = 3  # elements of a path that tell layouts apart
 
 #: Fixed values of HTML.
@@ -151,7 +152,7 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-PARSED = ("page bigint, url string, host string, layout bigint, "
+PARSED = ("page bigint, url string, host string, layout bigint, print bigint, "
           "tokens array<struct<path:string,text:bigint,n:bigint,mass:bigint>>, "
           "blocks array<struct<path:string,key:bigint,text:string,inside:boolean>>, article boolean")
 
@@ -164,11 +165,11 @@ def hashed(parts: Iterator[str]) -> int:
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, url, host, html) as the page's layout, its tokens outside asides, its blocks, and whether it has an article or main element. A token is a path, or a text block under a hash of path and text."""
+    """(page, url, host, html) as the page's layout and fingerprint, its tokens outside asides, its blocks, and whether it has an article or main element. A token is a path, or a text block under a hash of path and text."""
     token = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("n", pa.int64()), ("mass", pa.int64())]))
     piece = pa.list_(pa.struct([("path", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("inside", pa.bool_())]))
     for batch in batches:
-        layouts, tokens, blocks, article = [], [], [], []
+        layouts, prints, tokens, blocks, article = [], [], [], [], []
         for source in batch.column(3):
             counted: dict[tuple[str, int | None], list[int]] = {}
             kept, articles = [], 0
@@ -184,7 +185,9 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while path:
                     counted.setdefault((path, None), [0, 0])[1] += len(text)
                     path = path.rpartition("/")[0]
+            paths = sorted(f"{p} {n}" for (p, _), (n, _) in counted.items())
             layouts.append(hashed(sorted(p for p, _ in counted if p.count("/") <= OUTER)))
+            prints.append(hashed([*paths, "", *(f"{b['path']} {b['text']}" for b in kept)]))
             for b in kept:
                 if not b["inside"]:
                     one = counted.setdefault((b["path"], b["key"]), [0, 0])
@@ -194,9 +197,9 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.append(kept)
             article.append(articles > 0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(layouts, pa.int64()),
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(layouts, pa.int64()), pa.array(prints, pa.int64()),
              pa.array(tokens, token), pa.array(blocks, piece), pa.array(article, pa.bool_())],
-            names=["page", "url", "host", "layout", "tokens", "blocks", "article"])
+            names=["page", "url", "host", "layout", "print", "tokens", "blocks", "article"])
 
 
 def template(table: pa.Table) -> pa.Table:
@@ -204,8 +207,10 @@ def template(table: pa.Table) -> pa.Table:
     rows = table.select(["path", "text", "slot", "mass"]).to_pylist()
     fixed = [r for r in rows if r["text"] is not None]
     paths = [r for r in rows if r["text"] is None]
+    whole = max((r["mass"] for r in paths), default=0)
+    differ = sum(r["mass"] for r in fixed) <= HALF * whole  # else the pages are copies but for little
     by_path: dict[str, int] = {}
-    for r in fixed:
+    for r in fixed if differ else []:
         path = r["path"]
         while path:
             by_path[path] = by_path.get(path, 0) + r["mass"]
@@ -216,7 +221,7 @@ def template(table: pa.Table) -> pa.Table:
     held = [p for p in slots if open_[p] >= MASS * most]
     main = max(held, key=lambda p: (p.count("/"), open_[p], p), default=None)
     return pa.table({"host": table["host"][:1], "layout": table["layout"][:1], "main": pa.array([main], pa.string()),
-                     "fixed": pa.array([[r["text"] for r in fixed]], pa.list_(pa.int64()))})
+                     "fixed": pa.array([[r["text"] for r in fixed] if differ else []], pa.list_(pa.int64()))})
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -225,9 +230,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
     Occurrence vectors are never gathered: of a vector only the number of its pages counts, which partial aggregation
     adds up before any shuffle, so a host of any size is one row for each of its tokens. Layouts and hosts with fewer than
-    SUPPORT pages that are not empty have no row.
+    SUPPORT distinct pages have no row.
     """
-    once = pages.filter(F.size("tokens") > 0).select("host", "layout", "tokens")
+    once = pages.filter(F.size("tokens") > 0).select("host", "layout", "print", "tokens").dropDuplicates(["host", "layout", "print"])
     both = once.select("host", F.explode(F.array("layout", F.lit(None).cast("bigint"))).alias("layout"), "tokens")
     vectors = both.select("host", "layout", F.explode("tokens").alias("t")).select("host", "layout", "t.*").groupBy(
         "host", "layout", "path", "text").agg(F.count("*").alias("support"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum("mass").alias("mass"))
@@ -249,7 +254,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                         host_of(pages[url_col].cast("string")).alias("host"), pages[html_col].cast("string").alias("html"))
     known_pages = durable(rows.mapInArrow(parsed, PARSED), "parsed-pages")
     # stored, so that its size is known: the planner broadcasts it below its threshold and else joins by host
-    known = durable(templates(known_pages.select("host", "layout", "tokens")), "templates")
+    known = durable(templates(known_pages.select("host", "layout", "print", "tokens")), "templates")
     own = known.filter("layout is not null").withColumnRenamed("main", "own_main").withColumnRenamed("fixed", "own_fixed")
     general = known.filter("layout is null").select("host", "main", "fixed")
     both = known_pages.select("page", "url", "host", "layout", "blocks", "article").join(own, ["host", "layout"], "left").join(general, "host", "left")

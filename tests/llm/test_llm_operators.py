@@ -108,6 +108,20 @@ def test_main_text_of_templates_with_gaps(rows):
     assert extracted(rows, data) == {**bodies, 90: "", 91: "", 92: "odd page"}
 
 
+def test_main_text_of_copies(rows):
+    """Copies of a page, and near copies, without an article, keep their text."""
+    body = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(6)]
+
+    def page(head, parts):
+        return f"<html><body><h1>{head}</h1><div>" + "".join(f"<p>{x}</p>" for x in parts) + "</div></body></html>"
+
+    data = [(i, f"http://same.example/{i}", page("T", body)) for i in range(5)]
+    data += [(10 + i, f"http://near.example/{i}", page("T", [*body[:5], f"end {i}"])) for i in range(5)]
+    got = extracted(rows, data)
+    assert all("\n\n".join(body) in got[i] for i in range(5))
+    assert all("\n\n".join([*body[:5], f"end {i}"]) in got[10 + i] for i in range(5))
+
+
 def test_shards(rows):
     data = [(i, None if i % 50 == 0 else "héllo" * (i % 37) if i % 3 else "same text " * 9) for i in range(900)] + [(5, "x"), (5, "x")]
     got = sharding.range_shards(rows(data, "doc_id bigint, text string")).collect()
