@@ -6,9 +6,11 @@ too few pages for a template of its own has that of the whole host. A token on S
 template: a path that stands once on so many is a slot, a text outside a lone article is fixed. Slots nest by path; the
 order of tokens is not looked at, and classes of equal vectors are not formed, since a token's own vector decides.
 
-The main slot is the innermost that holds nearly all text outside menus, forms, adverts and the like. The text is what stands in the main slot, less fixed
+The main slot is the innermost that holds nearly all text outside menus, forms, adverts and the like; an article or main
+element among the slots takes that part where it holds half of it. The text is what stands in the main slot, less fixed
 text. Where most text is fixed, the pages are copies but for little: then nothing is taken for fixed.
-A page with an article or main element is the text inside that; a page without text in the main slot is all open text.
+A page without a template, or without text in the main slot, is its article or main element if that holds half of the
+text, and else all text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from rentroll.session import durable
 SUPPORT = 3  # distinct pages from which a template is told
 SHARE = 0.8  # of these, pages that must hold a token of the template
 MASS = 0.9  # share of the open text that the main slot must hold
-HALF = 0.5  # the most of a layout's text that may be fixed
+HALF = 0.5  # share that an article must hold, and the most that may be fixed
 OUTER = 3  # elements of a path that tell layouts apart
 
 #: Fixed values of HTML.
@@ -165,14 +167,15 @@ def hashed(parts: Iterator[str]) -> int:
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, url, host, html) as the page's layout and fingerprint, its tokens outside asides, its blocks, and whether it has an article or main element. A token is a path, or a text block under a hash of path and text."""
+    """(page, url, host, html) as the page's layout and fingerprint, its tokens outside asides, its blocks, and whether an
+    article or main element holds half of its text. A token is a path, or a text block under a hash of path and text."""
     token = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("n", pa.int64()), ("mass", pa.int64())]))
     piece = pa.list_(pa.struct([("path", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("inside", pa.bool_())]))
     for batch in batches:
         layouts, prints, tokens, blocks, article = [], [], [], [], []
         for source in batch.column(3):
             counted: dict[tuple[str, int | None], list[int]] = {}
-            kept, articles = [], 0
+            kept, held, whole, articles = [], 0, 0, 0
             for kind, path, text, off, inside in parse(source.as_py()):
                 if off:
                     continue
@@ -182,6 +185,8 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     articles += around[-1] in ("article", "main") and not {"article", "main"} & set(around[:-1])
                     continue
                 kept.append({"path": path, "key": hashed((path, text)), "text": text, "inside": inside})
+                whole += len(text)
+                held += len(text) * inside
                 while path:
                     counted.setdefault((path, None), [0, 0])[1] += len(text)
                     path = path.rpartition("/")[0]
@@ -189,13 +194,13 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layouts.append(hashed(sorted(p for p, _ in counted if p.count("/") <= OUTER)))
             prints.append(hashed([*paths, "", *(f"{b['path']} {b['text']}" for b in kept)]))
             for b in kept:
-                if not b["inside"]:
+                if not b["inside"] or articles != 1:
                     one = counted.setdefault((b["path"], b["key"]), [0, 0])
                     one[0] += 1
                     one[1] += len(b["text"])
             tokens.append([{"path": p, "text": t, "n": n, "mass": m} for (p, t), (n, m) in counted.items()])
             blocks.append(kept)
-            article.append(articles > 0)
+            article.append(held > 0 and held >= HALF * whole)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(layouts, pa.int64()), pa.array(prints, pa.int64()),
              pa.array(tokens, token), pa.array(blocks, piece), pa.array(article, pa.bool_())],
@@ -218,7 +223,8 @@ def template(table: pa.Table) -> pa.Table:
     open_ = {r["path"]: r["mass"] - by_path.get(r["path"], 0) for r in paths}
     most = max(open_.values(), default=0)
     slots = [r["path"] for r in paths if r["slot"] and most]
-    held = [p for p in slots if open_[p] >= MASS * most]
+    named = [p for p in slots if p.rpartition("/")[2] in ("article", "main") and open_[p] >= HALF * most]
+    held = named or [p for p in slots if open_[p] >= MASS * most]
     main = max(held, key=lambda p: (p.count("/"), open_[p], p), default=None)
     return pa.table({"host": table["host"][:1], "layout": table["layout"][:1], "main": pa.array([main], pa.string()),
                      "fixed": pa.array([[r["text"] for r in fixed] if differ else []], pa.list_(pa.int64()))})
@@ -267,7 +273,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return F.coalesce((b["path"] == F.col("main")) | F.startswith(b["path"], F.concat("main", F.lit("/"))), F.lit(False))
 
     def open_(b):
-        return F.when(F.col("article"), b["inside"]).otherwise((in_main(b) | ~F.col("slotted")) & ~F.array_contains("fixed", b["key"]))
+        return F.when(F.col("slotted"), in_main(b) & ~F.array_contains("fixed", b["key"])).when(F.col("article"), b["inside"]).otherwise(
+            ~F.array_contains("fixed", b["key"]))
 
     both = both.withColumn("slotted", F.exists("blocks", in_main))
     text = F.array_join(F.transform(F.filter("blocks", open_), lambda b: b["text"]), "\n\n")

@@ -122,6 +122,16 @@ def test_main_text_of_copies(rows):
     assert all("\n\n".join([*body[:5], f"end {i}"]) in got[10 + i] for i in range(5))
 
 
+def test_main_text_beside_articles(rows):
+    """Articles that are cards of other posts do not stand for the body; a lone article does."""
+    bodies = {i: " ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)}
+    cards = "<aside><p>x</p></aside><section><article><p>Card one</p></article><article><p>Card two</p></article></section>"
+    data = [(i, f"http://cards.example/{i}", f"<html><body><div><p>{b}</p></div>{cards}</body></html>") for i, b in bodies.items()]
+    data += [(10 + i, f"http://lone.example/{i}", f"<html><body><div><p>Side {i}</p></div><article><h1>H{i}</h1><p>{b}</p></article></body></html>") for i, b in bodies.items()]
+    data += [(20, "http://few.example/1", f"<html><body><div><p>{bodies[0]}</p></div>{cards}</body></html>")]
+    assert extracted(rows, data) == {**bodies, **{10 + i: f"H{i}\n\n{b}" for i, b in bodies.items()}, 20: bodies[0] + "\n\nCard one\n\nCard two"}
+
+
 def test_shards(rows):
     data = [(i, None if i % 50 == 0 else "héllo" * (i % 37) if i % 3 else "same text " * 9) for i in range(900)] + [(5, "x"), (5, "x")]
     got = sharding.range_shards(rows(data, "doc_id bigint, text string")).collect()
