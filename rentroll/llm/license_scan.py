@@ -35,13 +35,17 @@ class Notice:
         cuts = [len(raw) * i // n for i in range(n + 1)]
         return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def pattern(self) -> regex.Pattern:
-        """The phrase within its edits, at word ends, its core exact; (?b) asks for the best match."""
+    def patterns(self) -> list[regex.Pattern]:
+        """The phrase at word ends, its core exact, one pattern for each way to deal the edits to the sides of the core;
+        (?b) asks for the best match."""
         head, _, tail = f" {self.phrase} ".partition(f" {self.core} ")
         parts = [regex.escape(x.strip(), literal_spaces=True) for x in (head, tail)]
-        one = self.edits if not parts[0] or not parts[1] else max(1, self.edits // 2)
-        fuzzy = [f"(?:{p}){{e<={one}}}" if p else "" for p in parts]
-        return regex.compile("(?b)(?<= )" + " ".join(x for x in (fuzzy[0], self.core, fuzzy[1]) if x) + "(?= )")
+        deals = [(e, self.edits - e) for e in range(self.edits + 1)] if parts[0] and parts[1] else [(self.edits, self.edits)]
+        made = []
+        for deal in deals:
+            fuzzy = [f"(?:{p}){{e<={e}}}" if p else "" for p, e in zip(parts, deal, strict=True)]
+            made.append(regex.compile("(?b)(?<= )" + " ".join(x for x in (fuzzy[0], self.core, fuzzy[1]) if x) + "(?= )"))
+        return made
 
 
 NOTICES = (
@@ -57,14 +61,14 @@ class Scanner:
     """Finds notices in one text after another."""
 
     def __init__(self, notices: Iterable[Notice] = NOTICES):
-        self.notices = [(n, n.phrase.encode(), n.pieces(), n.pattern()) for n in notices]
+        self.notices = [(n, n.phrase.encode(), n.pieces(), n.patterns()) for n in notices]
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """(number of words, spans in order of place); a NULL or empty text has neither."""
         words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
         line = b" " + b" ".join(words) + b" "
         spans = []
-        for notice, phrase, pieces, pattern in self.notices:
+        for notice, phrase, pieces, patterns in self.notices:
             exact, near = set(), {}
             for offset, piece in pieces:
                 at = line.find(piece)
@@ -73,7 +77,7 @@ class Scanner:
                     if start > 0 and line.startswith(b" " + phrase + b" ", start - 1):
                         exact.add(start)
                     else:
-                        found = self._near(line, start, phrase, notice, pattern)
+                        found = self._near(line, start, phrase, notice, patterns)
                         if found and (found[0] not in near or found[1:] < near[found[0]]):
                             near[found[0]] = found[1:]
                     at = line.find(piece, at + 1)
@@ -90,7 +94,7 @@ class Scanner:
         return len(words), spans
 
     @staticmethod
-    def _near(line: bytes, start: int, phrase: bytes, notice: Notice, pattern: regex.Pattern) -> tuple[int, int, int] | None:
+    def _near(line: bytes, start: int, phrase: bytes, notice: Notice, patterns: list[regex.Pattern]) -> tuple[int, int, int] | None:
         """(start, edits, end) of the best match near ``start``, in bytes of ``line``; edits count characters."""
         reach = 4 * notice.edits  # an edit may put in a character of up to four bytes
         low = max(0, start - reach - 1)
@@ -100,9 +104,10 @@ class Scanner:
         while high < len(line) and 0x80 <= line[high] < 0xC0:
             high += 1
         part = line[low:high].decode("utf-8", "replace")
-        found = pattern.search(part)
-        if not found or sum(found.fuzzy_counts) > notice.edits:
+        matches = [m for m in (p.search(part) for p in patterns) if m and sum(m.fuzzy_counts) <= notice.edits]
+        if not matches:
             return None
+        found = min(matches, key=lambda m: (sum(m.fuzzy_counts), m.start()))
         begin = low + len(part[: found.start()].encode())
         return begin, sum(found.fuzzy_counts), begin + len(found.group().encode())
 

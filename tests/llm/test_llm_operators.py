@@ -205,6 +205,20 @@ def test_notices(rows):
     assert [got[i]["n_words"] for i in (0, 4, 7)] == [9, 0, 6]
 
 
+def test_notices_with_edits_on_one_side():
+    """Every way to place two edits beside the core word."""
+    scan = license_scan.Scanner().scan
+
+    def spans(text):
+        return [(s["label"], s["first_word"], s["n_words"], s["edits"]) for s in scan(f"see {text} here")[1]]
+
+    for text in ("under the mit lisence", "under teh mit license", "under the mit licesne", "undr te mit license", "under the mit licns",
+                 "undr the mit licence"):
+        assert spans(text) == [("mit", 1, 4, 2)], text
+    assert [spans(t) for t in ("under the mit lisense", "under the mit license")] == [[("mit", 1, 4, 1)], [("mit", 1, 4, 0)]]
+    assert spans("undr te mit licence") == spans("under the mti license") == []
+
+
 def test_preference_pairs(rows):
     data = [(1, s, t, r, x) for s, turns in {
         "chosen": [(0, "user", "hi"), (1, "assistant", "é"), (2, "user", "so"), (3, "assistant", "yes")],
