@@ -253,8 +253,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     n_links counts the other vectors linked directly, component_id is the smallest id that links reach, kept marks the
     row of that id. Vectors that are NULL, empty, zero or hold a NULL or non-finite component link with nothing, nor do
     vectors of different lengths. Equal vectors are one class and are joined once; they link with each other. Repeated
-    ids are vectors of their own with one component; a NULL id links, but names a component only alone. An empty table
-    gives an empty one. Other columns are not read. Runs jobs when called.
+    ids are vectors of their own with one component; as in the SQL a NULL id links with nothing, and its component is
+    NULL. An empty table gives an empty one. Other columns are not read. Runs jobs when called.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"))
     units = durable(unit_vectors(rows), "units")
@@ -268,7 +268,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     if links is None:
         return units.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
                             F.lit(True).alias("kept"))
-    member = units.join(classes.select("d", "unit", "class", "n"), ["d", "unit"], "left")
+    named = units["id"].isNotNull() & (units["d"] == classes["d"]) & (units["unit"] == classes["unit"])
+    member = units.join(classes, named, "left").select(units["id"], "class", "n")
     reach = components(edges)
     found = member.join(links, "class", "left").join(reach, F.col("class") == F.col("node"), "left")
     own = F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce(F.col("links"), F.lit(0))

@@ -56,6 +56,13 @@ def test_near_vectors(rows):
     assert near_dedup.near_duplicates(rows([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_near_vectors_of_null_ids(rows):
+    data = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0])]
+    got = near_dedup.near_duplicates(rows(data, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [
+        (0, 0, 0, True), (0, 0, 0, True), (0, 0, 0, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
 def shingle_set(text):
     w = [x for x in (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\n", " ").replace("\t", " ").split(" ") if x]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
