@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentroll.llm import (
-    chat, decontaminate, html_extract, language_id, license_scan, near_dedup, packing, sharding, shingle_join, token_count,
+    chat, decontaminate, grouping, html_extract, language_id, license_scan, near_dedup, packing, sharding, shingle_join, structure_repair,
+    token_count, whitening,
 )
 
 SHARDS = 8
 TOKEN_LIMIT = 512
+COMPONENTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +81,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_whole_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.pack_whole(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_repair.structure_report(conversations, structure_repair.damaged(conversations))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), COMPONENTS)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_near_vectors, op2_benchmark_leaks, op3_shingle_join, op4_main_text, op5_range_shards, op6_language,
-              op7_licence_notices, op8_preference_pairs, op9_token_counts, op10_packing)
+              op7_licence_notices, op8_preference_pairs, op9_token_counts, op10_packing, op11_whole_packing,
+              op12_structure_repair, op13_whitening)
 }
 
 ORACLE_SQL: dict[str, str] = {
