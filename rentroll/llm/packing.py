@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ CAPACITY = 2048
 QUADRATIC = 4096.0  # tokens at which the quadratic part of the cost equals the linear part
 END_ID = 1
 BUCKET_DOCUMENTS = 2048  # documents packed together, so at most that many remainders meet in a task
-CHUNKS_KEPT, WORDS_KEPT = 1 << 19, 1 << 20  # remembered by a worker before it starts over
-TEXTS_AT_ONCE = 64
+KEPT_BYTES, KEPT_LENGTH, ENTRY_BYTES = 256 << 20, 64, 180  # a worker's store; the longest piece in it; an entry's own bytes
+SLICE_BYTES = 2 << 20
 #: The tokenizer's pre-token pattern, its letters, numbers and white space written out for Latin-1.
 LATIN = re.compile(r"[\x00-\xff]*")
 PRE_TOKENS = re.compile(
@@ -36,11 +37,13 @@ _tokenizers: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Ids of texts as two-byte numbers, by chunks between blanks.
+    """Ids of texts as two-byte numbers.
 
-    This kind of tokenizer drops white space, which bounds its pre-tokens, so a chunk has the same ids alone. Chunks of
-    Latin-1 letters are put together from lower-cased pre-tokens; others go to the tokenizer as they are. What is
-    new goes to it in one call, divided by a special token.
+    This kind of tokenizer drops white space, which bounds its pre-tokens, so a chunk between blanks has the same ids
+    alone. Texts are cut into chunks and those told apart in Arrow; only the distinct ones of a slice are looked at one
+    by one. Chunks of Latin-1 letters are put together from lower-cased pre-tokens; others go to the tokenizer as they
+    are. What is new goes to it in one call, divided by a special token, and is remembered unless it is long; the store
+    starts over when it holds ``KEPT_BYTES``.
     """
 
     def __init__(self, path: str):
@@ -52,8 +55,8 @@ class WordIds:
             raise ValueError("ids need more than two bytes")
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece; none of them holds a special token."""
@@ -61,39 +64,58 @@ class WordIds:
             return []
         joined = self.tokenizer.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids
         ids = np.array(joined, "<u2")
-        return [p[p != self.mark_id].tobytes() for p in np.split(ids, np.flatnonzero(ids == self.mark_id))]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CHUNKS_KEPT:
-            self.chunks.clear()
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        split, whole = {}, []
+        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+        data, out, low = ids.tobytes(), [], 0
+        for end in ends:
+            out.append(data[2 * low : 2 * end])
+            low = end + 1
+        return out
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        for piece, ids in found.items():
+            if len(piece) <= KEPT_LENGTH:
+                self.known[piece] = ids
+                self.held += ENTRY_BYTES + len(piece) + len(ids)
+
+    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not known yet."""
+        if self.held > KEPT_BYTES:
+            self.known.clear()
+            self.held = 0
+        out, split, whole = {}, {}, []
         for chunk in chunks:
             if "<|" in chunk:
-                self.chunks[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-            elif LATIN.fullmatch(chunk):
+                out[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+            elif chunk.isascii() or LATIN.fullmatch(chunk):
                 split[chunk] = PRE_TOKENS.findall(chunk.lower())
             else:
                 whole.append(chunk)
-        self.chunks.update(zip(whole, self._encoded(whole), strict=True))
-        new = list({w for words in split.values() for w in words if w not in self.words})
-        self.words.update(zip(new, self._encoded(new), strict=True))
-        known = self.words.__getitem__
-        for chunk, words in split.items():
-            self.chunks[chunk] = b"".join(map(known, words))
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        get = self.chunks.get
-        found = [list(map(get, p)) for p in parts]
-        new = {c for p, f in zip(parts, found, strict=True) if None in f for c, ids in zip(p, f, strict=True) if ids is None}
-        if new:
-            self._learn(new)
-            # what was found before stays valid; learning may have dropped it from the store only
-            found = [[get(c) if ids is None else ids for c, ids in zip(p, f, strict=True)] if None in f else f
-                     for p, f in zip(parts, found, strict=True)]
-        return [np.frombuffer(b"".join(f), "<u2") for f in found]
+        out.update(zip(whole, self._encoded(whole), strict=True))
+        new = list({w for words in split.values() for w in words if w not in self.known})
+        fresh = dict(zip(new, self._encoded(new), strict=True))
+        self._keep(fresh)
+        known = fresh | {w: self.known[w] for words in split.values() for w in words if w not in fresh}
+        out.update((chunk, b"".join(map(known.__getitem__, words))) for chunk, words in split.items())
+        self._keep(out)
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's end; a NULL text is empty."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        told = parts.flatten().dictionary_encode()
+        chunks = told.dictionary.to_pylist()
+        got = list(map(self.known.get, chunks))
+        if None in got:
+            learned = self._learned([c for c, ids in zip(chunks, got, strict=True) if ids is None])
+            got = [learned[c] if ids is None else ids for c, ids in zip(chunks, got, strict=True)]
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        flat, start = np.frombuffer(b"".join(got), "<u2"), np.cumsum(size) - size
+        at = told.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(start[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.asarray(parts.offsets)
+        return ids, np.append(0, ends)[bounds[1:] - bounds[0]]
 
 
 def tokenizer(path: str) -> WordIds:
@@ -103,8 +125,16 @@ def tokenizer(path: str) -> WordIds:
 
 
 def encoded(words: WordIds, texts: pa.Array) -> Iterator[np.ndarray]:
-    for low in range(0, len(texts), TEXTS_AT_ONCE):
-        yield from words.ids(texts.slice(low, TEXTS_AT_ONCE).to_pylist())
+    """The ids of each text; texts are taken some ``SLICE_BYTES`` at a time."""
+    texts = texts.cast(pa.string())
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        most = (sizes[low - 1] if low else 0) + SLICE_BYTES
+        high = max(low + 1, int(np.searchsorted(sizes, most, "right")))
+        ids, ends = words.ids(texts.slice(low, high - low))
+        yield from np.split(ids, ends[:-1])
+        low = high
 
 
 def crc(ids: np.ndarray) -> int:
