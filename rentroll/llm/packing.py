@@ -25,25 +25,37 @@ QUADRATIC = 4096.0  # tokens at which the quadratic part of the cost equals the
 END_ID = 1
 BUCKET_DOCUMENTS = 2048  # documents packed together, so at most that many remainders meet in a task
 KEPT_BYTES, KEPT_LENGTH, ENTRY_BYTES = 256 << 20, 64, 180  # a worker's store; the longest piece in it; an entry's own bytes
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: The tokenizer's pre-token pattern, its letters, numbers and white space written out for Latin-1.
 LATIN = re.compile(r"[\x00-\xff]*")
 PRE_TOKENS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: The same in Arrow: signs and digits to be set apart, and what makes a chunk odd.
+SIGNS = r"([^\t-\r \x{85}\x{a0}a-zªµºß-öø-ÿ0-9²³¹¼½¾]+|[0-9²³¹¼½¾])"
+ODD = r"[^\x00-\x{ff}]|'|<\|"
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint")
 _tokenizers: dict[str, "WordIds"] = {}
 
 
+def gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``flat``, each ending where ``ends`` says, put together in the order of ``at``; and where those end."""
+    size = np.diff(ends, prepend=0)
+    n, start = size[at], (ends - size)[at]
+    out = np.cumsum(n)
+    return flat[np.repeat(start - out + n, n) + np.arange(out[-1] if len(out) else 0)], out
+
+
 class WordIds:
     """Ids of texts as two-byte numbers.
 
     This kind of tokenizer drops white space, which bounds its pre-tokens, so a chunk between blanks has the same ids
-    alone. Texts are cut into chunks and those told apart in Arrow; only the distinct ones of a slice are looked at one
-    by one. Chunks of Latin-1 letters are put together from lower-cased pre-tokens; others go to the tokenizer as they
-    are. What is new goes to it in one call, divided by a special token, and is remembered unless it is long; the store
-    starts over when it holds ``KEPT_BYTES``.
+    alone. Texts are cut into chunks and those told apart in Arrow, and the distinct ones are cut into words there:
+    letters, single digits and runs of other signs. Chunks that need more care (an apostrophe, a special token's
+    string, letters beyond Latin-1) are looked at one by one. Words that are new go to the tokenizer in one call,
+    divided by a special token, and are remembered unless they are long; the store starts over when it holds
+    ``KEPT_BYTES``.
     """
 
     def __init__(self, path: str):
@@ -71,49 +83,50 @@ class WordIds:
             low = end + 1
         return out
 
-    def _keep(self, found: dict[str, bytes]) -> None:
-        for piece, ids in found.items():
-            if len(piece) <= KEPT_LENGTH:
-                self.known[piece] = ids
-                self.held += ENTRY_BYTES + len(piece) + len(ids)
-
-    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not known yet."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        got = list(map(self.known.get, words))
+        if None not in got:
+            return got
+        new = list({w for w, ids in zip(words, got, strict=True) if ids is None})
+        fresh = dict(zip(new, self._encoded(new), strict=True))
         if self.held > KEPT_BYTES:
             self.known.clear()
             self.held = 0
-        out, split, whole = {}, {}, []
-        for chunk in chunks:
-            if "<|" in chunk:
-                out[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-            elif chunk.isascii() or LATIN.fullmatch(chunk):
-                split[chunk] = PRE_TOKENS.findall(chunk.lower())
-            else:
-                whole.append(chunk)
-        out.update(zip(whole, self._encoded(whole), strict=True))
-        new = list({w for words in split.values() for w in words if w not in self.known})
-        fresh = dict(zip(new, self._encoded(new), strict=True))
-        self._keep(fresh)
-        known = fresh | {w: self.known[w] for words in split.values() for w in words if w not in fresh}
-        out.update((chunk, b"".join(map(known.__getitem__, words))) for chunk, words in split.items())
-        self._keep(out)
-        return out
+        for word, ids in fresh.items():
+            if len(word) <= KEPT_LENGTH:
+                self.known[word] = ids
+                self.held += ENTRY_BYTES + len(word) + len(ids)
+        return [fresh[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+
+    def _odd(self, chunk: str) -> bytes:
+        if "<|" in chunk:
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        return b"".join(self._words(PRE_TOKENS.findall(chunk.lower()) if LATIN.fullmatch(chunk) else [chunk]))
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, and where each chunk's end."""
+        odd = pc.match_substring_regex(chunks, ODD).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(chunks.filter(pa.array(~odd))), SIGNS, r" \1 "), " ")
+        told = cut.flatten().dictionary_encode()
+        got = self._words(told.dictionary.to_pylist())
+        flat, ends = gathered(np.frombuffer(b"".join(got), "<u2"), np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) // 2,
+                              told.indices.to_numpy())
+        bounds = np.asarray(cut.offsets)
+        ends = np.append(0, ends)[bounds[1:] - bounds[0]]
+        rest = [self._odd(c) for c in chunks.filter(pa.array(odd)).to_pylist()]
+        if not rest:
+            return flat, ends
+        ends = np.append(ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(r) // 2 for r in rest]))
+        order = np.empty(len(odd), np.int64)
+        order[~odd], order[odd] = np.arange(len(odd) - len(rest)), np.arange(len(odd) - len(rest), len(odd))
+        return gathered(np.append(flat, np.frombuffer(b"".join(rest), "<u2")), ends, order)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's end; a NULL text is empty."""
         parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         told = parts.flatten().dictionary_encode()
-        chunks = told.dictionary.to_pylist()
-        got = list(map(self.known.get, chunks))
-        if None in got:
-            learned = self._learned([c for c, ids in zip(chunks, got, strict=True) if ids is None])
-            got = [learned[c] if ids is None else ids for c, ids in zip(chunks, got, strict=True)]
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
-        flat, start = np.frombuffer(b"".join(got), "<u2"), np.cumsum(size) - size
-        at = told.indices.to_numpy()
-        n = size[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(start[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = gathered(*self._chunks(told.dictionary), told.indices.to_numpy())
         bounds = np.asarray(parts.offsets)
         return ids, np.append(0, ends)[bounds[1:] - bounds[0]]
 
