@@ -380,6 +380,10 @@ BODIES: dict[str, str] = {
     "counterparty_rules": "SELECT lender, property_name, CASE WHEN lender IS NOT NULL THEN CASE WHEN amount IS NULL "
     "THEN 'N' ELSE 'Y' END END AS outcome, count(*) AS n FROM judged GROUP BY 1, 2, 3",
     "loan_payments": "SELECT * FROM payments",
+    "loan_payments_null_year": STEPS["payments"].replace("j.year", "year(posting_date)").replace(
+        "principal, year(posting_date)", "principal, CAST(year(posting_date) AS INTEGER) AS year") + " AND posting_date IS NOT NULL",
+    "loan_status_null_year": f"SELECT {_LINE}, CASE WHEN lender IS NOT NULL THEN CASE WHEN amount IS NULL OR posting_date IS NULL "
+    "THEN 'N' ELSE 'Y' END END AS is_processed FROM judged",
     "utility_expenses": "SELECT * FROM utility_rows",
     "utility_outcomes": "SELECT is_processed AS outcome, reject_reason, count(*) AS n FROM marked WHERE utility "
     "GROUP BY 1, 2",
@@ -468,6 +472,9 @@ BODIES: dict[str, str] = {
     "dq_table": "SELECT 'foreign_key' AS check_id, 'units' AS \"table\", CAST(property AS VARCHAR) AS key, "
     "'property has no parent' AS reason FROM (SELECT DISTINCT property FROM units) "
     "WHERE property NOT IN (SELECT id FROM property WHERE acquired_date IS NOT NULL) UNION ALL " + _length_checks(),
+    "csv_scan_spanning": "SELECT source_file, trim(CASE line_item % 3 WHEN 0 THEN description WHEN 1 THEN 'a \"b\",' || chr(10) || "
+    "description ELSE description || chr(10) || chr(10) || '\"' || chr(10) || 'end, of' END) AS description, trim(amount) AS amount, "
+    "nullif(check_or_slip, '') AS check_num FROM raw_bank",
     "csv_scan": "SELECT details, posting_date, description, amount, type, check_num FROM staged",
     "csv_file_numbers": "SELECT count(*) AS n, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, "
     "CAST(count(*) * (count(*) + 1) / 2 AS BIGINT) AS sum_id FROM supplier",

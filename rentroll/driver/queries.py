@@ -394,6 +394,27 @@ def loan_payments(spark, sf):
     ).new_payments
 
 
+def _undated(spark, sf):
+    """Staging whose year is that of the posting date, so NULL where it cannot be read."""
+    return durable(bank.staged_columns(_raw_bank(spark, sf), F.year(parse.parse_posting_date(F.trim("posting date")))), "staging")
+
+
+@register
+def loan_payments_null_year(spark, sf):
+    """Debits without a year get no payment."""
+    return bank.derive_loan_payments(
+        _undated(spark, sf), LOAN_RULES, shape(spark, sf, "property"), empty(spark, BANK_PAYMENT), BANK_ORDER
+    ).new_payments
+
+
+@register
+def loan_status_null_year(spark, sf):
+    """Debits without a year are marked as failed."""
+    staging = bank.derive_loan_payments(
+        _undated(spark, sf), LOAN_RULES, shape(spark, sf, "property"), empty(spark, BANK_PAYMENT), BANK_ORDER).staging
+    return staging.select(*BANK_ORDER, "is_processed")
+
+
 def _utility(spark, sf):
     categories = empty(spark, EXPENSE_CATEGORY).unionByName(
         table(spark, sf, "part").agg(F.max("p_partkey").alias("category_id"), F.lit("Internet").alias("category_name"))
@@ -660,6 +681,18 @@ def csv_scan(spark, sf):
     return rows.select("details", "posting_date", "description", "amount", "type", "check_num")
 
 
+@register
+def csv_scan_spanning(spark, sf):
+    """The bank rows as an export whose descriptions hold line breaks: split among tasks like any other."""
+    text, third = F.col("description"), F.col("line_item") % 3
+    spanned = F.when(third == 0, text).when(third == 1, F.concat(F.lit('a "b",\n'), text)).otherwise(F.concat(text, F.lit('\n\n"\nend, of')))
+    out = shape(spark, sf, "raw_bank").select(
+        F.col("source_file").alias("Path"), spanned.alias("Description "), F.col("amount").alias("Amount"),
+        F.col("check_or_slip").alias("Check or Slip #"))
+    scan = csv.scan_csv(spark, _write_csv(out, "spanning-csv"))
+    return scan.rows.select(F.col("path").alias("source_file"), "description", "amount", F.col("check or slip #").alias("check_num"))
+
+
 @register
 def csv_file_numbers(spark, sf):
     """Row numbers in file order: dense over all files."""

@@ -102,9 +102,8 @@ class LoanPayments(NamedTuple):
 def loan_outcomes(staging: DataFrame, rules: Sequence[LoanRule]) -> DataFrame:
     """Staging with lender, property name and outcome: Y payable, N matched but unusable, NULL not ours."""
     lender = F.when(_debit() & F.col("is_processed").isNull(), F.col("_prefix"))
-    outcome = F.when(
-        F.col("lender").isNotNull(), F.when(F.col("amount").isNull(), F.lit("N")).otherwise(F.lit("Y"))
-    )
+    unusable = F.col("amount").isNull() | F.col("year").isNull()
+    outcome = F.when(F.col("lender").isNotNull(), F.when(unusable, F.lit("N")).otherwise(F.lit("Y")))
     named = staging.withColumn("_prefix", text.leading(F.col("description"), rule_prefixes(rules)))
     return named.withColumn("lender", lender).withColumns(
         {"outcome": outcome, "property_name": loan_property_name(F.col("_prefix"), F.col("description"), rules)}
@@ -120,11 +119,12 @@ def derive_loan_payments(
 ) -> LoanPayments:
     """Payments for unprocessed debit rows of known lenders, numbered per year in staging order.
 
-    Rows that were processed before are left alone, so a repeated run adds nothing.
+    Rows that were processed before are left alone, so a repeated run adds nothing. A row without an amount
+    or a year cannot be paid: it is marked N.
     """
     judged = loan_outcomes(staging, rules)
     # plain conjuncts, cheapest first, so that most rows are dropped before their text is looked into
-    open_debits = staging.filter(F.col("is_processed").isNull() & _debit() & F.col("amount").isNotNull())
+    open_debits = staging.filter(F.col("is_processed").isNull() & _debit() & F.col("amount").isNotNull() & F.col("year").isNotNull())
     lent = open_debits.filter(text.starts_with_any(F.col("description"), rule_prefixes(rules)))
     payable = loan_outcomes(lent, rules).select(
         *order_by, "year", "posting_date", "property_name", "description", "amount"

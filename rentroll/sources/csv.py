@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv as text_csv
+import io
 from collections.abc import Mapping
 from typing import NamedTuple
 
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from rentroll.functions.text import trimmed
+from rentroll.session import durable
+from rentroll.sources.records import any_open_line, first_lines, read_lines, records
 
 LINE_COLUMNS = ("source_file", "line_block", "line_at")
 _BAD = "_bad_record"
@@ -41,69 +45,85 @@ def check_input(spark: SparkSession, path: str | None) -> str:
     return path
 
 
-def _spanning_files(spark: SparkSession, path: str) -> list[str]:
-    """Files in which a line leaves a quote open, so that a record may go on over the next line: names only."""
-    lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = lines.filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file")).distinct()
-    return sorted(r["file"] for r in odd.collect())
-
-
 def _field_count(record) -> F.Column:
     unquoted = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
 
 
+OPTIONS = {"quote": '"', "escape": '"'}
+GLOB = "*.[cC][sS][vV]"
+BOM = "\ufeff"
+
+
+def _distinct_names(headers: list[str]) -> list[str]:
+    """As the CSV reader names columns: a missing name is _c and its place, one that occurs again gets its place."""
+    folded = [h.lower() for h in headers]
+    return [f"_c{i}" if not h else f"{h}{i}" if folded.count(f) > 1 else h for i, (h, f) in enumerate(zip(headers, folded, strict=True))]
+
+
+def _schema(headers: list[str]) -> StructType:
+    return StructType([StructField(h, StringType()) for h in headers] + [StructField(_BAD, StringType())])
+
+
+def _from_reader(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """Headers, and (values, line columns) of files in which every line is a record."""
+    def reader():
+        return spark.read.options(header=True, pathGlobFilter=GLOB, **OPTIONS)
+
+    headers = reader().csv(path).columns
+    read = (
+        reader().schema(_schema(headers))
+        .option("columnNameOfCorruptRecord", _BAD)
+        # a file whose header differs must not be read under wrong names
+        .option("enforceSchema", False)
+        # a pruned parser would not notice short records
+        .option("columnPruning", False)
+        .csv(path)
+    )
+    return headers, read.select(
+        *[F.col(f"`{h}`") for h in headers], F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("line_block"), F.monotonically_increasing_id().alias("line_at"), F.col(_BAD))
+
+
+def _from_lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """The same of files in which a quoted value may hold line breaks; and the lines that are no record."""
+    lines = read_lines(spark, path, GLOB)
+    found, broken = records(lines)
+    heads = durable(first_lines(lines), "heads")
+    at = [found[c] == heads[c] for c in LINE_COLUMNS]
+    head = F.regexp_replace("record", f"^{BOM}", "")
+    told = [r["head"] for r in found.join(heads, at, "left_semi").select(head.alias("head")).distinct().limit(2).collect()]
+    if len(told) != 1:
+        raise ValueError(f"CSV headers differ: {told[0]!r}, {told[1]!r}" if told else f"no header in {path}")
+    names = _distinct_names(next(text_csv.reader(io.StringIO(told[0]))))
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in _schema(names))
+    options = {**OPTIONS, "columnNameOfCorruptRecord": _BAD}
+    body = found.filter(F.trim("record") != "").join(heads, at, "left_anti")
+    values = body.select(F.from_csv("record", schema, options).alias("v"), "source_file", "line_block", "line_at")
+    return names, values.select(*[F.col(f"v.`{n}`") for n in names], "source_file", "line_block", "line_at", F.col(f"v.{_BAD}")), broken
+
+
 def scan_csv(
     spark: SparkSession, path: str, multiline: bool | None = None, strict: bool = False
 ) -> CsvScan:
     """Read a CSV file, or a folder of CSV files with the same header.
 
     A record lacking fields goes to ``rejects`` (or raises when ``strict``);
-    surplus fields are dropped. Files are split among tasks, but for those in which a
-    quoted value holds a line break; ``multiline`` states that beforehand for all files
-    and saves the look.
+    surplus fields are dropped. Files are split among tasks, those too in which a
+    quoted value holds a line break; ``multiline`` states whether any does, and saves the
+    look, which ends at the first line found. A quoted value of more than ``records.RECORD_LINES`` lines, as a quote
+    that nothing closes makes, is rejected line by line.
     """
     check_input(spark, path)
-    spanning = _spanning_files(spark, path) if multiline is None else []
-
-    def reader(whole: bool):
-        return (
-            spark.read.option("header", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", whole)
-            .option("pathGlobFilter", "*.[cC][sS][vV]")
-        )
-
-    headers = reader(bool(multiline or spanning)).csv(path).columns
-    names = [normalize_header(h) for h in headers]
-    schema = StructType([StructField(h, StringType()) for h in headers] + [StructField(_BAD, StringType())])
-
-    def named_rows(whole: bool, files) -> DataFrame:
-        read = (
-            reader(whole).schema(schema)
-            .option("columnNameOfCorruptRecord", _BAD)
-            # a file whose header differs must not be read under wrong names
-            .option("enforceSchema", False)
-            # a pruned parser would not notice short records
-            .option("columnPruning", False)
-            .csv(path)
-        )
-        # the condition is on the file's name alone, so the listing is narrowed before anything is read
-        return read.filter(files).select(
-            *[trimmed(F.col(f"`{h}`")).alias(n) for h, n in zip(headers, names)],
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("line_block"),
-            F.monotonically_increasing_id().alias("line_at"),
-            F.col(_BAD),
-        )
-
-    if spanning:
-        inside = F.col("_metadata.file_path").isin(spanning)
-        named = named_rows(True, inside).unionByName(named_rows(False, ~inside))
+    if multiline is None:
+        multiline = any_open_line(spark, path, GLOB)
+    if not multiline:
+        headers, read = _from_reader(spark, path)
+        broken = None
     else:
-        named = named_rows(bool(multiline), F.lit(True))
+        headers, read, broken = _from_lines(spark, path)
+    names = [normalize_header(h) for h in headers]
+    named = read.select(*[trimmed(F.col(f"`{h}`")).alias(n) for h, n in zip(headers, names)], *LINE_COLUMNS, _BAD)
     # a short record lacks its last field; naming that field also keeps the reader parsing whole
     # records, since it refuses to read the record text alone
     lacking = F.col(_BAD).isNotNull() & F.col(f"`{names[-1]}`").isNull()
@@ -111,8 +131,11 @@ def scan_csv(
     rejects = named.filter(short).select(
         "source_file", F.col(_BAD).alias("record"), F.lit("record lacks fields").alias("reason")
     )
+    if broken is not None:
+        rejects = rejects.unionByName(broken.withColumn("reason", F.lit("quoted value does not end")))
     if strict and rejects.limit(1).count():
-        raise ValueError(f"record lacks fields: {rejects.first()['record']!r}")
+        row = rejects.first()
+        raise ValueError(f"{row['reason']}: {row['record']!r}")
     return CsvScan(named.filter(~short).drop(_BAD), rejects)
 
 

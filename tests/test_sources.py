@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from rentroll.operators.sequence import number_file_rows
 from rentroll.plans.dimensions import refresh_dimensions
 from rentroll.schemas import EXPENSE, EXPENSE_CATEGORY, PROPERTY, PROVIDER, UNITS, conform
-from rentroll.sources import csv, manifest, tables
+from rentroll.sources import csv, manifest, records, tables
 
 
 def write(path, content):
@@ -109,7 +109,7 @@ def test_manifest(spark, rows):
     assert manifest.unprocessed(files, out).count() == 0
 
 
-def test_only_files_with_open_quotes_are_read_whole(spark, tmp_path):
+def test_no_file_is_read_whole(spark, tmp_path):
     folder = tmp_path / "mixed"
     folder.mkdir()
     write(folder / "clean a.csv", "Id,Text\n" + "".join(f"{i},plain\n" for i in range(50)))
@@ -121,5 +121,77 @@ def test_only_files_with_open_quotes_are_read_whole(spark, tmp_path):
     assert scan.rejects.count() == 0
     keys = scan.rows.select(*csv.LINE_COLUMNS).distinct().count()
     assert keys == 54
-    whole = [line for line in scan.rows._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan csv" in line]
-    assert len(whole) == 2  # one scan for the files read whole, one for the others
+    plan = scan.rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan and "FileScan parquet" in plan  # the stored lines, not the files again
+
+
+def plain_records(text):
+    """Records by walking over the characters; a quote opens a value only at its start."""
+    out, record, inside, start, i = [], "", False, True, 0
+    while i < len(text):
+        c = text[i]
+        if inside:
+            if c == '"' and text[i + 1 : i + 2] == '"':
+                record, i = record + c, i + 1
+            elif c == '"':
+                inside = False
+        elif c == '"' and start:
+            inside = True
+        if c == "\n" and not inside:
+            out.append(record)
+            record, start = "", True
+        else:
+            start = not inside and c == ","
+            record += c
+        i += 1
+    return [r for r in [*out, record] if r.strip()]
+
+
+def test_records_span_lines_and_splits(spark, tmp_path):
+    """Random records with quotes and line breaks, in files cut into many splits."""
+    import random
+
+    rng = random.Random(3)
+    pieces = ["a", "", 'x"y', '"q"', '"a""b"', '"two\nlines"', '"\n"', '"l""1\n\n,""\nend"', "5\" pipe", '"tail" x', '" , "']
+    texts = {n: "h,i,j\n" + "".join(",".join(rng.choices(pieces, k=3)) + "\n" for _ in range(400)) for n in ("a", "b", "c")}
+    texts["long"] = "h,i,j\n" + '1,"' + "line\n" * 300 + '",2\n3,4,5\n'
+    for name, text in texts.items():
+        write(tmp_path / f"{name}.csv", text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "997")
+        lines = records.read_lines(spark, str(tmp_path), "*.csv")
+        assert lines.select("source_file", "line_block").distinct().count() > 30
+        found, broken = records.records(lines)
+        got = {n: [] for n in texts}
+        for r in found.orderBy("line_block", "line_at").collect():
+            if r["record"].strip():
+                got[r["source_file"].rsplit("/", 1)[1][:-4]].append(r["record"])
+        assert got == {n: plain_records(t) for n, t in texts.items()}
+        assert broken.count() == 0
+        rows = csv.scan_csv(spark, str(tmp_path)).rows
+        assert rows.rdd.getNumPartitions() > 1
+        assert sum(len(plain_records(t)) - 1 for t in texts.values()) == rows.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_quote_that_never_ends(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "RECORD_LINES", 5)
+    path = write(tmp_path / "q.csv", 'a,b\n1,"two\nlines"\n2,x\n3,"open\n' + "4,y\n" * 9)
+    scan = csv.scan_csv(spark, path)
+    assert sorted((r["a"], r["b"]) for r in scan.rows.collect()) == [("1", "two\nlines"), ("2", "x")]
+    assert sorted(r["record"] for r in scan.rejects.collect()) == ['3,"open'] + ["4,y"] * 9
+    with pytest.raises(ValueError, match="does not end"):
+        csv.scan_csv(spark, path, strict=True)
+
+
+def test_headers_of_spanning_files(spark, tmp_path):
+    write(tmp_path / "a.csv", '\ufeff"ID\n1",,ID,id\n1,"x\ny",2,3\n')
+    rows = csv.scan_csv(spark, str(tmp_path)).rows
+    assert rows.columns[:4] == ["id\n1", "_c1", "id2", "id3"] and rows.first()[:4] == ("1", "x\ny", "2", "3")
+    write(tmp_path / "b.csv", 'x,y,z,w\n1,"x\ny",2,3\n')
+    with pytest.raises(ValueError, match="headers differ"):
+        csv.scan_csv(spark, str(tmp_path))
