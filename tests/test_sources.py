@@ -160,7 +160,7 @@ def test_records_span_lines_and_splits(spark, tmp_path):
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         for k in before:
-            spark.conf.set(k, "997")
+            spark.conf.set(k, "499")
         lines = records.read_lines(spark, str(tmp_path), "*.csv")
         assert lines.select("source_file", "line_block").distinct().count() > 30
         found, broken = records.records(lines)
