@@ -193,6 +193,7 @@ SELECT *, CASE
     WHEN posting_date IS NULL THEN 'missing date' WHEN amount IS NULL THEN 'missing amount' END END AS reject_reason
 FROM judged
 """
+_CONTENT = "details, posting_date, description, amount, type, check_num, year"
 _LINE = "line_order, line_item, line_part, line_source, line_day"
 STEPS["payments"] = f"""
 SELECT CAST(j.year AS VARCHAR) || '-BANKPAY-' || CAST(row_number() OVER (PARTITION BY j.year ORDER BY {_LINE})
@@ -343,6 +344,8 @@ BODIES: dict[str, str] = {
     "last_ledger f WHERE s.transaction_id = f.transaction_id AND s.year = f.year) "
     f"UNION ALL SELECT {_INCOME_COLUMNS} FROM last_ledger f WHERE NOT EXISTS (SELECT 1 FROM stored_ledger s "
     "WHERE s.transaction_id = f.transaction_id AND s.year <> f.year)",
+    "stored_key_lookup": "SELECT transaction_id, due_date, original_amount, year FROM stored_ledger WHERE transaction_id IN "
+    "(SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')",
     "income_upsert_conflicts": "SELECT transaction_id, f.year AS scope, s.year AS existing_scope FROM last_ledger f "
     "JOIN stored_ledger s USING (transaction_id) WHERE s.year <> f.year",
     "income_upsert_actions": "SELECT CASE WHEN s.year IS NULL THEN 'insert' WHEN s.year <> f.year THEN 'conflict' "
@@ -379,6 +382,21 @@ BODIES: dict[str, str] = {
     "split_part(substr(file_path, 5), '_', 2) AS account FROM manifest",
     "counterparty_rules": "SELECT lender, property_name, CASE WHEN lender IS NOT NULL THEN CASE WHEN amount IS NULL "
     "THEN 'N' ELSE 'Y' END END AS outcome, count(*) AS n FROM judged GROUP BY 1, 2, 3",
+    "land_same_file": "SELECT coalesce(m.id, -1) AS file_key, count(*) AS rows, 'same' AS action, CAST(0 AS BIGINT) AS landed "
+    "FROM staged s LEFT JOIN manifest m ON m.file_path = s.source_file GROUP BY 1",
+    "land_changed_file": f"""
+WITH e AS (SELECT *, line_source % 100 % 4 AS kind FROM judged),
+was AS (SELECT * REPLACE (CASE WHEN kind = 1 AND line_item = 1 THEN CAST(1 AS DECIMAL(10,2)) ELSE amount END AS amount),
+    row_number() OVER (ORDER BY source_file, {_LINE}) AS id FROM e WHERE kind <> 3 AND NOT (kind = 0 AND line_item > 2)),
+old AS (SELECT *, CASE WHEN lender IS NOT NULL THEN CASE WHEN amount IS NULL THEN 'N' ELSE 'Y' END END AS mark FROM was),
+c AS (SELECT file_id, bool_or(kind = 3 OR (kind = 0 AND line_item > 2)
+    OR (kind = 1 AND line_item = 1 AND amount IS DISTINCT FROM CAST(1 AS DECIMAL(10,2)))) AS changed FROM e GROUP BY file_id),
+k AS (SELECT file_id, {_CONTENT}, max(mark) AS mark FROM old WHERE mark IS NOT NULL GROUP BY ALL)
+SELECT id, file_id, {_CONTENT}, mark AS is_processed FROM old JOIN c USING (file_id) WHERE NOT changed
+UNION ALL SELECT (SELECT max(id) FROM was) + row_number() OVER (ORDER BY source_file, {_LINE}), e.file_id,
+  {", ".join("e." + x for x in _CONTENT.split(", "))}, k.mark
+FROM e JOIN c USING (file_id) LEFT JOIN k ON k.file_id = e.file_id AND
+  {" AND ".join(f"k.{x} IS NOT DISTINCT FROM e.{x}" for x in _CONTENT.split(", "))} WHERE changed""",
     "loan_payments": "SELECT * FROM payments",
     "loan_payments_null_year": STEPS["payments"].replace("j.year", "year(posting_date)").replace(
         "principal, year(posting_date)", "principal, CAST(year(posting_date) AS INTEGER) AS year") + " AND posting_date IS NOT NULL",
@@ -495,5 +513,9 @@ BODIES: dict[str, str] = {
 }
 
 
+# the stored table holds what the upsert makes
+BODIES["upsert_touched"] = BODIES["income_upsert_overwrite"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(body) for name, body in BODIES.items()}

@@ -26,7 +26,7 @@ from rentroll.schemas import (
     conform,
 )
 from rentroll.session import durable, scratch_path
-from rentroll.sources import csv, manifest
+from rentroll.sources import csv, manifest, versioned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -240,6 +240,26 @@ def income_upsert_overwrite(spark, sf):
     return _upsert(spark, sf, True).table
 
 
+@register
+def upsert_touched(spark, sf):
+    """The overwriting upsert into a stored table, of which only touched buckets are written anew."""
+    path = scratch_path(spark, "income-table")
+    versioned.create(shape(spark, sf, "stored_ledger"), path, INCOME)
+    versioned.merge(
+        path, INCOME, shape(spark, sf, "ledger"),
+        lambda old, new: mutate.guarded_upsert(old, new, "transaction_id", "year", ["line_no"], True).table)
+    return versioned.read(spark, path, INCOME)
+
+
+@register
+def stored_key_lookup(spark, sf):
+    """Stored ledger rows of the keys that the urgent orders name, from their buckets only."""
+    path = scratch_path(spark, "income-table")
+    versioned.create(shape(spark, sf, "stored_ledger"), path, INCOME)
+    keys = table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").cast("string").alias("transaction_id"))
+    return versioned.read_keys(spark, path, INCOME, keys).select("transaction_id", "due_date", "original_amount", "year")
+
+
 @register
 def income_upsert_conflicts(spark, sf):
     actions = _upsert(spark, sf, True).actions
@@ -362,6 +382,31 @@ def bank_staging_landed(spark, sf):
     )
 
 
+def _landed_twice(spark, sf, first: DataFrame):
+    """An export landed after an earlier one, of which the loan debits were marked."""
+    raw, files, order = _raw_bank(spark, sf), shape(spark, sf, "manifest"), ["source_file", *BANK_ORDER]
+    earlier = bank.land_bank_export(first, files, F.year("line_day"), order_by=order)
+    marked = bank.loan_outcomes(earlier, LOAN_RULES).withColumn("is_processed", F.col("outcome")).select(*earlier.columns)
+    return bank.land_files(raw, files, F.year("line_day"), durable(marked, "staging"), order_by=order)
+
+
+@register
+def land_same_file(spark, sf):
+    """Landing the same export again: every file is known, nothing lands."""
+    done = _landed_twice(spark, sf, _raw_bank(spark, sf))
+    landed = done.landed.groupBy(F.col("file_id").alias("file_key")).agg(F.count(F.lit(1)).alias("landed"))
+    return done.files.join(landed, "file_key", "left").select("file_key", "rows", "action", F.coalesce("landed", F.lit(0)).alias("landed"))
+
+
+@register
+def land_changed_file(spark, sf):
+    """Of a third of the files an earlier export lacked rows, and of another it had other amounts; some were not there."""
+    raw, kind = _raw_bank(spark, sf), F.col("line_source") % 100 % 4
+    first = raw.filter((kind != 3) & ~((kind == 0) & (F.col("line_item") > 2)))
+    first = first.withColumn("amount", F.when((kind == 1) & (F.col("line_item") == 1), "1.00").otherwise(F.col("amount")))
+    return _landed_twice(spark, sf, first).staging
+
+
 @register
 def bank_name_extract(spark, sf):
     rows = _staged(spark, sf)

@@ -21,6 +21,7 @@ from rentroll.operators.mutate import apart, append, full_upsert, one_per_key
 from rentroll.operators.quality import year_column
 from rentroll.operators.sequence import dense_sequence, last_numbers_by_year, number_file_rows
 from rentroll.schemas import BANK_PAYMENT, EXPENSE, MONEY, STAGING, conform
+from rentroll.session import durable
 
 PAYMENT_LABEL = "BANKPAY"
 
@@ -58,9 +59,90 @@ def with_file_id(rows: DataFrame, manifest: DataFrame, path: str = "source_file"
     return rows.join(files, F.col(path) == F.col("_path"), "left").drop("_path")
 
 
-def not_landed(rows: DataFrame, staging: DataFrame) -> DataFrame:
-    """Rows of files that ``staging`` does not hold; rows without a file are all kept."""
-    return rows.join(apart(staging.select("file_id").distinct()), "file_id", "left_anti").select(*rows.columns)
+#: What a bank row says; its ids and its mark are given to it here.
+CONTENT = ("details", "posting_date", "description", "amount", "type", "check_num", "year")
+
+
+def _content(df: DataFrame) -> Column:
+    """A row's content as one text, which tells a NULL from an empty text."""
+    fields = {f.name: f.dataType for f in STAGING.schema.fields}
+    return F.to_json(F.struct(*[F.col(c).cast(fields[c]).alias(c) for c in CONTENT]), {"ignoreNullFields": "false"})
+
+
+def _file_key() -> Column:
+    """Rows that no file of the manifest brought count as one file."""
+    return F.coalesce(F.col("file_id"), F.lit(-1).cast("bigint"))
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """(file_key, rows, print_a, print_b): each file's content as a bag of rows, whatever their order.
+
+    Two independent 64-bit hashes of a row are added up exactly; partial sums are reduced before the shuffle, so
+    a file that holds a third of all rows moves one row per task.
+    """
+    text = _content(rows)
+    hashed = rows.select(_file_key().alias("file_key"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
+    return hashed.groupBy("file_key").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("a").cast("decimal(20,0)")).alias("print_a"),
+        F.sum(F.col("b").cast("decimal(20,0)")).alias("print_b"))
+
+
+def file_actions(rows: DataFrame, staging: DataFrame) -> DataFrame:
+    """(file_key, rows, action) of the files in ``rows``: new, same as stored, or changed. Stored; runs jobs."""
+    old = fingerprints(staging).withColumnsRenamed({"rows": "old_rows", "print_a": "old_a", "print_b": "old_b"})
+    both = fingerprints(rows).join(old, "file_key", "left")
+    same = (F.col("rows") == F.col("old_rows")) & (F.col("print_a") == F.col("old_a")) & (F.col("print_b") == F.col("old_b"))
+    action = F.when(F.col("old_rows").isNull(), "new").when(same, "same").otherwise("changed")
+    return durable(both.select("file_key", "rows", action.alias("action")), "files")
+
+
+def _of_files(rows: DataFrame, files: DataFrame, how: str) -> DataFrame:
+    keys = files.filter(F.col("action") != "same").select("file_key")
+    return rows.withColumn("file_key", _file_key()).join(keys, "file_key", how).select(*rows.columns)
+
+
+def to_land(rows: DataFrame, staging: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of new and changed files. A row whose content its file held before keeps the mark it had then, so
+    that what was paid for is not paid for again; of several marks of equal rows Y counts before N."""
+    fresh = _of_files(rows, files, "left_semi").drop("is_processed")
+    stored = _of_files(staging, files, "left_semi").filter(F.col("is_processed").isNotNull())
+    marks = stored.groupBy(_file_key().alias("file_key"), F.sha2(_content(stored), 256).alias("content")).agg(
+        F.max("is_processed").alias("is_processed"))
+    keyed = fresh.withColumns({"file_key": _file_key(), "content": F.sha2(_content(fresh), 256)})
+    return keyed.join(apart(marks), ["file_key", "content"], "left").select(*rows.columns)
+
+
+class Landing(NamedTuple):
+    staging: DataFrame  # the complete new state
+    landed: DataFrame  # the rows that are new in it
+    files: DataFrame  # file_key (-1: no file of the manifest), rows, action
+
+
+def replace_files(staging: DataFrame, landed: DataFrame, files: DataFrame) -> DataFrame:
+    """Staging with the rows of changed files replaced and those of new files added."""
+    return append(_of_files(staging, files, "left_anti"), landed).select(*staging.columns)
+
+
+def land_files(
+    raw: DataFrame, manifest: DataFrame, year: Column | int, staging: DataFrame, order_by: Sequence[str] | None = None,
+    last_id: int = 0,
+) -> Landing:
+    """Land an export again and again: a file whose content is stored is skipped, a changed one replaces its rows.
+
+    Rows that land get ids after the highest stored one and ``last_id``. Payments booked for rows that a changed file no
+    longer holds stay booked, since payments do not say which row they came from.
+    """
+    rows = durable(with_file_id(staged_columns(raw, year), manifest), "scanned")
+    files = file_actions(rows, staging)
+    fresh = to_land(rows, staging, files)
+    last = max(last_id, staging.agg(F.max("id")).first()[0] or 0)
+    if order_by is None:
+        numbered = number_file_rows(fresh, last=last)
+    else:
+        start = rows.sparkSession.range(1).select(F.lit(last).cast("bigint").alias("_last"))
+        numbered = dense_sequence(fresh, order_by, start=start, name="id", settle=True)
+    landed = conform(numbered, STAGING.schema)
+    return Landing(replace_files(staging, landed, files), landed, files)
 
 
 def land_bank_export(
@@ -74,13 +156,13 @@ def land_bank_export(
     """Staging rows with file and row ids.
 
     Scanned files are numbered in file order without moving a row; rows from
-    elsewhere are numbered by ``order_by``. With the stored ``staging`` table, files
-    landed before are left out and ids go on after its highest.
+    elsewhere are numbered by ``order_by``. With the stored ``staging`` table the rows
+    of files that it does not hold, or holds with other content, come back, and ids go on
+    after its highest; ``land_files`` gives the whole new state.
     """
-    rows = with_file_id(staged_columns(raw, year), manifest)
     if staging is not None:
-        rows = not_landed(rows, staging)
-        last_id = max(last_id, staging.agg(F.max("id")).first()[0] or 0)
+        return land_files(raw, manifest, year, staging, order_by, last_id).landed
+    rows = with_file_id(staged_columns(raw, year), manifest)
     if order_by is None:
         rows = number_file_rows(rows, last=last_id)
     else:

@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 
 from rentroll.operators.lookup import LoanRule, ensure_placeholder_property
-from rentroll.operators.mutate import append
-from rentroll.plans.bank import UtilityRule, derive_loan_payments, derive_utility_expenses, not_landed
+from rentroll.plans.bank import UtilityRule, derive_loan_payments, derive_utility_expenses, file_actions, replace_files, to_land
 from rentroll.plans.ledger import build_income_ledger
 from rentroll.plans.vacancy import ledger_with_vacancy_loss
 from rentroll.sources.csv import LINE_COLUMNS
@@ -31,8 +30,9 @@ def run_year(
 ) -> dict[str, DataFrame]:
     """New states of all tables; nothing is written, so a failed run leaves the stored tables alone.
 
-    ``invoices`` are raw rows under ledger names, ``landed`` new staging rows; those of
-    files that staging holds already are left out, so that a repeated run adds nothing.
+    ``invoices`` are raw rows under ledger names, ``landed`` staging rows with ids of their own; those of
+    files that staging holds already are left out, so that a repeated run adds nothing, and those of
+    a file whose content changed replace the stored ones.
     The property table gets the placeholder that rows of unknown properties refer to.
     Vacancy comes last because it must see the final ledger. Utilities and vacancy
     keep to ``years``, by default the one ``year`` if that is a number.
@@ -51,7 +51,8 @@ def run_year(
         )
     if landed is not None:
         staging = out["bank_transaction_staging"]
-        out["bank_transaction_staging"] = append(staging, not_landed(landed, staging))
+        files = file_actions(landed, staging)
+        out["bank_transaction_staging"] = replace_files(staging, to_land(landed, staging, files), files)
     if loan_rules:
         loans = derive_loan_payments(
             out["bank_transaction_staging"], loan_rules, out["property"], out["bank_payment"], staging_order
