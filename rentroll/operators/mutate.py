@@ -23,17 +23,38 @@ def append(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.unionByName(rows, allowMissingColumns=True)
 
 
+#: Decimal digits of an order that is packed with the row's mark into one number of fixed width.
+_MARK = 10**19
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _place(df: DataFrame, order_by: Sequence[str]) -> Column:
+    """What rows of a key are compared by: the order, then a hash of the whole row where that is equal.
+
+    One integral column and the hash make a number of fixed width, which aggregates by hash; other orders
+    make a struct. NULLs come first.
+    """
+    mark = F.xxhash64(*df.columns)
+    if len(order_by) > 1 or dict(df.dtypes)[order_by[0]] not in _INTEGRAL:
+        return F.struct(*order_by, mark.alias("_mark"))
+    order = F.coalesce(F.col(order_by[0]).cast("decimal(38,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(38,0)"))
+    return order * F.lit(str(_MARK)).cast("decimal(38,0)") + F.pmod(mark, F.lit(2**63 - 1)).cast("decimal(38,0)")
+
+
 def one_per_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str], last: bool = False) -> DataFrame:
-    """The first (or last) row of each key by ``order_by``.
+    """The first (or last) row of each key by ``order_by``; of rows equal in it one, chosen by its content.
 
-    An aggregate rather than a ranking window: each task first reduces its own
-    rows, so a key holding a third of the table moves one row per task.
+    Two phases: only keys and places are reduced, each task reducing its own rows first, and the
+    rows at the places found are then taken in a join. So no full row is sorted or held by an
+    aggregation; a key holding a third of the table moves one place per task, and its rows
+    are spread in the join by their places. Rows that are equal throughout are one row.
     """
-    rest = [c for c in df.columns if c not in key]
-    order = F.struct(*[F.col(c) for c in order_by])
-    row = F.struct(*[F.col(c) for c in rest])
-    pick = (F.max_by if last else F.min_by)(row, order).alias("_row")
-    return df.groupBy(*key).agg(pick).select(*key, "_row.*").select(*df.columns)
+    key = list(key)
+    rows = df.withColumn("_place", _place(df, order_by))
+    best = rows.groupBy(*key).agg((F.max if last else F.min)("_place").alias("_best"))
+    best = best.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)], "_best")
+    at = [rows[k].eqNullSafe(best[f"_key_{i}"]) for i, k in enumerate(key)]
+    return rows.join(best, [*at, rows["_place"] == best["_best"]], "left_semi").select(*df.columns).distinct()
 
 
 def full_upsert(
