@@ -36,7 +36,7 @@ ODD = r"[^\x00-\x{ff}]|'|<\|"
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint")
-_tokenizers: dict[str, "WordIds"] = {}
+_tokenizers: dict[tuple[str, int | None], "WordIds"] = {}
 
 
 def gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +55,11 @@ class WordIds:
     letters, single digits and runs of other signs. Chunks that need more care (an apostrophe, a special token's
     string, letters beyond Latin-1) are looked at one by one. Words that are new go to the tokenizer in one call,
     divided by a special token, and are remembered unless they are long; the store starts over when it holds
-    ``KEPT_BYTES``.
+    ``store_bytes``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, store_bytes: int | None = None):
+        self.store_bytes = KEPT_BYTES if store_bytes is None else store_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
@@ -90,7 +91,7 @@ class WordIds:
             return got
         new = list({w for w, ids in zip(words, got, strict=True) if ids is None})
         fresh = dict(zip(new, self._encoded(new), strict=True))
-        if self.held > KEPT_BYTES:
+        if self.held > self.store_bytes:
             self.known.clear()
             self.held = 0
         for word, ids in fresh.items():
@@ -131,10 +132,10 @@ class WordIds:
         return ids, np.append(0, ends)[bounds[1:] - bounds[0]]
 
 
-def tokenizer(path: str) -> WordIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+def tokenizer(path: str, store_bytes: int | None = None) -> WordIds:
+    if (path, store_bytes) not in _tokenizers:
+        _tokenizers[path, store_bytes] = WordIds(path, store_bytes)
+    return _tokenizers[path, store_bytes]
 
 
 def encoded(words: WordIds, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -187,19 +188,20 @@ def pack(remainders: list[tuple[int, int]], capacity: int) -> list[tuple[int, in
 
 
 def pack_documents(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                   capacity: int = CAPACITY) -> DataFrame:
+                   capacity: int = CAPACITY, store_bytes: int | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) that hold every id once.
 
     A document's ids are the tokenizer's without special ones added, then ``END_ID``; so a NULL or empty text is
     one id. Repeated rows are packed as documents of their own. No rows give no pieces. Buckets are drawn by a
     hash of id and text length and hold about ``BUCKET_DOCUMENTS`` documents whatever the size of the table; copies
-    of one row under one id share a bucket only by salting on the row's place, so no key is hot.
+    of one row under one id share a bucket only by salting on the row's place, so no key is hot. ``store_bytes``
+    bounds the words that a worker remembers.
     """
     keyed = rows.select(rows[id_col].cast("long").alias("doc_id"), rows[text_col].cast("string").alias("text"))
     buckets = max(1, -(-keyed.count() // BUCKET_DOCUMENTS))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(vocabulary)
+        words = tokenizer(vocabulary, store_bytes)
         for batch in batches:
             out: list[tuple] = []
             for i, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), encoded(words, batch.column(1)), strict=True)):
