@@ -138,13 +138,14 @@ def tokenizer(path: str, store_bytes: int | None = None) -> WordIds:
     return _tokenizers[path, store_bytes]
 
 
-def encoded(words: WordIds, texts: pa.Array) -> Iterator[np.ndarray]:
-    """The ids of each text; texts are taken some ``SLICE_BYTES`` at a time."""
+def encoded(words: WordIds, texts: pa.Array, slice_bytes: int | None = None) -> Iterator[np.ndarray]:
+    """The ids of each text; texts are taken some ``slice_bytes`` (``SLICE_BYTES``) at a time."""
+    slice_bytes = SLICE_BYTES if slice_bytes is None else slice_bytes
     texts = texts.cast(pa.string())
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     low = 0
     while low < len(texts):
-        most = (sizes[low - 1] if low else 0) + SLICE_BYTES
+        most = (sizes[low - 1] if low else 0) + slice_bytes
         high = max(low + 1, int(np.searchsorted(sizes, most, "right")))
         ids, ends = words.ids(texts.slice(low, high - low))
         yield from np.split(ids, ends[:-1])
@@ -188,14 +189,14 @@ def pack(remainders: list[tuple[int, int]], capacity: int) -> list[tuple[int, in
 
 
 def pack_documents(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                   capacity: int = CAPACITY, store_bytes: int | None = None) -> DataFrame:
+                   capacity: int = CAPACITY, store_bytes: int | None = None, slice_bytes: int | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) that hold every id once.
 
     A document's ids are the tokenizer's without special ones added, then ``END_ID``; so a NULL or empty text is
     one id. Repeated rows are packed as documents of their own. No rows give no pieces. Buckets are drawn by a
     hash of id and text length and hold about ``BUCKET_DOCUMENTS`` documents whatever the size of the table; copies
     of one row under one id share a bucket only by salting on the row's place, so no key is hot. ``store_bytes``
-    bounds the words that a worker remembers.
+    bounds the words that a worker remembers, ``slice_bytes`` the text that it works on at once.
     """
     keyed = rows.select(rows[id_col].cast("long").alias("doc_id"), rows[text_col].cast("string").alias("text"))
     buckets = max(1, -(-keyed.count() // BUCKET_DOCUMENTS))
@@ -204,7 +205,7 @@ def pack_documents(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         words = tokenizer(vocabulary, store_bytes)
         for batch in batches:
             out: list[tuple] = []
-            for i, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), encoded(words, batch.column(1)), strict=True)):
+            for i, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), encoded(words, batch.column(1), slice_bytes), strict=True)):
                 ids = np.append(ids, np.uint16(END_ID))
                 bucket = zlib.crc32(f"{doc} {len(ids)} {i}".encode()) % buckets
                 whole = len(ids) // capacity * capacity
