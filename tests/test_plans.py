@@ -239,3 +239,51 @@ def test_landing_goes_on_after_stored_rows(spark, rows):
     raw = rows([("DEBIT", "/new.csv", 1)], "details string, source_file string, line int")
     more = bank.land_bank_export(raw, known, 2025, order_by=["line"], staging=stored).collect()
     assert [r["id"] for r in more] == [max(r["id"] for r in stored.collect()) + 1]
+
+
+def test_landing_again(spark, rows):
+    """Equal files are skipped, changed ones replace their rows; content seen before keeps its mark."""
+    from rentroll.plans import bank
+    from rentroll.schemas import FILE_PROCESSING
+
+    ddl = "source_file string, n int, details string, `posting date` string, description string, amount string, type string"
+
+    def export(changes=(), drop=()):
+        data = [(f"/in/{f}.csv", i, "DEBIT", "01/02/2025", f"row {i % 4}", f"{i}.00" if i else "", "ACH") for f in "abc" for i in range(6)]
+        data += [("/in/unknown.csv", 0, "DEBIT", None, None, "", ""), ("/in/unknown.csv", 1, "DEBIT", None, None, "", "")]
+        return rows([d for d in data if (d[0][4], d[1]) not in drop] + list(changes), ddl)
+
+    files = rows([(1, "/in/a.csv"), (2, "/in/b.csv"), (3, "/in/c.csv")], "id bigint, file_path string")
+    from rentroll.schemas import conform
+    files = conform(files, FILE_PROCESSING.schema)
+    order = ["source_file", "n"]
+    first = bank.land_bank_export(export(drop=[("c", i) for i in range(6)]), files, 2025, order_by=order)
+    marked = first.withColumn("is_processed", F.when(F.col("description") == "row 1", "Y").when(F.col("description") == "row 2", "N"))
+    again = bank.land_files(export(drop=[("c", i) for i in range(6)]).orderBy(F.desc("n")), files, 2025, marked, order)
+    assert {r["file_key"]: (r["rows"], r["action"]) for r in again.files.collect()} == {1: (6, "same"), 2: (6, "same"), -1: (2, "same")}
+    assert again.landed.count() == 0 and sorted(again.staging.collect()) == sorted(marked.collect())
+    # b loses a row, has one twice and one with a NULL where a text was; c is new; a is as it was
+    more = [("/in/b.csv", 8, "DEBIT", "01/02/2025", "row 1", "1.00", "ACH"), ("/in/b.csv", 9, "DEBIT", "01/02/2025", "row 2", "2.00", None)]
+    done = bank.land_files(export(more, drop=[("b", 2)]), files, 2025, marked, order)
+    assert {r["file_key"]: r["action"] for r in done.files.collect()} == {1: "same", 2: "changed", 3: "new", -1: "same"}
+    held = [r.asDict() for r in done.staging.collect()]
+    assert len(held) == 6 + 7 + 6 + 2 and len({r["id"] for r in held}) == len(held)
+    was = {r["id"]: tuple(r) for r in marked.collect() if r["file_id"] != 2}
+    assert all(tuple(r.values()) == was[r["id"]] for r in held if r["file_id"] in (1, None))
+    new = sorted((r for r in held if r["file_id"] in (2, 3)), key=lambda r: r["id"])
+    assert [r["id"] for r in new] == list(range(15, 15 + 13))
+    assert [(str(r["amount"]), r["is_processed"]) for r in new if r["file_id"] == 2] == [
+        ("None", None), ("1.00", "Y"), ("3.00", None), ("4.00", None), ("5.00", "Y"), ("1.00", "Y"), ("2.00", None)]
+    assert all(r["is_processed"] is None for r in new if r["file_id"] == 3)
+
+
+def test_payments_need_a_year(spark, rows):
+    from rentroll.operators.lookup import LoanRule
+    from rentroll.plans import bank
+    from rentroll.schemas import BANK_PAYMENT, PROPERTY, STAGING, conform
+
+    staging = conform(rows([(1, "DEBIT", "LENDER x", "5.00", 2025), (2, "DEBIT", "LENDER y", "6.00", None), (3, "DEBIT", "LENDER z", None, 2025)],
+                           "id bigint, details string, description string, amount string, year int"), STAGING.schema)
+    done = bank.derive_loan_payments(staging, [LoanRule("LENDER")], rows([], PROPERTY.ddl), rows([], BANK_PAYMENT.ddl))
+    assert [r["transaction_id"] for r in done.payments.collect()] == ["2025-BANKPAY-1"]
+    assert {r["id"]: r["is_processed"] for r in done.staging.collect()} == {1: "Y", 2: "N", 3: "N"}
