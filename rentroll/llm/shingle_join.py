@@ -14,7 +14,9 @@ Star rounds: each list proposes its members with one that is in most lists, and
 copies; for copies by the thousand a few rounds find most links. After each the components so far are contracted. The
 last round proposes every pair that is still apart; what it leaves apart has no link. All candidates are verified on the whole sets.
 In all rounds a pair is proposed only if the parities of its sets in BITS buckets allow the similarity: no more of them
-can differ than the sets have shingles that only one holds, so no link is lost, and most others are never paired.
+can differ than the sets have shingles that only one holds, so no link is lost, and most others are never paired. The
+last round also asks the parities in as many buckets as a set has shingles, as few buckets say nothing of large sets.
+Whole sets are read again for the classes of the proposed pairs only.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentroll.llm.graph import components
@@ -37,7 +39,7 @@ from rentroll.session import durable
 WORDS = 5
 PERCENT = 80
 SHARED = 3  # first shingles that linked sets have in common, or all of a set of fewer
-BITS = 512  # parities of a set, in 64-bit words
+BITS = 512  # parities of a set that every round compares, in 64-bit words; larger sets have more for the last round
 PARITIES = [f"p{i}" for i in range(BITS // 64)]
 BUCKETS = 1 << 20  # of the shingle counts
 WORD_BUCKETS = 1 << 18  # of the word counts; both are four bytes each, at any size of the input
@@ -71,11 +73,20 @@ def signature(shingle_set: np.ndarray) -> int:
 
 
 def parities(shingle_set: np.ndarray) -> np.ndarray:
-    """For each of BITS buckets, whether it holds an odd number of the shingles, as 64-bit words."""
-    odd = np.bincount((mixed(shingle_set) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+    """For each bucket, whether it holds an odd number of the shingles, as 64-bit words.
+
+    There are BITS buckets, or more for larger sets: the least power of two that is not below the set's size. Halves
+    fold into each other: their exclusive or is what half as many buckets hold."""
+    buckets = max(BITS, 1 << (len(shingle_set) - 1).bit_length())
+    odd = np.bincount((mixed(shingle_set) % _U(buckets)).astype(np.int64), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(words: np.ndarray) -> np.ndarray:
+    """The parities in BITS buckets."""
+    return np.bitwise_xor.reduce(words.reshape(-1, len(PARITIES)), axis=0)
+
+
 def measured(rows: DataFrame) -> DataFrame:
     """(id, text) as a stored table of (id, n, sig) rows and of (chunk, part) rows that count shingles and words."""
 
@@ -242,8 +253,20 @@ def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _side(placed: DataFrame, name: str) -> DataFrame:
     """Members with their class, size, component and parities named after one side of a pair."""
-    return placed.select("key", "light", "lists", F.col("sig").alias(name), F.col("n").alias(f"{name}n"), F.col("comp").alias(f"{name}_comp"),
-                         *(F.col(p).alias(f"{name}_{p}") for p in PARITIES))
+    wide = [F.col("wide").alias(f"{name}_wide")] if "wide" in placed.columns else []
+    return placed.select("key", "light", F.col("lists").alias(f"{name}_lists"), F.col("sig").alias(name), F.col("n").alias(f"{name}n"),
+                         F.col("comp").alias(f"{name}_comp"), *(F.col(p).alias(f"{name}_{p}") for p in PARITIES), *wide)
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """How many parities differ, compared in as many buckets as both have. Sets of like size have as many or half as many."""
+    words = F.least(F.size(x), F.size(y))
+
+    def cut(a: Column) -> Column:
+        half = F.zip_with(F.slice(a, 1, words), F.slice(a, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(a) > words, half).otherwise(a)
+
+    return F.aggregate(F.zip_with(cut(x), cut(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, b: t + b)
 
 
 def _merged(members: DataFrame) -> DataFrame:
@@ -262,10 +285,13 @@ def _candidates(left: DataFrame, right: DataFrame, apart) -> DataFrame:
     Of a linked pair at most (100 - PERCENT) / (100 + PERCENT) of both sizes together are shingles of one set only."""
     like = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES))
-    near = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("an") + F.col("bn"))
-    both = left.drop("lists").join(right, ["key", "light"]).filter(apart & like & near)
-    counted = both.groupBy("a", "b").agg(
-        F.sum("lists").alias("held"), F.max("light").alias("by_subset"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    most = (100 - PERCENT) * (F.col("an") + F.col("bn"))
+    near = (100 + PERCENT) * differ <= most
+    if "a_wide" in left.columns:
+        near = near & ((100 + PERCENT) * _differing(F.col("a_wide"), F.col("b_wide")) <= most)
+    both = left.join(right, ["key", "light"]).filter(apart & like & near)
+    counted = both.groupBy("a", "b").agg(  # both sides count the same lists; naming both keeps them one shuffle in the last round
+        F.sum(F.least("a_lists", "b_lists")).alias("held"), F.max("light").alias("by_subset"), F.first("an").alias("an"), F.first("bn").alias("bn"))
     return counted.filter(F.col("by_subset") | (F.col("held") >= F.least(F.lit(SHARED), "an", "bn"))).select("a", "b", "held")
 
 
@@ -285,17 +311,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    left = sets.select(F.col("sig").alias("a"), F.col("set").alias("a_set"))
+    centre = sets.join(pairs.select(F.col("a").alias("sig")).distinct(), "sig", "left_semi")
+    left = centre.select(F.col("sig").alias("a"), F.col("set").alias("a_set"))
     right = sets.select(F.col("sig").alias("b"), F.col("set").alias("b_set"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
+    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "a_set", "b_set")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets_of(rows: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, set, parities) of the wanted classes, each from its document of smallest id. A filter of fixed size lets most
-    other documents pass unread; the join decides."""
-    spark = rows.sparkSession
-    first = durable(ids.filter("n > 1").groupBy("sig").agg(F.min("id").alias("id")).join(wanted, "sig", "left_semi"), "wanted")
+def _read_again(rows: DataFrame, first: DataFrame, made: str, make) -> DataFrame:
+    """(sig, made) of the classes of ``first``, an (id, sig) table of the document that each is read from; ``make`` gives
+    the made columns of a batch of sets. A filter of fixed size lets most other documents pass unread; the join decides."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(ID_BITS // 8, np.uint8)
@@ -308,7 +333,8 @@ def _sets_of(rows: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
                                              names=["chunk", "part"])
 
     bits = collected(first.select("id").mapInArrow(marked, "chunk int, part binary"), ID_BITS // 8, "u1", how=np.bitwise_or)
-    held = spark.sparkContext.broadcast(bits)
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    names = [column.split()[0] for column in made.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -316,15 +342,33 @@ def _sets_of(rows: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
             h = (mixed(batch.column(0).fill_null(0).to_numpy().astype(_U)) % _U(ID_BITS)).astype(np.int64)
             batch = batch.filter(pa.array(bits[h >> 3] >> (h & 7) & 1 == 1))
             for low, found in _sets(batch, 1):
-                odd = np.array([parities(s) for s in found], np.int64).reshape(len(found), len(PARITIES))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(found)), pa.array([signature(s) for s in found], pa.int64()),
-                     pa.array([s.tobytes() for s in found], pa.binary()), *(pa.array(word) for word in odd.T.copy())],
-                    names=["id", "sig", "set", *PARITIES])
+                    [batch.column(0).slice(low, len(found)), pa.array([signature(s) for s in found], pa.int64()), *make(found)],
+                    names=["id", "sig", *names])
 
-    some = rows.mapInArrow(read, f"id bigint, sig bigint, set binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
+    some = rows.mapInArrow(read, f"id bigint, sig bigint, {made}")
     match = some["id"].eqNullSafe(first["id"]) & (some["sig"] == first["sig"])
-    return durable(some.join(first, match, "left_semi").select("sig", "set", *PARITIES).dropDuplicates(["sig"]), "sets")
+    stored = durable(some.join(first, match, "left_semi").select("sig", *names).dropDuplicates(["sig"]), names[0])
+    held.destroy()
+    return stored
+
+
+def _parities_of(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """(sig, wide, parities): all parities of a class as an array, and those in BITS buckets as columns."""
+
+    def make(found: list[np.ndarray]) -> list[pa.Array]:
+        wide = [parities(s) for s in found]
+        narrow = np.array([folded(w) for w in wide], np.int64).reshape(len(found), len(PARITIES))
+        return [pa.array(wide, pa.list_(pa.int64())), *(pa.array(word) for word in narrow.T.copy())]
+
+    return _read_again(rows, first, f"wide array<bigint>, {', '.join(f'{p} bigint' for p in PARITIES)}", make)
+
+
+def _sets_of(rows: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sig, set) of the classes of the pairs."""
+    classes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    return _read_again(rows, durable(first.join(classes, "sig", "left_semi").select("id", "sig"), "read"), "set binary",
+                       lambda found: [pa.array([s.tobytes() for s in found], pa.binary())])
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,10 +403,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     wanted = met.groupBy("sig").agg(F.count("*").alias("keys"), F.max("light").alias("light"), F.first("n").alias("n")).filter(
         F.col("light") | (F.col("keys") >= F.least(F.lit(SHARED), "n"))).select("sig", "keys")
     wanted = durable(wanted, "wanted")
-    sets = _sets_of(rows, ids, wanted)
+    first = durable(ids.filter("n > 1").groupBy("sig").agg(F.min("id").alias("id")).join(wanted, "sig", "left_semi").select("id", "sig"), "first")
+    odd = _parities_of(rows, first)
     members = durable(members.join(wanted, "sig").select("key", "light", "sig", "n", "keys"), "members")
     merged = durable(_merged(members), "merged")
-    members = members.join(merged, ["key", "light"]).join(sets.select("sig", *PARITIES), "sig")
+    members = members.join(merged, ["key", "light"]).join(odd.drop("wide"), "sig")
     members = durable(members.select("key", "light", "lists", "sig", "n", "keys", *PARITIES), "members")
 
     links = found = tried = None
@@ -377,14 +422,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         stars = durable(pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= STARS).select("a", "b"), "stars")
         tried = stars if tried is None else tried.union(stars)
-        fresh = durable(_verified(stars, sets), "links")
+        fresh = durable(_verified(stars, _sets_of(rows, first, stars)), "links")
         links = fresh if links is None else links.union(fresh)
         found = durable(components(links), "components")
 
-    open_ = durable(_placed(members, found), "members")
+    open_ = _placed(members, found).join(odd.select("sig", "wide"), "sig")
     rest = _candidates(_side(open_, "a"), _side(open_, "b"), (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")))
     both_ways = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = durable(_verified(rest.join(both_ways, ["a", "b"], "left_anti"), sets), "links")
+    rest = durable(rest.join(both_ways, ["a", "b"], "left_anti").select("a", "b"), "rest")
+    late = durable(_verified(rest, _sets_of(rows, first, rest)), "links")
 
     # documents tie to their class, and classes to each other; a class's smallest id stands for it
     named = ids.filter("n > 0").groupBy("sig").agg(F.min("id").alias("doc"))

@@ -90,6 +90,37 @@ def test_shingle_join(rows, words):
     assert shingle_join.jaccard_components(rows([], DOC)).count() == 0
 
 
+def test_shingle_join_of_large_sets(rows, words):
+    """Families whose members lie on both sides of the similarity, with sizes on both sides of a power of two."""
+    texts = []
+    for family, size in enumerate((500, 1000, 1040, 2060)):
+        body = passage(words, 200 + family, size).split(" ")
+        for k, every in enumerate((150, 100, 70, 56, 50, 46, 40, 30, 25)):
+            changed = list(body[k:])
+            for at in range(k, len(changed), every):
+                changed[at] = f"y{family}z{k}w{at}"
+            texts.append(" ".join(changed))
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(links) > 5
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_components(rows([(i, t, "x", "s", 0) for i, t in enumerate(texts)], DOC)).collect()}
+    assert [got[i] for i in range(len(texts))] == linked(links, len(texts))
+
+
+def test_parities_never_exceed_the_difference():
+    drawn = np.random.default_rng(5)
+    for n in (1, 2, 511, 512, 513, 1023, 1025, 1300, 4100):
+        whole = np.unique(drawn.integers(0, 1 << 63, n).astype(np.uint64))
+        for gone, new in ((0, 0), (n // 10, 0), (n // 9, n // 9), (0, n // 5)):
+            other = np.unique(np.concatenate([whole[gone:], drawn.integers(0, 1 << 63, new).astype(np.uint64)]))
+            x, y = shingle_join.parities(whole), shingle_join.parities(other)
+            least = min(len(x), len(y))
+            cut = [np.bitwise_xor.reduce(w.reshape(-1, least), axis=0) for w in (x, y)]
+            differ = sum(int(w).bit_count() for w in (cut[0] ^ cut[1]).view(np.uint64).tolist())
+            narrow = sum(int(w).bit_count() for w in (shingle_join.folded(x) ^ shingle_join.folded(y)).view(np.uint64).tolist())
+            assert narrow <= differ <= len(np.setxor1d(whole, other)) and max(len(x), len(y)) <= 2 * least
+
+
 def test_main_text(rows):
     page = ('<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><div class="text"><h2>T{0} &amp; u</h2>'
             '<p>Body{0} <b>of\n the</b> page {1}<p>More {0}</div><p>Fixed line</p><div id="comments"><p>hi</p></div><footer>f</footer><script>if(a<b)x="</p>"</script></body></html>')
