@@ -84,17 +84,53 @@ def check_money_fits(df: DataFrame, table: str, key: Sequence[str], columns: Seq
 
 
 def check_table(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -> DataFrame:
-    """All declared checks of one table; references are checked against the given parents."""
-    checks = [check_key(df, table.name, table.key)]
-    checks += [check_unique(df, table.name, [c]) for c in table.unique]
-    checks += [
-        check_reference(df, table.name, c, parents[p], k)
-        for c, (p, k) in table.references.items()
-        if p in parents
-    ]
-    if table.lengths:
-        checks.append(check_lengths(df, table.name, table.key, table.lengths))
-    return reduce(DataFrame.unionByName, checks)
+    """All declared checks of one table, money included, in one pass over it; references are checked against the given
+    parents. A finding stands once for each key or value and reason, however many rows share it.
+
+    Each row gives a short list of (check, values); equal ones are counted in one aggregation, combined before its
+    shuffle, and one anti join takes away the references that have a parent.
+    """
+    checks: list[tuple[str, str]] = []
+    tagged: list[Column] = []
+    known: list[DataFrame] = []
+
+    def add(check_id: str, reason: str, columns: Sequence[str], where: Column) -> None:
+        values = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
+        tagged.append(F.when(where, F.struct(F.lit(len(checks)).alias("check"), values.alias("values"))))
+        checks.append((check_id, reason))
+
+    add("primary_key", "duplicate key", table.key, F.lit(True))
+    for c in table.unique:
+        add("unique", "duplicate value", [c], F.col(c).isNotNull())
+    counted = len(checks)  # findings of these are values of several rows
+    for c, (parent, parent_key) in table.references.items():
+        if parent in parents:
+            value = F.col(parent_key).try_cast(df.schema[c].dataType).cast("string")
+            known.append(parents[parent].select(F.lit(len(checks)).alias("check"), F.array(value).alias("values")))
+            add("foreign_key", f"{c} has no parent", [c], F.col(c).isNotNull())
+    for c, n in table.lengths.items():
+        if c in df.columns:
+            add("length", f"{c} longer than {n}", table.key, F.length(c) > n)
+    for field in table.schema.fields:
+        if field.dataType.simpleString() == MONEY and field.name in df.columns:
+            raw = F.col(f"`{field.name}`").cast("string")
+            unfit = raw.isNotNull() & ~F.trim(raw).isin("", "-") & raw.try_cast(MONEY).isNull()
+            add("unreadable", f"{field.name} unreadable", table.key, unfit)
+
+    found = df.select(F.explode(F.array_compact(F.array(*tagged))).alias("_t")).select("_t.*")
+    found = found.groupBy("check", "values").agg(F.count(F.lit(1)).alias("_n"))
+    missing = (F.col("check") == 0) & F.exists("values", lambda v: v.isNull())
+    found = found.filter((F.col("check") >= counted) | (F.col("_n") > 1) | missing)
+    if known:
+        found = found.join(reduce(DataFrame.unionAll, known), ["check", "values"], "left_anti")
+
+    def told(place: int) -> Column:
+        return F.element_at(F.array(*[F.lit(check[place]) for check in checks]), F.col("check") + 1)
+
+    return found.select(
+        told(0).alias("check_id"), F.lit(table.name).alias("table"), F.array_join("values", "|", "NULL").alias("key"),
+        F.when(missing, F.lit("missing key")).otherwise(told(1)).alias("reason"),
+    )
 
 
 def require_year(year: int | None) -> int:

@@ -146,3 +146,22 @@ def test_hot_name_is_split_among_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_check_table_scans_once(spark, tmp_path):
+    from rentroll.schemas import EXPENSE
+
+    rows = spark.createDataFrame(
+        [("a", "1.00", 1, "x"), ("a", "1.00", 1, "x"), (None, "-", None, "x"), ("b", "123456789.00", 2, "yy"), ("c|d", "ten", 9, "yy")],
+        "transaction string, amount string, property bigint, exclude string")
+    for c, kind in (("unit", "bigint"), ("category", "bigint"), ("provider", "bigint")):
+        rows = rows.selectExpr("*", f"CAST(NULL AS {kind}) AS {c}")
+    rows.write.parquet(str(tmp_path / "expense"))
+    stored = spark.read.parquet(str(tmp_path / "expense"))
+    out = quality.check_table(stored, EXPENSE, {"property": spark.createDataFrame([(1,), (2,)], "id bigint")})
+    assert sorted((r["check_id"], r["key"], r["reason"]) for r in out.collect()) == [
+        ("foreign_key", "9", "property has no parent"), ("length", "b", "exclude longer than 1"), ("length", "c|d", "exclude longer than 1"),
+        ("primary_key", "NULL", "missing key"), ("primary_key", "a", "duplicate key"),
+        ("unreadable", "b", "amount unreadable"), ("unreadable", "c|d", "amount unreadable")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert quality.check_table(stored.limit(0), EXPENSE, {}).count() == 0
