@@ -284,6 +284,22 @@ def _length_checks() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _ledger_checks() -> str:
+    parents = {"tenant": "known_tenant", "lease": "lease", "property": "property", "units": "units"}
+    parts = ["SELECT 'primary_key' AS check_id, transaction_id AS key, 'duplicate key' AS reason FROM damaged "
+             "GROUP BY transaction_id HAVING count(*) > 1"]
+    for c, (parent, key) in INCOME.references.items():
+        parts.append(f"SELECT DISTINCT 'foreign_key', CAST({c} AS VARCHAR), '{c} has no parent' FROM damaged d WHERE {c} IS NOT NULL "
+                     f"AND NOT EXISTS (SELECT 1 FROM {parents[parent]} p WHERE p.{key} = d.{c})")
+    for c, n in INCOME.lengths.items():
+        parts.append(f"SELECT DISTINCT 'length', transaction_id, '{c} longer than {n}' FROM damaged WHERE length({c}) > {n}")
+    parts.append("SELECT DISTINCT 'unreadable', transaction_id, 'original_amount unreadable' FROM damaged "
+                 "WHERE original_amount IS NOT NULL AND TRY_CAST(original_amount AS DECIMAL(10,2)) IS NULL")
+    return ("WITH damaged AS (SELECT * REPLACE (CASE WHEN line_no % 10 = 3 THEN status || ' in full' ELSE status END AS status, "
+            "CAST(original_amount * 100000 AS DECIMAL(24,2)) AS original_amount) FROM ledger) "
+            "SELECT check_id, 'income' AS \"table\", key, reason FROM (" + " UNION ALL ".join(parts) + ")")
+
+
 _PROVIDER_REST = ", ".join(c for c in PROVIDER.names if c not in ("provider_id", "provider_name"))
 
 BODIES: dict[str, str] = {
@@ -478,6 +494,7 @@ FROM e JOIN c USING (file_id) LEFT JOIN k ON k.file_id = e.file_id AND
     "SELECT DISTINCT 'foreign_key', 'income', CAST(leasenum AS VARCHAR), 'leasenum has no parent' FROM ledger "
     "WHERE leasenum NOT IN (SELECT lease_number FROM lease)",
     "dq_lengths": _length_checks(),
+    "dq_ledger": _ledger_checks(),
     "dq_unreadable": " UNION ALL ".join(
         f"SELECT 'unreadable' AS check_id, 'income' AS \"table\", CAST(line_no AS VARCHAR) AS key, "
         f"'{c} unreadable' AS reason FROM raw_invoices WHERE trim({c}) NOT IN ('', '-') AND {value} IS NULL"
