@@ -302,6 +302,14 @@ def _ledger_checks() -> str:
 
 _PROVIDER_REST = ", ".join(c for c in PROVIDER.names if c not in ("provider_id", "provider_name"))
 
+def _whole_bodies() -> str:
+    return (
+        "(SELECT message_number, bool_or(multipart) AS multipart, coalesce(string_agg(text, '' ORDER BY part_no), '') AS body FROM "
+        "(SELECT message_number, part_no, multipart, CASE WHEN lower(mime_type) LIKE 'text/plain%' THEN content "
+        f"WHEN lower(mime_type) LIKE 'text/html%' THEN {_visible_text('content')} ELSE '' END AS text FROM parts) GROUP BY 1)"
+    )
+
+
 BODIES: dict[str, str] = {
     "vacancy_loss": f"WITH {_vacancy_steps('kept', False, False)} SELECT * FROM vacancies",
     "vacancy_loss_acquired": f"WITH {_vacancy_steps('kept', True, False)} SELECT * FROM vacancies",
@@ -475,6 +483,23 @@ FROM e JOIN c USING (file_id) LEFT JOIN k ON k.file_id = e.file_id AND
     "string_agg(text, '' ORDER BY part_no) AS body "
     "FROM (SELECT message_number, part_no, CASE WHEN lower(mime_type) LIKE 'text/plain%' THEN content "
     f"WHEN lower(mime_type) LIKE 'text/html%' THEN {_visible_text('content')} ELSE '' END AS text FROM parts) GROUP BY 1, 2",
+    "message_body_bytes": f"SELECT message_number, CAST(s AS INTEGER) AS segment, substr(body, s * 150 + 1, 150) AS body FROM "
+    f"(SELECT *, unnest(range(greatest(1, (length(body) + 149) // 150))) AS s FROM {_whole_bodies()})",
+    "bill_notice_details": "WITH n AS (SELECT * FROM messages WHERE contains(lower(subject), 'click notice') "
+    "OR contains(lower(subject), 'view notice') OR contains(lower(subject), 'error notice 1')), "
+    f"b AS (SELECT message_number, s, substr(body, s * 200 + 1, 200) AS body, multipart FROM "
+    f"(SELECT *, unnest(range(greatest(1, (length(body) + 199) // 200))) AS s FROM {_whole_bodies()})), "
+    "f AS (SELECT message_number, part_no // 2 AS s, string_agg(coalesce(file_name, '-'), ',' ORDER BY part_no) AS files FROM parts "
+    "WHERE multipart AND lower(trim(disposition)) = 'attachment' GROUP BY 1, 2), "
+    "r AS (SELECT message_number, place // 2 AS s, string_agg(address, ',' ORDER BY place) AS addresses FROM recipients "
+    "WHERE lower(trim(kind)) = 'to' GROUP BY 1, 2), "
+    "k AS (SELECT message_number, 0 AS s FROM n UNION SELECT message_number, s FROM b UNION SELECT message_number, s FROM f "
+    "UNION SELECT message_number, s FROM r) "
+    "SELECT k.message_number, CAST(k.s AS INTEGER) AS segment, CASE WHEN k.s = 0 THEN subject END AS subject, "
+    "CASE WHEN k.s = 0 THEN sender END AS \"from\", CASE WHEN k.s = 0 THEN received_date END AS received_date, "
+    "coalesce(b.body, '') AS body, CASE WHEN multipart OR files IS NOT NULL THEN coalesce(files, '') END AS attachments, "
+    "addresses AS recipients FROM k JOIN n USING (message_number) LEFT JOIN b ON b.message_number = k.message_number AND b.s = k.s "
+    "LEFT JOIN f ON f.message_number = k.message_number AND f.s = k.s LEFT JOIN r ON r.message_number = k.message_number AND r.s = k.s",
     "bill_notices_no_phrases": "SELECT message_number, subject FROM messages WHERE false",
     "message_attachments": "SELECT message_number, CAST(0 AS INTEGER) AS segment, CASE WHEN any_value(multipart) THEN "
     "coalesce(string_agg(file_name, ',' ORDER BY part_no) FILTER (WHERE lower(trim(disposition)) = 'attachment'), '') "

@@ -630,6 +630,20 @@ def message_body_pages(spark, sf):
     return messages.message_bodies(shape(spark, sf, "parts"), parts_per_row=2)
 
 
+@register
+def message_body_bytes(spark, sf):
+    return messages.bounded_bodies(shape(spark, sf, "parts"), chars_per_row=150)
+
+
+@register
+def bill_notice_details(spark, sf):
+    rows = messages.notice_details(
+        _messages(spark, sf), shape(spark, sf, "parts"), shape(spark, sf, "recipients"), ["Click Notice", "view notice", "error notice 1"],
+        chars_per_row=200, names_per_row=2)
+    return rows.select("message_number", "segment", "subject", "from", "received_date", "body",
+                       *(F.array_join(c, ",", "-").alias(c) for c in ("attachments", "recipients")))
+
+
 @register
 def bill_notices_no_phrases(spark, sf):
     return messages.bill_notices(_messages(spark, sf), []).select("message_number", "subject")

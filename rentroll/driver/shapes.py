@@ -267,6 +267,13 @@ SELECT conv_id AS message_number, turn AS part_no,
 FROM {{conversations}}
 """
 
+SHAPES["recipients"] = f"""
+SELECT event_id AS message_number, CAST(event_id % 3 AS INT) AS place, CASE WHEN event_id % 5 = 0 THEN 'Cc' ELSE 'To' END AS kind,
+  'user' || {_text('user_id')} || '@example.com' AS address FROM {{events}}
+UNION ALL
+SELECT event_id, 3, CASE WHEN event_id % 7 = 0 THEN 'bcc' ELSE 'to ' END, 'office@example.com' FROM {{events}}
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

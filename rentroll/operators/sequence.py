@@ -95,6 +95,25 @@ def number_file_rows(
     return _number(placed, [], ["_file", "_block"], "_at", name, start)
 
 
+def running_total(df: DataFrame, order_by: str, amount: str, group_by: Sequence[str], block: int = 1000, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``amount`` over the earlier rows of its group, 0 for the first.
+
+    ``order_by`` is a whole number. Groups may be of any size: sums run within blocks of ``block`` order numbers, and the
+    totals of a group's blocks, one narrow row each, place the blocks. Rows move once, by group and block. Rows of one
+    number follow each other in any order. A NULL amount adds nothing; a NULL order number stands in a block before
+    others. ``df`` is read twice, so store it first where it is dear to compute.
+    """
+    keys = [*group_by, "_block"]
+    blocked = df.withColumn("_block", F.floor(F.col(order_by) / block))
+    within = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group_by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy(*keys).agg(F.sum(amount).alias("_sum"))
+    totals = totals.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    rows = blocked.withColumn("_inner", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    at = rows.alias("rows").join(totals.alias("totals"), [F.col(f"rows.{c}").eqNullSafe(F.col(f"totals.{c}")) for c in keys])
+    return at.select("rows.*", (F.col("_inner") + F.col("_earlier")).alias(name)).drop("_block", "_inner")
+
+
 def next_number(ids: Column, prefix: Column) -> Column:
     """Aggregate: the number after the highest one used with ``prefix``; 1 at first."""
     return F.coalesce(F.max(number_after(ids, prefix)), F.lit(0)) + 1

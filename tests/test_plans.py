@@ -190,6 +190,9 @@ def test_messages(rows):
     assert whole == {1: "0123456789" * 2 + "01234", 2: "a b", 3: "x"}
     pieces = messages.message_bodies(parts, parts_per_row=10).filter("message_number = 1").orderBy("segment").collect()
     assert "".join(r["body"] for r in pieces) == whole[1] and len(pieces) == 3
+    for size in (1, 7, 25, 100):
+        pages = sorted(tuple(r) for r in messages.bounded_bodies(parts, size).collect())
+        assert pages == sorted((m, s, t[s * size : (s + 1) * size]) for m, t in whole.items() for s in range(-(-len(t) // size)))
     files = {r["message_number"]: r["attachments"] for r in messages.attachments(parts).collect()}
     assert files[1] == [f"f{i}" for i in range(25)] and files[2] is None and files[3] == []
     mail = rows([(1, "Your Bill", "a@e", dt.datetime(2025, 1, 31, 23, 59), "due", False),
@@ -287,3 +290,20 @@ def test_payments_need_a_year(spark, rows):
     done = bank.derive_loan_payments(staging, [LoanRule("LENDER")], rows([], PROPERTY.ddl), rows([], BANK_PAYMENT.ddl))
     assert [r["transaction_id"] for r in done.payments.collect()] == ["2025-BANKPAY-1"]
     assert {r["id"]: r["is_processed"] for r in done.staging.collect()} == {1: "Y", 2: "N", 3: "N"}
+
+
+def test_notice_details(rows):
+    when = dt.datetime(2025, 1, 2)
+    mail = rows([(1, "Your BILL", "a@e", when), (2, "a bill", None, None), (3, "hello", "c@e", when), (4, "bill", "d@e", when)],
+                "message_number bigint, subject string, `from` string, received_date timestamp")
+    parts = rows([(1, 0, "text/plain", "abcdefgh", None, None, True), (1, 1, "text/html", "<p>ij</p>", None, None, True),
+                  (1, 2, "image/png", "x", "Attachment", "p.png", True), (1, 5, None, None, "attachment", None, True),
+                  (2, 0, "text/plain", None, "attachment", "no", False), (3, 0, "text/plain", "no", "attachment", "no", True), (None, 0, "text/plain", "no", None, None, True)],
+                 "message_number bigint, part_no int, mime_type string, content string, disposition string, file_name string, multipart boolean")
+    to = rows([(1, i, "To" if i != 1 else "Cc", f"r{i}") for i in range(5)] + [(3, 0, "To", "no"), (2, 0, None, "no")],
+              "message_number bigint, place int, kind string, address string")
+    got = messages.notice_details(mail, parts, to, ["bill"], chars_per_row=4, names_per_row=3)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 0, "Your BILL", "a@e", when, "abcd", ["p.png"], ["r0", "r2"]), (1, 1, None, None, None, "efgh", [None], ["r3", "r4"]),
+        (1, 2, None, None, None, "ij", [], None), (2, 0, "a bill", None, None, "", None, None), (4, 0, "bill", "d@e", when, "", None, None)]
+    assert messages.notice_details(mail, parts, to, []).count() == 0
