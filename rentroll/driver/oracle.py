@@ -552,6 +552,11 @@ FROM e JOIN c USING (file_id) LEFT JOIN k ON k.file_id = e.file_id AND
     "FROM final_income GROUP BY year UNION ALL "
     "SELECT 'bank_payment', year, count(*), CAST(sum(total_amount) AS DECIMAL(20,2)) FROM payments GROUP BY year "
     "UNION ALL SELECT 'expense', year, count(*), CAST(sum(amount) AS DECIMAL(20,2)) FROM utility_rows GROUP BY year",
+    "run_year_rows": f"WITH {_vacancy_steps('built_ledger', True, False)} "
+    "SELECT 'income' AS ledger, transaction_id AS key, due_date AS day, property, CAST(original_amount AS DECIMAL(20,2)) AS amount, year "
+    "FROM built_ledger UNION ALL SELECT 'income', transaction_id, due_date, property, CAST(original_amount AS DECIMAL(20,2)), year FROM vacancies "
+    "UNION ALL SELECT 'bank_payment', transaction_id, date, property, CAST(total_amount AS DECIMAL(20,2)), year FROM payments "
+    "UNION ALL SELECT 'expense', transaction, date, property, CAST(amount AS DECIMAL(20,2)), year FROM utility_rows",
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -801,9 +802,7 @@ def dims_refresh(spark, sf):
     return dimensions.refresh_dimensions(current, {"property": scan.rows})["property"]
 
 
-@register
-def run_year(spark, sf):
-    """All steps in order; rows and money per resulting table and year."""
+def _year_tables(spark, sf) -> dict[str, DataFrame]:
     tables = {
         "property": shape(spark, sf, "property"), "units": shape(spark, sf, "units"),
         "income": empty(spark, INCOME), "tenant": shape(spark, sf, "known_tenant"),
@@ -815,9 +814,14 @@ def run_year(spark, sf):
         ),
     }
     staged = bank.with_file_id(_landed(spark, sf), tables["file_processing"])
-    tables["bank_transaction_staging"] = staged
+    return tables | {"bank_transaction_staging": staged}
+
+
+@register
+def run_year(spark, sf):
+    """All steps in order; rows and money per resulting table and year."""
     out = year_run.run_year(
-        tables, F.year("date_created"), shape(spark, sf, "raw_invoices"), None, LOAN_RULES, UTILITY_RULE,
+        _year_tables(spark, sf), F.year("date_created"), shape(spark, sf, "raw_invoices"), None, LOAN_RULES, UTILITY_RULE,
         order_by=["line_no"], staging_order=BANK_ORDER, on_conflict="report",
     )
 
@@ -831,3 +835,26 @@ def run_year(spark, sf):
         .unionByName(summary("bank_payment", "total_amount"))
         .unionByName(summary("expense", "amount"))
     )
+
+
+@register
+def run_year_rows(spark, sf):
+    """All steps in order, stored in a journal, and again from it; the rows that the second run reads."""
+    journal = scratch_path(spark, "year-run")
+
+    def run() -> dict[str, DataFrame]:
+        return year_run.run_year(
+            _year_tables(spark, sf), F.year("date_created"), shape(spark, sf, "raw_invoices"), None, LOAN_RULES, UTILITY_RULE,
+            order_by=["line_no"], staging_order=BANK_ORDER, on_conflict="report", journal=journal,
+        )
+
+    run()
+    out = run()
+
+    def rows(name: str, key: str, day: str, amount: str) -> DataFrame:
+        return out[name].select(F.lit(name).alias("ledger"), F.col(key).cast("string").alias("key"), F.col(day).cast("date").alias("day"), "property",
+                                F.col(amount).cast("decimal(20,2)").alias("amount"), "year")
+
+    return reduce(DataFrame.unionByName, [
+        rows("income", "transaction_id", "due_date", "original_amount"), rows("bank_payment", "transaction_id", "date", "total_amount"),
+        rows("expense", "transaction", "date", "amount")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 
@@ -11,6 +11,7 @@ from rentroll.plans.bank import UtilityRule, derive_loan_payments, derive_utilit
 from rentroll.plans.ledger import build_income_ledger
 from rentroll.plans.vacancy import ledger_with_vacancy_loss
 from rentroll.sources.csv import LINE_COLUMNS
+from rentroll.sources.journal import Journal, fingerprint
 from rentroll.sources.manifest import file_counts, write_counts
 
 
@@ -27,8 +28,9 @@ def run_year(
     order_by: Sequence[str] = LINE_COLUMNS,
     staging_order: Sequence[str] = ("id",),
     on_conflict: str = "raise",
+    journal: str | None = None,
 ) -> dict[str, DataFrame]:
-    """New states of all tables; nothing is written, so a failed run leaves the stored tables alone.
+    """New states of all tables; the given ones are left alone, also by a failed run.
 
     ``invoices`` are raw rows under ledger names, ``landed`` staging rows with ids of their own; those of
     files that staging holds already are left out, so that a repeated run adds nothing, and those of
@@ -36,36 +38,68 @@ def run_year(
     The property table gets the placeholder that rows of unknown properties refer to.
     Vacancy comes last because it must see the final ledger. Utilities and vacancy
     keep to ``years``, by default the one ``year`` if that is a number.
+
+    ``journal`` names a folder that outlives the session. There each step's tables are stored once: a run with the same
+    tables and settings goes on behind the last step that an earlier one finished, and one that finished before is only
+    read. The inputs are read once to tell whether they are the same; with others all steps run anew. Tables come back
+    as stored. Without it the states are plans, computed when they are used.
     """
     if years is None and isinstance(year, int):
         years = [year]
     out = dict(tables)
-    if invoices is not None:
+
+    def income() -> dict[str, DataFrame]:
         built = build_income_ledger(
             invoices, out["property"], out["units"], out["income"], out["tenant"], out["lease"],
             out["lease_tenant"], year, order_by, overwrite, on_conflict=on_conflict,
         )
-        out.update(
-            income=built.ledger, tenant=built.tenants, lease=built.leases, lease_tenant=built.lease_tenants,
-            income_actions=built.actions, income_rejects=built.rejects,
-        )
-    if landed is not None:
+        return {"income": built.ledger, "tenant": built.tenants, "lease": built.leases, "lease_tenant": built.lease_tenants,
+                "income_actions": built.actions, "income_rejects": built.rejects}
+
+    def landing() -> dict[str, DataFrame]:
         staging = out["bank_transaction_staging"]
         files = file_actions(landed, staging)
-        out["bank_transaction_staging"] = replace_files(staging, to_land(landed, staging, files), files)
-    if loan_rules:
-        loans = derive_loan_payments(
+        return {"bank_transaction_staging": replace_files(staging, to_land(landed, staging, files), files)}
+
+    def loans() -> dict[str, DataFrame]:
+        made = derive_loan_payments(
             out["bank_transaction_staging"], loan_rules, out["property"], out["bank_payment"], staging_order
         )
-        out.update(bank_payment=loans.payments, bank_transaction_staging=loans.staging)
-    if utility_rule is not None:
-        utility = derive_utility_expenses(
+        return {"bank_payment": made.payments, "bank_transaction_staging": made.staging}
+
+    def utilities() -> dict[str, DataFrame]:
+        made = derive_utility_expenses(
             out["bank_transaction_staging"], utility_rule, out["file_processing"], out["property"],
             out["expense_category"], out["provider"], out["expense"], staging_order, years,
         )
-        out.update(expense=utility.expenses, bank_transaction_staging=utility.staging)
-    if landed is not None:
-        out["file_processing"] = write_counts(out["file_processing"], file_counts(out["bank_transaction_staging"]))
-    out["income"] = ledger_with_vacancy_loss(out["income"], out["property"], years, recompute_vacancy)
-    out["property"] = ensure_placeholder_property(out["property"])
+        return {"expense": made.expenses, "bank_transaction_staging": made.staging}
+
+    def counts() -> dict[str, DataFrame]:
+        return {"file_processing": write_counts(out["file_processing"], file_counts(out["bank_transaction_staging"]))}
+
+    def vacancy() -> dict[str, DataFrame]:
+        return {"income": ledger_with_vacancy_loss(out["income"], out["property"], years, recompute_vacancy),
+                "property": ensure_placeholder_property(out["property"])}
+
+    def steps() -> Iterator[Callable[[], dict[str, DataFrame]]]:
+        if invoices is not None:
+            yield income
+        if landed is not None:
+            yield landing
+        if loan_rules:
+            yield loans
+        if utility_rule is not None:
+            yield utilities
+        if landed is not None:
+            yield counts
+        yield vacancy
+
+    stored = None
+    if journal is not None:
+        given = {**tables, "invoices": invoices, "landed": landed}
+        told = [f"{name}: {fingerprint(df)}" for name, df in sorted(given.items()) if df is not None]
+        told.append(repr((str(year), loan_rules, utility_rule, overwrite, recompute_vacancy, years, order_by, staging_order, on_conflict)))
+        stored = Journal(out["property"].sparkSession, journal, "\n".join(told))
+    for step in steps():
+        out.update(step() if stored is None else stored.step(step.__name__, step))
     return out

@@ -48,12 +48,12 @@ def _files(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def file_names(spark: SparkSession, path: str) -> list[str]:
     found, fs = _files(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(found)) if fs.exists(found) else []
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     found, fs = _files(spark, path)
     stream = fs.open(found)
     try:
@@ -62,25 +62,29 @@ def _read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def _point(spark: SparkSession, path: str, state: State) -> None:
-    """Write a pointer under a name that must be new, so of two merges from one version only one succeeds."""
-    target = f"{path}/versions/{state.version:020d}.json"
-    found, fs = _files(spark, target)
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under a name that must be new."""
+    found, fs = _files(spark, path)
     if fs.exists(found):
-        raise PointerError(f"version {state.version} of {path} is there already")
+        raise PointerError(f"{path} is there already")
     try:
         stream = fs.create(found, False)
     except Exception as error:
-        raise PointerError(f"version {state.version} of {path} was taken by another merge") from error
+        raise PointerError(f"{path} was taken by another writer") from error
     try:
-        stream.write(bytearray(json.dumps(state._asdict(), sort_keys=True).encode()))
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
 
 
+def _point(spark: SparkSession, path: str, state: State) -> None:
+    """Write a pointer under a new name, so of two merges from one version only one succeeds."""
+    write_new(spark, f"{path}/versions/{state.version:020d}.json", json.dumps(state._asdict(), sort_keys=True))
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The versions of a table, oldest first."""
-    return [int(n[:-5]) for n in _names(spark, f"{path}/versions") if n.endswith(".json") and n[:-5].isdigit()]
+    return [int(n[:-5]) for n in file_names(spark, f"{path}/versions") if n.endswith(".json") and n[:-5].isdigit()]
 
 
 def current(spark: SparkSession, path: str, version: int | None = None) -> State:
@@ -90,7 +94,7 @@ def current(spark: SparkSession, path: str, version: int | None = None) -> State
         raise FileNotFoundError(f"no stored table at {path}")
     chosen = there[-1] if version is None else version
     try:
-        told = json.loads(_read_text(spark, f"{path}/versions/{chosen:020d}.json"))
+        told = json.loads(read_text(spark, f"{path}/versions/{chosen:020d}.json"))
     except json.JSONDecodeError as error:
         raise PointerError(
             f"the pointer of version {chosen} of {path} is not whole: its writer is at work, or died and left it to be deleted"
@@ -108,7 +112,7 @@ def _write(df: DataFrame, path: str, state: State) -> dict[int, str]:
     folder = f"data/{uuid.uuid4().hex}"
     placed = df.withColumn(BUCKET, bucket_of(state.key, state.buckets)).hint("rebalance", BUCKET)
     placed.write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
-    written = [n for n in _names(df.sparkSession, f"{path}/{folder}") if n.startswith(f"{BUCKET}=")]
+    written = [n for n in file_names(df.sparkSession, f"{path}/{folder}") if n.startswith(f"{BUCKET}=")]
     return {int(n.split("=")[1]): folder for n in written}
 
 

@@ -15,7 +15,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 SOME = ["vacancy_loss", "income_normalized", "income_parsed", "income_view", "loan_payments", "dq_table", "dq_ledger", "message_body",
         "csv_scan", "income_upsert_overwrite", "csv_scan_spanning", "land_changed_file", "land_same_file", "upsert_touched",
-        "stored_key_lookup", "message_body_bytes", "bill_notice_details",
+        "stored_key_lookup", "message_body_bytes", "bill_notice_details", "run_year_rows",
          "loan_payments_null_year", "loan_status_null_year"]
 NAMES = sorted(QUERIES) if os.environ.get("RENTROLL_ALL_QUERIES") else SOME
 
