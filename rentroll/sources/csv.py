@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from rentroll.functions.text import trimmed
 from rentroll.session import durable
-from rentroll.sources.records import any_open_line, first_lines, read_lines, records
+from rentroll.sources.records import any_open_line, assembled, first_lines, placed_records, read_lines
 
 LINE_COLUMNS = ("source_file", "line_block", "line_at")
 _BAD = "_bad_record"
@@ -87,9 +87,9 @@ def _from_reader(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
 
 def _from_lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, DataFrame]:
     """The same of files in which a quoted value may hold line breaks; and the lines that are no record."""
-    lines = read_lines(spark, path, GLOB)
-    found, broken = records(lines)
-    heads = durable(first_lines(lines), "heads")
+    placed = placed_records(read_lines(spark, path, GLOB))
+    found, broken = assembled(placed)
+    heads = durable(first_lines(placed), "heads")
     at = [found[c] == heads[c] for c in LINE_COLUMNS]
     head = F.regexp_replace("record", f"^{BOM}", "")
     told = [r["head"] for r in found.join(heads, at, "left_semi").select(head.alias("head")).distinct().limit(2).collect()]

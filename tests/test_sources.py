@@ -178,6 +178,14 @@ def test_records_span_lines_and_splits(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_records_stay_where_their_lines_lie(spark, tmp_path):
+    path = write(tmp_path / "s.csv", "a,b\n" + '1,"two\nlines"\n2,x\n' * 200)
+    found, broken = records.records(records.read_lines(spark, path, "*.csv"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.groupBy("record").count().orderBy("record").collect()[:] == [('1,"two\nlines"', 200), ("2,x", 200), ("a,b", 1)]
+    assert broken.count() == 0
+
+
 def test_quote_that_never_ends(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "RECORD_LINES", 5)
     path = write(tmp_path / "q.csv", 'a,b\n1,"two\nlines"\n2,x\n3,"open\n' + "4,y\n" * 9)
