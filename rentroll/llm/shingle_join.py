@@ -45,6 +45,7 @@ BUCKETS = 1 << 20  # of the shingle counts
 WORD_BUCKETS = 1 << 18  # of the word counts; both are four bytes each, at any size of the input
 STARS = 4  # partners that a star round tries a class with, and the number of star rounds; the last round tries all the rest
 STAR_ROUNDS = 3
+KEYS_AT_ONCE = 1 << 17  # keys that a task gathers before it deals them, whatever the size of a batch
 ID_BITS = 1 << 25  # of the filter that spares shingling documents again; the join after it decides
 _U = np.uint64
 
@@ -172,14 +173,37 @@ def keys_of(shingle_set: np.ndarray, weight: np.ndarray, level: np.ndarray, heav
 def shared_keys(rows: DataFrame, shared, partitions: int) -> DataFrame:
     """(key, sig, n, light): the keys that more than one class has, a row for each class that has it, some repeated.
 
-    Keys travel in blocks by hash. Within a batch a key that several classes have is written out, and one of them
-    goes on; so a key of very many classes costs a row for each batch, and the task that gathers it keeps one class.
+    Keys travel in blocks by hash, some KEYS_AT_ONCE at once. Among those a key that several classes have is written out,
+    and one of them goes on; so a key of very many classes costs a row each time, and the task that gathers it keeps one class.
     """
 
+    def dealt(keys: list[np.ndarray], sigs: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        key, sig, n = np.concatenate(keys), np.concatenate(sigs), np.concatenate(sizes)
+        order = np.lexsort((sig, key))
+        key, sig, n = key[order], sig[order], n[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])))
+        key, sig, n = key[new], sig[new], n[new]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        many = np.diff(np.append(np.flatnonzero(first), len(key)))[np.cumsum(first) - 1] > 1
+        # what goes on: one class of each key; what is written out: the classes of keys that have several here
+        block = (key % _U(partitions)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(partitions + 1))
+        rows_out: list[tuple] = []
+        for b in range(partitions):
+            at = order[cuts[b] : cuts[b + 1]]
+            if len(at):
+                on, off = at[first[at]], at[many[at]]
+                rows_out.append((b, *(x[on].tobytes() for x in (key, sig, n)), *(x[off].tobytes() for x in (key, sig, n))))
+        columns = list(zip(*rows_out, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+            names=["block", "keys", "sigs", "sizes", "own_keys", "own_sigs", "own_sizes"])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, word_weight, heavy_from = shared.value
         for batch in batches:
-            keys, sigs, sizes = [], [], []
+            keys, sigs, sizes, held = [], [], [], 0
             for _, _, data, offsets in slices(batch.column(1)):
                 words, bounds = word_hashes(data, offsets)
                 for s, weight in weighted_shingles(words, bounds, word_weight[(words >> _U(46)).astype(np.int64)], WORDS):
@@ -190,29 +214,12 @@ def shared_keys(rows: DataFrame, shared, partitions: int) -> DataFrame:
                         size = np.full(len(k), len(s), np.int32)
                         size[:light] *= -1  # a subset's key
                         sizes.append(size)
-            if not keys:
-                continue
-            key, sig, n = np.concatenate(keys), np.concatenate(sigs), np.concatenate(sizes)
-            order = np.lexsort((sig, key))
-            key, sig, n = key[order], sig[order], n[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])))
-            key, sig, n = key[new], sig[new], n[new]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            many = np.diff(np.append(np.flatnonzero(first), len(key)))[np.cumsum(first) - 1] > 1
-            # what goes on: one class of each key; what is written out: the classes of keys that have several here
-            block = (key % _U(partitions)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(partitions + 1))
-            rows_out: list[tuple] = []
-            for b in range(partitions):
-                at = order[cuts[b] : cuts[b + 1]]
-                if len(at):
-                    on, off = at[first[at]], at[many[at]]
-                    rows_out.append((b, *(x[on].tobytes() for x in (key, sig, n)), *(x[off].tobytes() for x in (key, sig, n))))
-            columns = list(zip(*rows_out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                names=["block", "keys", "sigs", "sizes", "own_keys", "own_sigs", "own_sizes"])
+                        held += len(k)
+                    if held >= KEYS_AT_ONCE:
+                        yield dealt(keys, sigs, sizes)
+                        keys, sigs, sizes, held = [], [], [], 0
+            if keys:
+                yield dealt(keys, sigs, sizes)
 
     kinds = (_U, np.int64, np.int32)
 
