@@ -170,10 +170,10 @@ def keys_of(shingle_set: np.ndarray, weight: np.ndarray, level: np.ndarray, heav
     return np.concatenate([mixed(np.array(light, _U)), lists]), len(light)
 
 
-def shared_keys(rows: DataFrame, shared, partitions: int) -> DataFrame:
+def shared_keys(rows: DataFrame, shared, partitions: int, lot: int = KEYS_AT_ONCE) -> DataFrame:
     """(key, sig, n, light): the keys that more than one class has, a row for each class that has it, some repeated.
 
-    Keys travel in blocks by hash, some KEYS_AT_ONCE at once. Among those a key that several classes have is written out,
+    Keys travel in blocks by hash, some ``lot`` at once. Among those a key that several classes have is written out,
     and one of them goes on; so a key of very many classes costs a row each time, and the task that gathers it keeps one class.
     """
 
@@ -215,7 +215,7 @@ def shared_keys(rows: DataFrame, shared, partitions: int) -> DataFrame:
                         size[:light] *= -1  # a subset's key
                         sizes.append(size)
                         held += len(k)
-                    if held >= KEYS_AT_ONCE:
+                    if held >= lot:
                         yield dealt(keys, sigs, sizes)
                         keys, sigs, sizes, held = [], [], [], 0
             if keys:

@@ -93,6 +93,16 @@ def test_shingle_join(rows, words):
     assert shingle_join.jaccard_components(rows([], DOC)).count() == 0
 
 
+def test_shared_keys_in_any_lots(spark, rows):
+    """Keys come out the same however few of them a task deals at once."""
+    texts = [" ".join(f"w{(i * 7 + j) % 40 if j < 12 else i * 100 + j}" for j in range(20)) for i in range(12)]
+    table = rows(list(enumerate(texts)), "id bigint, text string")
+    counts = np.zeros(shingle_join.BUCKETS + shingle_join.WORD_BUCKETS, np.uint32)
+    shared = spark.sparkContext.broadcast((*shingle_join.ordering(counts), 50))
+    few, many = ({tuple(r) for r in shingle_join.shared_keys(table, shared, 3, **lot).collect()} for lot in ({"lot": 1}, {}))
+    assert few == many and few
+
+
 def test_shingle_join_of_large_sets(rows, words):
     """Families whose members lie on both sides of the similarity, with sizes on both sides of a power of two."""
     texts = []
