@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rentroll.functions import parse, text
+from rentroll.functions import parse, prints, text
 from rentroll.operators.lookup import (
     PLACEHOLDER_ID,
     LoanRule,
@@ -80,11 +80,12 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     Two independent 64-bit hashes of a row are added up exactly; partial sums are reduced before the shuffle, so
     a file that holds a third of all rows moves one row per task.
     """
-    text = _content(rows)
-    hashed = rows.select(_file_key().alias("file_key"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
+    fields = {f.name: f.dataType for f in STAGING.schema.fields}
+    content = [F.col(c).cast(fields[c]) for c in CONTENT]
+    hashed = rows.select(
+        _file_key().alias("file_key"), prints.row_hash(content, F.lit("a")).alias("a"), prints.row_hash(content, F.lit("b")).alias("b"))
     return hashed.groupBy("file_key").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col("a").cast("decimal(20,0)")).alias("print_a"),
-        F.sum(F.col("b").cast("decimal(20,0)")).alias("print_b"))
+        F.count(F.lit(1)).alias("rows"), prints.exact_sum(F.col("a")).alias("print_a"), prints.exact_sum(F.col("b")).alias("print_b"))
 
 
 def file_actions(rows: DataFrame, staging: DataFrame) -> DataFrame:
@@ -129,10 +130,12 @@ def land_files(
 ) -> Landing:
     """Land an export again and again: a file whose content is stored is skipped, a changed one replaces its rows.
 
-    Rows that land get ids after the highest stored one and ``last_id``. Payments booked for rows that a changed file no
+    ``raw`` is read twice, the second time for the files that land. Rows that land get ids after the highest stored one
+    and ``last_id``. Payments booked for rows that a changed file no
     longer holds stay booked, since payments do not say which row they came from.
     """
-    rows = durable(with_file_id(staged_columns(raw, year), manifest), "scanned")
+    # not stored: where files are the same their rows are only looked at; rows that land are parsed again and then settled
+    rows = with_file_id(staged_columns(raw, year), manifest)
     files = file_actions(rows, staging)
     fresh = to_land(rows, staging, files)
     last = max(last_id, staging.agg(F.max("id")).first()[0] or 0)
