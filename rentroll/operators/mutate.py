@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rentroll.session import durable
+
 
 def apart(unique: DataFrame) -> DataFrame:
     """Let an aggregated side enter a join through a shuffle of its own.
@@ -105,12 +107,14 @@ def guarded_upsert(
     scope: str,
     order_by: Sequence[str],
     overwrite: bool = False,
+    settle: bool = False,
 ) -> GuardedUpsert:
     """Upsert that refuses to touch a key recorded under another ``scope`` (year).
 
     Same scope: the stored row stays, or is replaced when ``overwrite`` is on.
     Within the batch the first row of a key counts, or the last with
-    ``overwrite``. Rows whose key is NULL or blank are left out.
+    ``overwrite``. Rows whose key is NULL or blank are left out. ``settle`` stores
+    the batch's rows with their actions, for callers that use both results.
     """
     carried = list(dict.fromkeys([*target.columns, *order_by]))
     usable = batch.filter(F.col(key).isNotNull() & (F.col(key) != ""))
@@ -123,6 +127,8 @@ def guarded_upsert(
         .otherwise(F.lit("update" if overwrite else "skip"))
     )
     known = known.withColumn("action", action)
+    if settle and not overwrite:
+        known = durable(known, "known")
     actions = known.select(key, F.col(scope).alias("scope"), "existing_scope", "action")
     incoming = known.filter(F.col("action").isin("insert", "update")).select(*target.columns)
     if not overwrite:

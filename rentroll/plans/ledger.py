@@ -211,12 +211,14 @@ def build_income_ledger(
     overwrite: bool = False,
     lenient_dates: bool = False,
     on_conflict: str = "raise",
+    settle: bool = False,
 ) -> LedgerBuild:
     """Raw invoice rows (ledger names, all text) to complete new table states.
 
     ``year`` is the processing year; an expression lets one run hold many years.
     Rows without an id or a year, or with an unreadable lease number, come back as rejects. A row whose key is
     stored under another year stops the run; with ``on_conflict="report"`` it is left out and listed in the actions.
+    ``settle`` stores the resolved rows, for callers that use several of the tables: else each table resolves them anew.
     """
     parsed = parse_invoices(normalize_invoices(raw), lenient_dates).withColumn("year", year_column(year))
     # parsed once: the tenant, lease and ledger steps each read only the columns they need
@@ -228,10 +230,12 @@ def build_income_ledger(
 
     who = resolve_tenants(good, tenants, order_by)
     keyed = placed.withColumn("tenant_key", _tenant_key()).join(who.keyed, "tenant_key", "left")
+    if settle:
+        keyed = durable(keyed, "resolved")
     lets = resolve_leases(keyed, leases, lease_tenants, order_by)
 
     rows = conform(keyed.drop("payer").withColumnRenamed("tenant_id", "payer"), INCOME.schema, keep_extra=True)
-    result: GuardedUpsert = guarded_upsert(income, rows, "transaction_id", "year", order_by, overwrite)
+    result: GuardedUpsert = guarded_upsert(income, rows, "transaction_id", "year", order_by, overwrite, settle)
     if on_conflict == "raise":
         require_no_conflicts(result.actions)
     return LedgerBuild(result.table, result.actions, rejects, who.tenants, lets.leases, lets.links)

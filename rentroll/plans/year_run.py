@@ -51,7 +51,7 @@ def run_year(
     def income() -> dict[str, DataFrame]:
         built = build_income_ledger(
             invoices, out["property"], out["units"], out["income"], out["tenant"], out["lease"],
-            out["lease_tenant"], year, order_by, overwrite, on_conflict=on_conflict,
+            out["lease_tenant"], year, order_by, overwrite, on_conflict=on_conflict, settle=journal is not None,
         )
         return {"income": built.ledger, "tenant": built.tenants, "lease": built.leases, "lease_tenant": built.lease_tenants,
                 "income_actions": built.actions, "income_rejects": built.rejects}

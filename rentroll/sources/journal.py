@@ -21,6 +21,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from rentroll.functions.prints import exact_sum
 from rentroll.sources.versioned import file_names, read_text, write_new
 
 
@@ -30,7 +31,7 @@ def fingerprint(df: DataFrame) -> str:
     It holds the columns, the number of rows and two exact sums of hashes, which add up in parts before any shuffle.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")) for seed in (1, 2)]
+    sums = [exact_sum(F.xxhash64(F.lit(seed), *columns)) for seed in (1, 2)]
     return f"{df.schema.simpleString()} {[str(v) for v in df.agg(F.count(F.lit(1)), *sums).first()]}"
 
 
