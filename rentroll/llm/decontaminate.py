@@ -1,12 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are TF-IDF vectors over hashed words, document frequencies being counted over distinct texts; every
-word weighs something. An item of more than WHOLE words is several probes, overlapping passages of two strides; any
-other is one probe. A randomised singular value decomposition of up to RANK probes, its sums taken on Spark, gives a
-latent space of as many dimensions as they span; the documents are folded into it and never decomposed. Every document
-is cut into strides. The text around a place is a candidate if a passage of two strides reaches the cosine CANDIDATE
-with a probe, or if a run of strides long enough for the probe wherever it begins holds CONTAINED of the probe's
-weight. A verbatim probe is held whole, whatever words stand around it, so no verbatim item is missed. There the longest
+Texts are TF-IDF vectors over hashed words, document frequencies being counted over distinct texts; every word weighs
+something. An item of more than WHOLE words is several probes, overlapping passages of two strides; any other is one
+probe. Every document is cut into strides, and two strides are a passage.
+
+The topics are a randomised singular value decomposition of all passages of the distinct texts. Each passage is added,
+with a sign, to one of SKETCH rows; tasks add their rows up on Spark, and the TOPICS leading right singular vectors of
+the sum approximate those of the passages. Words stand there in LATENT columns, each with a sign of its own. Passages and
+probes are folded into the topics, and the text around a passage is a candidate if its cosine there reaches NEAR.
+
+Words that say little in the topics must not hide a copy. So a second space is made for each block of up to RANK probes,
+by a randomised decomposition of the probes of as many dimensions as they span. There a place is a candidate if a passage
+reaches the cosine CANDIDATE with a probe, or if a run of strides long enough for the probe wherever it begins holds
+CONTAINED of the probe's weight. A verbatim probe is held whole, whatever words stand around it, so no verbatim item is missed. There the longest
 common subsequence of words decides: with LEAK of the item's words in order it is a leak, and with PARAPHRASE of them
 if the item's answer stands in it too.
 """
@@ -21,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentroll.llm.sketch import chunk_rows, collected
-from rentroll.llm.words import separators, slices, word_hashes
+from rentroll.llm.words import mixed, separators, slices, word_hashes
 
 FEATURES = 1 << 18  # hashed words
 RANK = 256  # dimensions of a latent space, and probes that share one
 OVERSAMPLE, POWERS = 16, 2
+LATENT = 1 << 13  # columns of the passages that are decomposed, a power of two
+SKETCH, TOPICS = 128, 112  # rows that the passages are added to, and leading vectors kept of them
+NEAR = 0.8  # cosine in the topics
 FAINT = 0.25  # weight of a word that every text holds; rarer ones weigh more
 STRIDE = 16  # words; a passage is two strides long
 WHOLE = 64  # words of the longest item that is one probe
@@ -43,11 +52,39 @@ def features(words: np.ndarray) -> np.ndarray:
     return (words >> _U(46)).astype(np.int64)
 
 
-def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """(texts that hold each feature, texts) over the distinct texts of (id, text) rows; the last chunk counts texts."""
+def columns(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column, sign) of features among the passages that are decomposed."""
+    h = mixed(f.astype(_U))
+    return (h % _U(LATENT)).astype(np.int64), np.where(h >> _U(63), 1, -1)
+
+
+def strides_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each stride, its first word, first stride of each row and after the last)."""
+    strides = -(-np.diff(bounds) // STRIDE)
+    row_of = np.repeat(np.arange(len(strides)), strides)
+    first = np.concatenate(([0], np.cumsum(strides)))
+    return row_of, bounds[row_of] + STRIDE * (np.arange(len(row_of)) - first[row_of]), first
+
+
+def add_passages(sketch: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> None:
+    """Adds the word counts of every passage, each word in one, to a row of the sketch (SKETCH * LATENT).
+
+    Row and sign are drawn by the whole text and the passage's place in it, so passages that many texts share do not
+    all meet in one row."""
+    lengths = np.diff(bounds)
+    row_of = np.repeat(np.arange(len(lengths)), lengths)
+    up_to = np.concatenate((np.zeros(1, _U), np.cumsum(words, dtype=_U)))
+    place = (np.arange(len(words)) - bounds[row_of]) // (2 * STRIDE)
+    draw = mixed((up_to[bounds[1:]] - up_to[bounds[:-1]])[row_of] + mixed(place.astype(_U) + _U(1)))
+    column, sign = columns(features(words))
+    np.add.at(sketch, (draw % _U(SKETCH)).astype(np.int64) * LATENT + column, np.where(draw >> _U(63), sign, -sign))
+
+
+def measured(rows: DataFrame) -> tuple[np.ndarray, int, np.ndarray]:
+    """(texts that hold each feature, texts, sketch of their passages) over the distinct texts of (id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(FEATURES + 1, np.int64)
+        counts = np.zeros(FEATURES + 1 + SKETCH * LATENT, np.int64)
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(0)):
                 words, bounds = word_hashes(data, offsets, APART)
@@ -55,16 +92,50 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
                 pairs = np.sort(row * FEATURES + features(words))
                 if len(pairs):
                     once = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
-                    counts[:FEATURES] += np.bincount(once % FEATURES, minlength=FEATURES)
+                    np.add.at(counts, once % FEATURES, 1)
+                    add_passages(counts[FEATURES + 1 :], words, bounds)
             counts[FEATURES] += batch.num_rows
-        parts = chunk_rows(counts.astype(np.int64))
+        parts = chunk_rows(counts)
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
                                              names=["chunk", "part"])
 
     texts = rows.select("text").filter("text is not null").distinct()  # copies would make an item's own words common
-    total = collected(texts.mapInArrow(run, "chunk int, part binary"), FEATURES + 1, "<i8")
-    return total[:FEATURES], int(total[FEATURES])
+    total = collected(texts.mapInArrow(run, "chunk int, part binary"), FEATURES + 1 + SKETCH * LATENT, "<i8")
+    return total[:FEATURES].copy(), int(total[FEATURES]), total[FEATURES + 1 :].reshape(SKETCH, LATENT)
+
+
+class Topics:
+    """The leading right singular vectors of the passages: ``basis`` (columns, topics), by weighted columns."""
+
+    def __init__(self, sketch: np.ndarray, held: np.ndarray, texts: int):
+        known = np.flatnonzero(held)
+        in_column = np.bincount(columns(known)[0], held[known], LATENT).clip(max=texts)
+        weight = FAINT + np.log((1.0 + texts) / (1.0 + in_column))
+        weighted = sketch * weight
+        values, vectors = np.linalg.eigh(weighted @ weighted.T)
+        keep = np.argsort(values)[::-1][:TOPICS]
+        keep = keep[values[keep] > 1e-9 * max(1e-300, values.max())]
+        basis = weighted.T @ (vectors[:, keep] / np.sqrt(values[keep]))
+        # words are folded as counts; each topic counts alike, whatever its share of the passages
+        basis = (basis * weight[:, None] / np.sqrt(values[keep])).astype(np.float32)
+        self.basis = np.concatenate([basis, -basis, np.zeros((1, basis.shape[1]), np.float32)])  # by sign; none
+
+    def folded(self, f: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The topics of strides of features, which begin where told and lie one after the other."""
+        out = np.empty((len(begin), self.basis.shape[1]), np.float32)
+        column, sign = columns(f)
+        stride = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(f))))
+        words = np.full((len(begin), STRIDE), 2 * LATENT)  # short strides are filled with no word
+        words[stride, np.arange(len(f)) - begin[stride]] = column + LATENT * (sign < 0)
+        for low in range(0, len(begin), 512):
+            out[low : low + 512] = self.basis[words[low : low + 512]].sum(1)
+        return out
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
 class Item:
@@ -83,12 +154,12 @@ def probes(words: np.ndarray) -> list[np.ndarray]:
 class Space:
     """The latent space of a block of probes, the widest first: ``basis`` (words of the block, rank), the probes' unit
     ``vectors`` in it, their ``lengths`` before, the strides in which each lies ``wide``, and ``item_of``, their place
-    in ``items``; ``slot`` gives a feature's row of the basis."""
+    in ``items``; ``slot`` gives a feature's row of the basis, ``near`` the probes' unit vectors in the topics."""
 
     def __init__(self, words: np.ndarray, basis: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, wide: np.ndarray, item_of: np.ndarray,
-                 items: list[Item]):
+                 items: list[Item], near: np.ndarray):
         self.basis, self.vectors, self.lengths = basis.astype(np.float32), vectors.astype(np.float32), lengths.astype(np.float32)
-        self.wide, self.item_of, self.items = wide, item_of, items
+        self.wide, self.item_of, self.items, self.near = wide, item_of, items, near
         self.slot = np.full(FEATURES, -1, np.int32)
         self.slot[words] = np.arange(len(words))
 
@@ -129,7 +200,9 @@ def latent_space(probes: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, ran
                                                  names=["chunk", "part"])
 
         shape = (width if gram else len(vocabulary), width)
-        return collected(probes.mapInArrow(run, "chunk int, part binary"), shape[0] * shape[1], "<f8").reshape(shape)
+        total = collected(probes.mapInArrow(run, "chunk int, part binary"), shape[0] * shape[1], "<f8").reshape(shape)
+        held.destroy()
+        return total
 
     narrow = np.random.default_rng(5).standard_normal((len(vocabulary), width))
     for _ in range(POWERS):
@@ -160,17 +233,13 @@ def holds(text: list[int], run: list[int]) -> bool:
     return any(text[i : i + n] == run for i in range(len(text) - n + 1))
 
 
-def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Space]) -> Iterator[tuple]:
+def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Space], topics: Topics) -> Iterator[tuple]:
     """(row, item, cosine, shared, answered, first word, word after the last) of each leak in a slice of texts."""
     if not len(words):
         return
     f = features(words)
     weight = idf[f]
-    lengths = np.diff(bounds)
-    strides = -(-lengths // STRIDE)
-    row_of = np.repeat(np.arange(len(lengths)), strides)
-    first_stride = np.concatenate(([0], np.cumsum(strides)))
-    begin = bounds[row_of] + STRIDE * (np.arange(len(row_of)) - first_stride[row_of])
+    row_of, begin, first_stride = strides_of(bounds)
     stride_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, bounds[-1])))
 
     def run(x: np.ndarray, n: int) -> np.ndarray:
@@ -178,8 +247,13 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
         up_to = np.concatenate(([0.0], np.cumsum(x)))
         return up_to[np.minimum(np.arange(len(x)) + n, first_stride[row_of + 1])] - up_to[:-1]
 
+    passages = topics.folded(f, begin)
+    follows = np.flatnonzero(row_of[1:] == row_of[:-1])
+    passages[follows] += passages[follows + 1]  # the right side is taken before any is added to
+    passages = unit(passages)
     norm = np.sqrt(run(np.bincount(stride_of, weight * weight, len(begin)), 2))
-    for space in spaces:
+    def held_by(space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stride, probe, cosine) of the places that hold a probe's words."""
         at = space.slot[f]
         inside = np.flatnonzero(at >= 0)
         mass = np.bincount(stride_of[inside], weight[inside] ** 2, len(begin))
@@ -194,7 +268,7 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
             wanted[j:] |= (full[:-j] | (live[:-j] & (j == 1))) & same
         inside = inside[wanted[stride_of[inside]]]
         if not len(inside):
-            continue
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         rows = np.flatnonzero(wanted)
         local = np.zeros(len(begin), np.int64)
         local[rows] = np.arange(len(rows))
@@ -209,20 +283,27 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
         over = held.copy()  # sums over as many strides as the probe of a column lies in
         for j in range(1, widest):
             some = int((space.wide > j).sum())
-            follows = (row_of[rows[j:]] == row_of[rows[:-j]]) & (rows[j:] - rows[:-j] == j)
-            to = np.flatnonzero(follows)
+            later = (row_of[rows[j:]] == row_of[rows[:-j]]) & (rows[j:] - rows[:-j] == j)
+            to = np.flatnonzero(later)
             over[to, :some] += held[to + j, :some]
             if j == 1:
                 hit = (over >= CANDIDATE * norm[rows, None].astype(np.float32)) & live[rows, None]
                 passage = over.copy() if widest > 2 else over
         hit |= over >= CONTAINED * space.lengths
         hits, which = np.nonzero(hit)
-        cosines = passage[hits, which] / norm[rows[hits]]
+        return rows[hits], which, passage[hits, which] / norm[rows[hits]]
+
+    for space in spaces:
+        hits, which, cosines = held_by(space)
+        close = passages @ space.near.T
+        there, probe = np.nonzero(close >= NEAR)
+        hits, which = np.concatenate([hits, there]), np.concatenate([which, probe])
+        cosines = np.concatenate([cosines, close[there, probe]])
         order = np.lexsort((hits, space.item_of[which]))
         stretch: tuple | None = None  # row, item, first word, word after the last, best cosine
         for k in [*order.tolist(), -1]:
             if k >= 0:
-                r, probe = int(rows[hits[k]]), int(which[k])
+                r, probe = int(hits[k]), int(which[k])
                 row, item = int(row_of[r]), int(space.item_of[probe])
                 n = len(space.items[item].words)
                 low = max(int(bounds[row]), int(begin[r]) - n)
@@ -280,23 +361,25 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     answer = benchmark[answer_col].cast("string") if answer_col else F.lit(None).cast("string")
     stated = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark["text"].cast("string").alias("text"), answer.alias("answer"))
     stated = stated.filter("text is not null").distinct()
-    held, texts_n = frequencies(rows)
+    held, texts_n, sketch = measured(rows)
+    topics = Topics(sketch, held, texts_n)
+    del sketch
     idf = FAINT + np.log((1.0 + texts_n) / (1.0 + held))
     schema = "id bigint, item bigint, cosine double, shared double, answered boolean, first_word bigint, end_word bigint"
     out = None
     listed = [p for r in stated.orderBy("item", "text", "answer").collect() for p in _probes(*r)]  # the stated query set
     for low in range(0, len(listed), PROBES_AT_ONCE):
         some = listed[low : low + PROBES_AT_ONCE]
-        spaces = [_block(spark, some[start : start + RANK], idf) for start in range(0, len(some), RANK)]
-        shared = spark.sparkContext.broadcast((idf, spaces))
+        spaces = [_block(spark, some[start : start + RANK], idf, topics) for start in range(0, len(some), RANK)]
+        shared = spark.sparkContext.broadcast((idf, spaces, topics))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            idf, spaces = shared.value
+            idf, spaces, topics = shared.value
             for batch in batches:
                 ids, found = batch.column(0), []
                 for start, _, data, offsets in slices(batch.column(1)):
                     words, bounds = word_hashes(data, offsets, APART)
-                    found += [(start + r, *rest) for r, *rest in find(words, bounds, idf, spaces)]
+                    found += [(start + r, *rest) for r, *rest in find(words, bounds, idf, spaces, topics)]
                 columns = list(zip(*found, strict=True)) or [[]] * 7
                 kinds = (pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -325,7 +408,7 @@ def _probes(item_id: int | None, text: str, answer: str | None) -> list[tuple[It
     return [(item, p) for p in probes(words)]
 
 
-def _block(spark, listed: list[tuple[Item, np.ndarray]], idf: np.ndarray) -> Space:
+def _block(spark, listed: list[tuple[Item, np.ndarray]], idf: np.ndarray, topics: Topics) -> Space:
     """The space of a block of (item, words) probes."""
     # a probe of n words lies in so many strides wherever it begins
     wide = np.array([max(2, -(-(len(w) - 1) // STRIDE) + 1) for _, w in listed])
@@ -339,4 +422,6 @@ def _block(spark, listed: list[tuple[Item, np.ndarray]], idf: np.ndarray) -> Spa
     vectors = np.stack([(idf[f] / n) @ basis[np.searchsorted(vocabulary, f)] for f, n in zip(held, lengths, strict=True)])
     items = list({id(i): i for i, _ in listed}.values())
     place = {id(i): k for k, i in enumerate(items)}
-    return Space(vocabulary, basis, vectors, lengths, wide, np.array([place[id(i)] for i, _ in listed]), items)
+    row_of, begin, first = strides_of(np.cumsum([0, *map(len, held)]))
+    near = unit(np.add.reduceat(topics.folded(np.concatenate(held), begin), first[:-1], axis=0))
+    return Space(vocabulary, basis, vectors, lengths, wide, np.array([place[id(i)] for i, _ in listed]), items, near)
