@@ -401,6 +401,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     members = durable(shared_keys(rows, shared, partitions).distinct(), "members")
+    shared.destroy()
     # a linked class has a light key, or SHARED lists (fewer if smaller), in common with others of like size: theirs is a band of sizes that both belong to, each class being in its own band and the next
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
     banded = members.withColumn("band", F.explode(F.array(band, band + 1)))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20  # texts are handled together up to this many bytes; a longer text is a slice of its own
+SLICE_BYTES = 1 << 18  # texts are handled together up to this many bytes; a longer text is a slice of its own
 _U = np.uint64
 _BASE, _BASE_INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
