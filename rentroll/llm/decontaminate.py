@@ -295,12 +295,13 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
 
     for space in spaces:
         hits, which, cosines = held_by(space)
+        by_words = len(hits)
         close = passages @ space.near.T
         there, probe = np.nonzero(close >= NEAR)
         hits, which = np.concatenate([hits, there]), np.concatenate([which, probe])
         cosines = np.concatenate([cosines, close[there, probe]])
         order = np.lexsort((hits, space.item_of[which]))
-        stretch: tuple | None = None  # row, item, first word, word after the last, best cosine
+        stretch: tuple | None = None  # row, item, first word, word after the last, best cosine: by words if there is one, else by topics
         for k in [*order.tolist(), -1]:
             if k >= 0:
                 r, probe = int(hits[k]), int(which[k])
@@ -308,13 +309,13 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
                 n = len(space.items[item].words)
                 low = max(int(bounds[row]), int(begin[r]) - n)
                 high = min(int(bounds[row + 1]), int(begin[r]) + int(space.wide[probe]) * STRIDE + n)
-                score = float(cosines[k])
+                score = (k < by_words, float(cosines[k]))
                 if stretch and stretch[:2] == (row, item) and low <= stretch[3]:
                     stretch = (*stretch[:3], max(high, stretch[3]), max(score, stretch[4]))
                     continue
             if stretch:
                 row_, item_, a, b, best = stretch
-                yield from _judged(row_, space.items[item_], words[a:b], a - int(bounds[row_]), best)
+                yield from _judged(row_, space.items[item_], words[a:b], a - int(bounds[row_]), best[1])
             if k >= 0:
                 stretch = (row, item, low, high, score)
 
