@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes the shuffle files of a query when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -53,7 +56,13 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     Used where two reads must see the very same rows in the very same places
     (sampled range bounds, scan positions) even if executors are lost between
     them. Being columnar, the second read touches only the columns it needs.
+    The shuffle files that made it go once it is written, not when the driver happens to collect its garbage.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
