@@ -11,7 +11,8 @@ Any order is right; the one taken puts shingles of rare words first and those co
 documents share, last. Documents with equal sets form one class and are compared once. Lists of the very same
 classes are kept as one that counts for all of them. Links are found in rounds.
 Star rounds: each list proposes its members with one that is in most lists, and so among the least altered of its
-copies; for copies by the thousand a few rounds find most links. After each the components so far are contracted. The
+copies; for copies by the thousand a few rounds find most links. After each the components so far are contracted. They
+end as soon as they no longer shrink what is left, or little is there: each costs some fifty jobs at any size. The
 last round proposes every pair that is still apart; what it leaves apart has no link. All candidates are verified on the whole sets.
 In all rounds a pair is proposed only if the parities of its sets in BITS buckets allow the similarity: no more of them
 can differ than the sets have shingles that only one holds, so no link is lost, and most others are never paired. The
@@ -44,7 +45,8 @@ PARITIES = [f"p{i}" for i in range(BITS // 64)]
 BUCKETS = 1 << 20  # of the shingle counts
 WORD_BUCKETS = 1 << 18  # of the word counts; both are four bytes each, at any size of the input
 STARS = 4  # partners that a star round tries a class with, and the number of star rounds; the last round tries all the rest
-STAR_ROUNDS = 3
+STAR_ROUNDS = 3  # at most: none if the keys hold no more pairs than a round may try, no more after one that left
+SHRUNK = 0.75  # over this share of their pairs
 KEYS_AT_ONCE = 1 << 17  # keys that a task gathers before it deals them, whatever the size of a batch
 ID_BITS = 1 << 25  # of the filter that spares shingling documents again; the join after it decides
 _U = np.uint64
@@ -249,15 +251,20 @@ def shared_keys(rows: DataFrame, shared, partitions: int, lot: int = KEYS_AT_ONC
     return kept.repartition(partitions, "block").mapInArrow(gathered, "key bigint, sig bigint, n bigint, light boolean")
 
 
-def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of the keys that still join different components, with their component."""
-    if found is None:
-        return members.withColumn("comp", F.col("sig"))
     placed = members.join(found, F.col("sig") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sig")).drop("node", "component")
     apart = placed.groupBy("key", "light").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key", "light")
     return placed.join(apart, ["key", "light"], "left_semi")
 
 
+def _pairs(open_: DataFrame) -> tuple[float, int]:
+    """How many pairs the open keys hold, and how many members."""
+    each = open_.groupBy("key", "light").agg(F.count("*").cast("double").alias("many"))
+    pairs, members = each.agg(F.sum(F.expr("many * (many - 1) / 2")), F.sum("many")).first()
+    return pairs or 0.0, members or 0
+
+
 def _side(placed: DataFrame, name: str) -> DataFrame:
     """Members with their class, size, component and parities named after one side of a pair."""
     wide = [F.col("wide").alias(f"{name}_wide")] if "wide" in placed.columns else []
@@ -419,11 +426,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     members = durable(members.select("key", "light", "lists", "sig", "n", "keys", *PARITIES), "members")
 
     links = found = tried = None
+    open_, before = members.withColumn("comp", F.col("sig")), float("inf")
     for _ in range(STAR_ROUNDS):
-        placed = _placed(members, found)
+        held, many = _pairs(open_)
+        if held <= STARS * many or held > SHRUNK * before:
+            break
+        before = held
         central = F.max_by(F.struct("sig", "n", "comp", *PARITIES), F.struct("keys", F.xxhash64("sig", "comp"), "sig")).alias("p")
-        pivots = _side(placed.groupBy("key", "light").agg(F.first("lists").alias("lists"), central).select("key", "light", "lists", "p.*"), "a")
-        other = _side(placed, "b")
+        pivots = _side(open_.groupBy("key", "light").agg(F.first("lists").alias("lists"), central).select("key", "light", "lists", "p.*"), "a")
+        other = _side(open_, "b")
         order = Window.partitionBy("b").orderBy(F.desc("held"), "a")
         pairs = _candidates(pivots, other, F.col("a_comp") != F.col("b_comp"))
         if tried is not None:
@@ -433,16 +444,18 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         fresh = durable(_verified(stars, _sets_of(rows, first, stars)), "links")
         links = fresh if links is None else links.union(fresh)
         found = durable(components(links), "components")
+        open_ = durable(_placed(members, found), "open")
 
-    open_ = _placed(members, found).join(odd.select("sig", "wide"), "sig")
-    rest = _candidates(_side(open_, "a"), _side(open_, "b"), (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")))
-    both_ways = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = durable(rest.join(both_ways, ["a", "b"], "left_anti").select("a", "b"), "rest")
+    open_ = open_.join(odd.select("sig", "wide"), "sig")
+    rest = _candidates(_side(open_, "a"), _side(open_, "b"), (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp"))).select("a", "b")
+    if tried is not None:
+        rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = durable(rest, "rest")
     late = durable(_verified(rest, _sets_of(rows, first, rest)), "links")
 
     # documents tie to their class, and classes to each other; a class's smallest id stands for it
     named = ids.filter("n > 0").groupBy("sig").agg(F.min("id").alias("doc"))
-    pairs = links.union(late)
+    pairs = late if links is None else links.union(late)
     pairs = pairs.join(named.select(F.col("sig").alias("a"), F.col("doc").alias("x")), "a").join(
         named.select(F.col("sig").alias("b"), F.col("doc").alias("y")), "b").select("x", "y")
     same = ids.filter("n > 0").join(named, "sig").select(F.col("id").alias("x"), F.col("doc").alias("y")).filter("x <> y")

@@ -120,6 +120,30 @@ def test_shingle_join_of_large_sets(rows, words):
     assert [got[i] for i in range(len(texts))] == linked(links, len(texts))
 
 
+def test_star_rounds_end(rows, words, monkeypatch):
+    """Rounds are run while keys hold many pairs and the last round made them fewer; the groups are the same after any number."""
+    texts = []
+    for s in range(6):
+        body = passage(words, 300 + s, 60).split(" ")
+        for k in range(5):
+            texts.append(" ".join([*body[:-k], f"z{s}{k}"] if k else body))
+    table, stored = rows([(i, t, "x", "s", 0) for i, t in enumerate(texts)], DOC), []
+    monkeypatch.setattr(shingle_join, "durable", lambda df, label, kept=shingle_join.durable: (stored.append(label), kept(df, label))[1])
+
+    def found(*told):
+        stored.clear()
+        if told:
+            left = iter(told)
+            monkeypatch.setattr(shingle_join, "_pairs", lambda open_: next(left))
+        return {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_components(table).collect()}, stored.count("stars")
+
+    groups, rounds = found()
+    assert rounds == 0 and len(set(groups.values())) == 6
+    assert found((900.0, 9), (800.0, 9)) == (groups, 1)
+    assert found((900.0, 9), (90.0, 9), (30.0, 9)) == (groups, 2)
+    assert found((900.0, 9), (600.0, 9), (400.0, 9)) == (groups, 3)
+
+
 def test_parities_never_exceed_the_difference():
     drawn = np.random.default_rng(5)
     for n in (1, 2, 511, 512, 513, 1023, 1025, 1300, 4100):
