@@ -8,22 +8,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNKS = 64
+CHUNKS = 64  # at least, and the tasks that add them up
+#: Of a chunk at most, so that a batch of them, which Spark bounds by rows alone, is small however many tasks send theirs.
+CHUNK_BYTES = 4096
 
 
-def chunk_rows(vector: np.ndarray, chunks: int = CHUNKS) -> list[tuple[int, bytes]]:
+def chunks_of(size: int) -> int:
+    """How many chunks a vector of ``size`` bytes has."""
+    return max(CHUNKS, -(-size // CHUNK_BYTES))
+
+
+def chunk_rows(vector: np.ndarray) -> list[tuple[int, bytes]]:
     """A task's vector as (chunk, bytes); chunks without a number other than 0 are left out."""
-    return [(i, part.tobytes()) for i, part in enumerate(np.array_split(vector, chunks)) if part.any()]
+    return [(i, part.tobytes()) for i, part in enumerate(np.array_split(vector, chunks_of(vector.nbytes))) if part.any()]
 
 
-def added(rows: DataFrame, dtype: str, chunks: int = CHUNKS, how: np.ufunc = np.add) -> DataFrame:
+def added(rows: DataFrame, dtype: str, how: np.ufunc = np.add) -> DataFrame:
     """(chunk, part) rows with the parts of a chunk added; a task holds its chunks' sums only, however many parts come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(part, dtype)
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(part.as_buffer(), dtype)
                 if chunk in sums:
                     how(sums[chunk], values, out=sums[chunk])
                 else:
@@ -32,12 +39,13 @@ def added(rows: DataFrame, dtype: str, chunks: int = CHUNKS, how: np.ufunc = np.
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "part"])
 
-    return rows.repartition(chunks, "chunk").mapInArrow(run, "chunk int, part binary")
+    return rows.repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, part binary")
 
 
-def collected(rows: DataFrame, length: int, dtype: str, chunks: int = CHUNKS, how: np.ufunc = np.add) -> np.ndarray:
-    """The summed vector of ``length`` numbers on the driver; its size is fixed, whatever the input."""
-    out = np.array_split(np.zeros(length, dtype), chunks)
-    for chunk, part in added(rows, dtype, chunks, how).collect():
+def collected(rows: DataFrame, length: int, dtype: str, how: np.ufunc = np.add) -> np.ndarray:
+    """The summed vector of ``length`` numbers on the driver; its size is fixed, whatever the input. The tasks' vectors
+    that ``chunk_rows`` cut have the same length and type."""
+    out = np.array_split(np.zeros(length, dtype), chunks_of(length * np.dtype(dtype).itemsize))
+    for chunk, part in added(rows, dtype, how).collect():
         out[chunk] = np.frombuffer(part, dtype)
     return np.concatenate(out)

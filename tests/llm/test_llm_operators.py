@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rentroll.llm import chat, decontaminate, graph, html_extract, language_id, license_scan, near_dedup, packing, sharding, shingle_join, token_count
+from rentroll.llm import chat, decontaminate, graph, html_extract, language_id, license_scan, near_dedup, packing, sharding, shingle_join, sketch, token_count
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -120,6 +120,18 @@ def test_shingle_join_of_large_sets(rows, words):
     assert [got[i] for i in range(len(texts))] == linked(links, len(texts))
 
 
+def test_summed_vectors_travel_in_small_chunks(rows):
+    """A chunk's size doesn't grow with the vector, and the tasks' vectors add up to what one would count."""
+    for length, dtype in ((3, "<u4"), (70_001, "<i8"), (1 << 21, "u1")):
+        vectors = []
+        for k in range(3):
+            vectors.append(np.zeros(length, dtype))
+            vectors[-1][k :: 2 + k] = k + 1
+        parts = [r for v in vectors for r in sketch.chunk_rows(v)]
+        assert max(len(p) for _, p in parts) <= 4096
+        assert (sketch.collected(rows(parts, "chunk int, part binary"), length, dtype) == sum(vectors)).all()
+
+
 def test_star_rounds_end(rows, words, monkeypatch):
     """Rounds are run while keys hold many pairs and the last round made them fewer; the groups are the same after any number."""
     texts = []
