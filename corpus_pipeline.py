@@ -15,6 +15,9 @@ from rentroll.session import durable
 
 
 ROW = "_row_key"
+#: Up to so many keys of rows that go, the planner may send them to all tasks; more become a filter of so many bits,
+#: whatever their number, and only the rows that it holds are moved.
+FEW_KEYS, KEY_BITS = 10_000, 1 << 25
 #: Words that a worker remembers while packing and text that it works on at once: little, as workers also hold what
 #: earlier stages left.
 STORE_BYTES, SLICE_BYTES = 48 << 20, 1 << 20
@@ -29,8 +32,22 @@ def row_keyed(docs: DataFrame) -> DataFrame:
 
 
 def without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose key is not among the only column of ``gone``, as they came."""
-    return keyed.join(gone.toDF(ROW).distinct(), ROW, "left_anti").select([c for c in keyed.columns if c != ROW])
+    """The rows whose key is not among the only column of ``gone``, as they came.
+
+    The keys are stored first. Where they are few, no text is moved. Where they are many, rows that a filter of fixed size
+    does not hold stay where they lie; the others meet their keys in a join that lets the texts pass, so none are sorted."""
+    columns = [c for c in keyed.columns if c != ROW]
+    stored = durable(gone.toDF(ROW).distinct(), "gone")
+    if stored.count() <= FEW_KEYS:
+        return keyed.join(stored, ROW, "left_anti").select(columns)
+    bit = F.pmod(F.xxhash64(ROW), F.lit(KEY_BITS))
+    word, mask = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    bits = stored.select(word.alias("_word"), bit.alias("_bit")).select("_word", mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_held"))
+    bits = F.broadcast(durable(bits, "gone-bits"))
+    marked = keyed.withColumn("_word", word).withColumn("_bit", bit).join(bits, "_word", "left").withColumn(
+        "_maybe", F.coalesce(F.col("_held").bitwiseAND(mask) != 0, F.lit(False)))
+    unsure = marked.filter("_maybe").join(stored.hint("shuffle_hash"), ROW, "left_anti")
+    return marked.filter("not _maybe").select(columns).union(unsure.select(columns))
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
