@@ -129,7 +129,10 @@ class Topics:
         words = np.full((len(begin), STRIDE), 2 * LATENT)  # short strides are filled with no word
         words[stride, np.arange(len(f)) - begin[stride]] = column + LATENT * (sign < 0)
         for low in range(0, len(begin), 512):
-            out[low : low + 512] = self.basis[words[low : low + 512]].sum(1)
+            some = words[low : low + 512].T
+            np.take(self.basis, some[0], axis=0, out=out[low : low + 512])
+            for word in some[1:]:
+                out[low : low + 512] += self.basis[word]
         return out
 
 
@@ -152,13 +155,17 @@ def probes(words: np.ndarray) -> list[np.ndarray]:
 
 
 class Space:
-    """The latent space of a block of probes, the widest first: ``basis`` (words of the block, rank), the probes' unit
-    ``vectors`` in it, their ``lengths`` before, the strides in which each lies ``wide``, and ``item_of``, their place
-    in ``items``; ``slot`` gives a feature's row of the basis, ``near`` the probes' unit vectors in the topics."""
-
-    def __init__(self, words: np.ndarray, basis: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, wide: np.ndarray, item_of: np.ndarray,
-                 items: list[Item], near: np.ndarray):
-        self.basis, self.vectors, self.lengths = basis.astype(np.float32), vectors.astype(np.float32), lengths.astype(np.float32)
+    """The latent space of a block of probes, the widest first: ``basis`` (words of the block by weight, rank), the
+    probes' unit ``vectors`` in it, their ``lengths`` before, the strides in which each lies ``wide``, and ``item_of``,
+    their place in ``items``; ``slot`` gives a feature's row of the basis, ``near`` the probes' unit vectors in the topics.
+    A word adds ``most`` at most to the product with any probe, and ``share`` at most to the part of a probe that is held."""
+
+    def __init__(self, words: np.ndarray, idf: np.ndarray, basis: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, wide: np.ndarray,
+                 item_of: np.ndarray, items: list[Item], near: np.ndarray):
+        self.basis = basis.astype(np.float32) * idf[words, None].astype(np.float32)
+        self.vectors, self.lengths = vectors.astype(np.float32), lengths.astype(np.float32)
+        gain = (self.basis @ self.vectors.T).clip(min=0)
+        self.most, self.share = gain.max(1).astype(np.float64), (gain / self.lengths).max(1).astype(np.float64)
         self.wide, self.item_of, self.items, self.near = wide, item_of, items, near
         self.slot = np.full(FEATURES, -1, np.int32)
         self.slot[words] = np.arange(len(words))
@@ -261,7 +268,9 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
         # a passage's cosine is at most the share of its length that the block's words have; half of that share is
         # asked for, as a word that stands twice counts four times in the folded vector and twice here
         live = run(mass, 2) >= (CANDIDATE * norm) ** 2 / 2
-        full = run(mass, widest) >= CONTAINED * float(space.lengths.min()) ** 2 * (1 - 1e-6)
+        # and no product is over the sum of what its words can add; the margin is far over what rounding makes
+        live &= run(np.bincount(stride_of[inside], space.most[at[inside]], len(begin)), 2) >= CANDIDATE * norm * (1 - 1e-3)
+        full = run(np.bincount(stride_of[inside], space.share[at[inside]], len(begin)), widest) >= CONTAINED * (1 - 1e-3)
         wanted = live | full
         for j in range(1, widest):
             same = row_of[j:] == row_of[:-j]
@@ -278,7 +287,7 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
             a, b = starts[low], (starts[low + 1024] if low + 1024 < len(starts) else len(inside))
             part = inside[a:b]
             spread[local[stride_of[part[starts[low : low + 1024] - a]]]] = np.add.reduceat(
-                space.basis[at[part]] * weight[part, None].astype(np.float32), starts[low : low + 1024] - a, axis=0)
+                space.basis[at[part]], starts[low : low + 1024] - a, axis=0)
         held = spread @ space.vectors.T
         over = held.copy()  # sums over as many strides as the probe of a column lies in
         for j in range(1, widest):
@@ -289,15 +298,15 @@ def find(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Sp
             if j == 1:
                 hit = (over >= CANDIDATE * norm[rows, None].astype(np.float32)) & live[rows, None]
                 passage = over.copy() if widest > 2 else over
-        hit |= over >= CONTAINED * space.lengths
-        hits, which = np.nonzero(hit)
+        hit |= (over >= CONTAINED * space.lengths) & full[rows, None]
+        hits, which = np.divmod(np.flatnonzero(hit), hit.shape[1])
         return rows[hits], which, passage[hits, which] / norm[rows[hits]]
 
     for space in spaces:
         hits, which, cosines = held_by(space)
         by_words = len(hits)
         close = passages @ space.near.T
-        there, probe = np.nonzero(close >= NEAR)
+        there, probe = np.divmod(np.flatnonzero(close >= NEAR), close.shape[1])
         hits, which = np.concatenate([hits, there]), np.concatenate([which, probe])
         cosines = np.concatenate([cosines, close[there, probe]])
         order = np.lexsort((hits, space.item_of[which]))
@@ -328,6 +337,8 @@ def _judged(row: int, item: Item, text: np.ndarray, first: int, cosine: float) -
     word = np.searchsorted(item.known, text).clip(max=len(item.known) - 1)
     known = np.flatnonzero(item.known[word] == text)
     word = word[known]
+    if np.minimum(np.bincount(word, minlength=len(item.times)), item.times).sum() < PARAPHRASE * n:
+        return  # the whole stretch has too few of the item's words, and so has every window
     lows = np.arange(0, max(1, len(text) - size + 1 + n // 4), max(1, n // 4))
     begins, ends = np.searchsorted(known, lows), np.searchsorted(known, lows + size)
     for low, a, b in zip(lows.tolist(), begins.tolist(), ends.tolist(), strict=True):
@@ -425,4 +436,4 @@ def _block(spark, listed: list[tuple[Item, np.ndarray]], idf: np.ndarray, topics
     place = {id(i): k for k, i in enumerate(items)}
     row_of, begin, first = strides_of(np.cumsum([0, *map(len, held)]))
     near = unit(np.add.reduceat(topics.folded(np.concatenate(held), begin), first[:-1], axis=0))
-    return Space(vocabulary, basis, vectors, lengths, wide, np.array([place[id(i)] for i, _ in listed]), items, near)
+    return Space(vocabulary, idf, basis, vectors, lengths, wide, np.array([place[id(i)] for i, _ in listed]), items, near)

@@ -56,3 +56,47 @@ def test_a_copy_is_found_by_the_topics_alone(rows):
     words = hashed(docs[-1][1])
     assert [(r[0], r[1]) for r in d.find(words, np.array([0, len(words)]), idf, [space], topics)] == [(0, 7)]
     assert not list(d.find(hashed(docs[0][1]), np.array([0, 64]), idf, [space], topics))
+
+
+class Counted(np.ndarray):
+    """An array that counts the rows taken of it."""
+
+    taken = 0
+
+    def __getitem__(self, at):
+        Counted.taken += len(at)
+        return np.asarray(self)[at]
+
+
+def test_only_places_that_can_hold_a_probe_are_folded(rows):
+    items = [names(f"item{k}w", 20) for k in range(30)]
+    docs = [(i, " ".join(names(f"d{i}w", 64))) for i in range(30)]
+    held, texts, sketch = d.measured(rows(docs, "id bigint, text string"))
+    topics = d.Topics(sketch, held, texts)
+    idf = d.FAINT + np.log((1.0 + texts) / (1.0 + held))
+    space = d._block(rows([], "x int").sparkSession, [p for k, w in enumerate(items) for p in d._probes(k, " ".join(w), None)], idf, topics)
+    space.basis = space.basis.view(Counted)
+
+    def found(text):
+        Counted.taken = 0
+        words = hashed(text)
+        got = [(r[1], r[3]) for r in d.find(words, np.array([0, len(words)]), idf, [space], topics)]
+        return got, Counted.taken
+
+    # every fifth word is of some item, but no two that follow are of the same one
+    assert found(" ".join(f"{items[k][j]} w{j}x{k} x{j}x{k} y{j}x{k} z{j}x{k}" for j in range(0, 20, 5) for k in range(30))) == ([], 0)
+    for around in (0, 7, 16, 40):
+        text = " ".join([*names("before", around), *items[4], *names("after", 50), *items[9][:17], *names("end", around)])
+        got, taken = found(text)
+        assert got == [(4, 1.0), (9, 0.85)] and taken >= 37
+
+
+def test_a_repeated_word_does_not_hide_a_probe(rows):
+    held, texts, sketch = d.measured(rows([(i, " ".join(names(f"d{i}w", 64))) for i in range(30)], "id bigint, text string"))
+    topics = d.Topics(sketch, held, texts)
+    idf = d.FAINT + np.log((1.0 + texts) / (1.0 + held))
+    item = "again " * 12 + " ".join(names("item", 4))
+    space = d._block(rows([], "x int").sparkSession, d._probes(3, item, None), idf, topics)
+    for around in (0, 5, 30):
+        words = hashed(" ".join([*names("before", around), item, *names("after", around)]))
+        assert [r[1] for r in d.find(words, np.array([0, len(words)]), idf, [space], topics)] == [3]
