@@ -11,7 +11,7 @@ and visitors, so that a cell that holds a third of all vectors is many tasks. Ho
 number of tiles, so tile pairs are dealt in rounds of bounded size, and the copies of a round go before the next begins.
 
 A task joins its pair of tiles block by block. In a block's subspace the vectors of one tile are put into the cells of
-sampled pivots, and those of the other are held against the cells that they may reach only. A pair is counted in the first
+pivots amid them, and those of the other are held against the cells that they may reach only. A pair is counted in the first
 block that finds it.
 """
 
@@ -36,6 +36,7 @@ TILES, TILE_LEAST, TILE, TILE_BYTES = 16, 2048, 65536, 16 << 20
 ROUND_SHARE, ROUND_LEAST = 2, 1 << 18
 CELLS_MOST = 1024  # cells of the whole space
 ROWS_PER_PIVOT, PIVOTS_MOST, PIVOTS_LEAST = 128, 256, 8  # of a block, by the vectors of a tile
+ROWS_PER_MEAN, MEANS = 64, 3  # rows that place a pivot, at most, and how often they do
 SLACK = 1e-7  # added to every range against rounding; the verification alone decides
 #: The same in single precision: of squared distances and products of unit vectors, and of what a block lets through.
 SINGLE, WITHIN = 1e-5, 2e-6
@@ -125,13 +126,27 @@ def _visits(far: np.ndarray, own: np.ndarray, home: np.ndarray, gaps: np.ndarray
     return np.nonzero(near)
 
 
+def pivots_among(x: np.ndarray, wanted: int) -> np.ndarray:
+    """Up to so many pivots amid the rows: rows first, then the means of the cells of some rows. Where they lie decides how
+    many vectors are compared, not which pairs are found."""
+    some = x[:: -(-len(x) // (wanted * ROWS_PER_MEAN))]
+    pivots = some[:: -(-len(some) // wanted)]
+    for _ in range(MEANS):
+        home = ((pivots * pivots).sum(1) - 2 * (some @ pivots.T)).argmin(1)
+        order = np.argsort(home, kind="stable")
+        full, first = np.unique(home[order], return_index=True)
+        pivots = np.add.reduceat(some[order], first) / np.bincount(home)[full, None].astype(np.float32)
+    return pivots
+
+
 def block_pairs(left: np.ndarray, right: np.ndarray, pivots: np.ndarray, budget: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of left and right, in single precision, whose squared distance in a block is at most budget, and some more
     within SINGLE of it. same: right is left, and each pair of its rows comes with the lower one first."""
     if not len(left) or not len(right):
         return
     size, reach = (pivots * pivots).sum(1), budget**0.5
-    gaps = 2 * reach * np.sqrt(_distances(pivots, pivots)) + 2 * SINGLE
+    exact = pivots.astype(float)  # pivots may lie close together, where single precision loses their distance
+    gaps = (2 * reach * np.sqrt(_distances(exact, exact)) + 2 * SINGLE).astype(np.float32)
 
     def far(x: np.ndarray) -> np.ndarray:  # squared distances to the pivots, less what is one for all of them
         return size - 2 * (x @ pivots.T)
@@ -164,7 +179,7 @@ def block_pairs(left: np.ndarray, right: np.ndarray, pivots: np.ndarray, budget:
                 found = np.matmul(of_left[s:e], come, out=room[: (e - s) * len(rows)].reshape(e - s, len(rows)))
                 if found.max() < least:
                     continue
-                i, j = np.nonzero(found >= least)
+                i, j = np.divmod(np.flatnonzero(found >= least), len(rows))
                 i, j = order[s + i], low + rows[j]
                 if same:
                     own = home[i] == home[j]  # such a pair comes twice
@@ -186,10 +201,10 @@ def _in_lots(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[n
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def meet(table: pa.Table, d: int, kind: type, cosine: float, turn: np.ndarray, sample: np.ndarray) -> pa.Table:
+def meet(table: pa.Table, d: int, kind: type, cosine: float, turn: np.ndarray) -> pa.Table:
     """Links of a tile pair: (class, links, other); other names a spanning forest's edge, else NULL.
 
-    Side 0 is held against side 1; where there is a side 2 it is held against itself. sample: rotated unit vectors."""
+    Side 0 is held against side 1; where there is a side 2 it is held against itself."""
     side = table.column("side").to_numpy()
     table = table.take(pa.array(np.argsort(side, kind="stable")))
     side = np.sort(side)
@@ -203,7 +218,7 @@ def meet(table: pa.Table, d: int, kind: type, cosine: float, turn: np.ndarray, s
     shift = 0 if same else split  # the row of side 1's first vector
     cut = blocks(d)
     budgets = [(2 - 2 * cosine) * (b - a) / d + SLACK for a, b in cut]
-    some = min(len(sample), max(PIVOTS_LEAST, split // ROWS_PER_PIVOT))
+    some = min(PIVOTS_MOST, max(PIVOTS_LEAST, split // ROWS_PER_PIVOT))
     links, root, edges = np.zeros(len(ids)), np.arange(len(ids)), []
 
     def top(x: int) -> int:
@@ -212,9 +227,9 @@ def meet(table: pa.Table, d: int, kind: type, cosine: float, turn: np.ndarray, s
             x = root[x]
         return x
 
-    for k, (a, b) in enumerate(cut):
+    for k, (a, b) in enumerate(cut if 0 < split and shift < len(ids) else []):
         left, right = (np.ascontiguousarray(x[:, a:b]) for x in (turned[:split], turned[shift:]))
-        for i, j in _in_lots(block_pairs(left, right, np.ascontiguousarray(sample[:some, a:b]), budgets[k] + WITHIN, same)):
+        for i, j in _in_lots(block_pairs(left, right, pivots_among(left, some), budgets[k] + WITHIN, same)):
             j = j + shift
             for low in range(0, len(i), HITS):
                 x, y = i[low : low + HITS], j[low : low + HITS]
@@ -299,14 +314,14 @@ def tile_of(d: int, many: int) -> int:
 
 def drawn(rows: DataFrame, d: int, many: int, wanted: int, kind: type) -> np.ndarray:
     """Up to so many unit vectors of dimension d by chance. A bounded sample places the pivots; every vector is joined."""
-    share = min(1.0, 4 * wanted / max(1, many))
+    share = min(1.0, 16 * wanted / max(1, many))
     chance = F.pmod(F.xxhash64("id", "vector", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     found = rows.filter((F.size("vector") == d) & (chance <= share)).mapInArrow(_carried, "id bigint, d int, key binary, raw binary")
     some = found.groupBy("key").agg(F.first("raw").alias("raw")).orderBy(F.xxhash64("key")).limit(wanted).collect()
     return units(np.stack([np.frombuffer(r["raw"], kind) for r in some]))[0] if some else np.eye(1, d)
 
 
-def join_classes(classes: DataFrame, d: int, kind: type, cosine: float, sample: np.ndarray, pivots: np.ndarray, many: int) -> DataFrame:
+def join_classes(classes: DataFrame, d: int, kind: type, cosine: float, pivots: np.ndarray, many: int) -> DataFrame:
     """Distinct vectors (key, class, n, raw, cell, own) of one dimension, own being the squared distance to the pivot of their cell,
     as rows (class, links, other).
 
@@ -316,7 +331,7 @@ def join_classes(classes: DataFrame, d: int, kind: type, cosine: float, sample:
     spark = classes.sparkSession
     turn, reach = rotation(d), (2 - 2 * cosine + SLACK) ** 0.5
     gaps = np.sqrt(_distances(pivots, pivots))
-    plan = spark.sparkContext.broadcast((pivots, gaps, turn, sample @ turn))  # CELLS_MOST vectors at most, and PIVOTS_MOST
+    plan = spark.sparkContext.broadcast((pivots, gaps, turn))  # CELLS_MOST vectors at most
     radius, homes = np.full(len(pivots), -1.0), {}
     for c, n, own in classes.groupBy("cell").agg(F.count("*"), F.max("own")).collect():  # a row for each pivot
         homes[c], radius[c] = n, own**0.5
@@ -359,7 +374,7 @@ def join_classes(classes: DataFrame, d: int, kind: type, cosine: float, sample:
                     names=["place", "side", "class", "n", "raw"])
 
     def met(table: pa.Table) -> pa.Table:
-        return meet(table, d, kind, cosine, *plan.value[2:])
+        return meet(table, d, kind, cosine, plan.value[2])
 
     found = []
     for first, end, last in rounds(shape, max(ROUND_LEAST, ROUND_SHARE * many)):
@@ -388,11 +403,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     if not counted:
         return member.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
                              F.lit(True).alias("kept"))
-    samples, pivots = {}, {}
-    for d, many in counted:
-        cells = int(min(CELLS_MOST, -(-many // tile_of(d, many))))
-        samples[d] = drawn(named, d, many, max(cells, min(PIVOTS_MOST, max(PIVOTS_LEAST, many // ROWS_PER_PIVOT))), kind)
-        pivots[d], samples[d] = samples[d][:cells], samples[d][:PIVOTS_MOST]
+    pivots = {d: drawn(named, d, many, min(CELLS_MOST, -(-many // tile_of(d, many))), kind) for d, many in counted}
     plan = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +423,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
         carried.groupBy("d", "key").agg(F.count("*").alias("n"), F.min("id").alias("class"), F.first("raw").alias("raw")).mapInArrow(
             place, "d int, key binary, n bigint, class bigint, raw binary, cell int, own double"), "vector-classes")
     met = reduce(DataFrame.union, [
-        join_classes(classes.filter(F.col("d") == d), d, kind, cosine, samples[d], pivots[d], many) for d, many in counted])
+        join_classes(classes.filter(F.col("d") == d), d, kind, cosine, pivots[d], many) for d, many in counted])
     links = met.filter("other is null").groupBy("class").agg(F.sum("links").alias("links"))
     reach = components(met.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     same = member["id"].isNotNull() & (member["key"] == classes["key"])
