@@ -313,7 +313,7 @@ def tile_of(d: int, many: int) -> int:
 
 
 def drawn(rows: DataFrame, d: int, many: int, wanted: int, kind: type) -> np.ndarray:
-    """Up to so many unit vectors of dimension d by chance. A bounded sample places the pivots; every vector is joined."""
+    """Up to so many unit vectors of dimension d, many rows having one, by chance. A bounded sample places the pivots; every vector is joined."""
     share = min(1.0, 16 * wanted / max(1, many))
     chance = F.pmod(F.xxhash64("id", "vector", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     found = rows.filter((F.size("vector") == d) & (chance <= share)).mapInArrow(_carried, "id bigint, d int, key binary, raw binary")
@@ -321,7 +321,7 @@ def drawn(rows: DataFrame, d: int, many: int, wanted: int, kind: type) -> np.nda
     return units(np.stack([np.frombuffer(r["raw"], kind) for r in some]))[0] if some else np.eye(1, d)
 
 
-def join_classes(classes: DataFrame, d: int, kind: type, cosine: float, pivots: np.ndarray, many: int) -> DataFrame:
+def join_classes(classes: DataFrame, d: int, kind: type, cosine: float, pivots: np.ndarray) -> DataFrame:
     """Distinct vectors (key, class, n, raw, cell, own) of one dimension, own being the squared distance to the pivot of their cell,
     as rows (class, links, other).
 
@@ -347,8 +347,8 @@ def join_classes(classes: DataFrame, d: int, kind: type, cosine: float, pivots:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
 
     come = dict(classes.select("raw", "cell", "own").mapInArrow(visits, "cell int, n bigint").groupBy("cell").agg(F.sum("n")).collect()) if len(homes) > 1 else {}
-    tile = tile_of(d, many)
-    shape = {}
+    many = sum(homes.values())
+    tile, shape = tile_of(d, many), {}
     for c, n in homes.items():
         t, v = -(-n // tile), -(-come.get(c, 0) // tile)
         shape[c] = t, v, n / t, come.get(c, 0) / max(1, v)
@@ -399,11 +399,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast(f"array<{name}>").alias("vector"))
     member = durable(rows.mapInArrow(_keyed, "id bigint, d int, key binary"), "members")
     named = rows.filter("id is not null")
-    counted = member.filter("key is not null and id is not null").groupBy("d").agg(F.count("*")).orderBy("d").collect()
+    counted = member.filter("key is not null and id is not null").groupBy("d").agg(F.count("*"), F.approx_count_distinct("key")).orderBy("d").collect()
     if not counted:
         return member.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
                              F.lit(True).alias("kept"))
-    pivots = {d: drawn(named, d, many, min(CELLS_MOST, -(-many // tile_of(d, many))), kind) for d, many in counted}
+    pivots = {d: drawn(named, d, many, min(CELLS_MOST, -(-distinct // tile_of(d, distinct))), kind) for d, many, distinct in counted}
     plan = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +423,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
         carried.groupBy("d", "key").agg(F.count("*").alias("n"), F.min("id").alias("class"), F.first("raw").alias("raw")).mapInArrow(
             place, "d int, key binary, n bigint, class bigint, raw binary, cell int, own double"), "vector-classes")
     met = reduce(DataFrame.union, [
-        join_classes(classes.filter(F.col("d") == d), d, kind, cosine, pivots[d], many) for d, many in counted])
+        join_classes(classes.filter(F.col("d") == d), d, kind, cosine, pivots[d]) for d, *_ in counted])
     links = met.filter("other is null").groupBy("class").agg(F.sum("links").alias("links"))
     reach = components(met.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     same = member["id"].isNotNull() & (member["key"] == classes["key"])
