@@ -31,7 +31,7 @@ from rentroll.session import durable
 
 BLOCK_DIMENSIONS = 16
 #: A table is cut into so many tiles or more, of so many vectors at least; a tile has so many vectors and bytes at most.
-TILES, TILE_LEAST, TILE, TILE_BYTES = 16, 2048, 65536, 16 << 20
+TILES, TILE_LEAST, TILE, TILE_BYTES = 16, 2048, 40960, 10 << 20
 #: A round deals out so many copies for each vector, or so many in all where that is more.
 ROUND_SHARE, ROUND_LEAST = 2, 1 << 18
 CELLS_MOST = 1024  # cells of the whole space
